@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import jaccard_join, suffix_dedup
 
 QUERIES = {
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
