@@ -39,6 +39,8 @@ from .stage import components, keep
 COUNTER_BITS = 20
 #: A block holds at most about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
+#: The same for the parts that meet in the last round, two at a time.
+PART_DOCS, PART_SHINGLES = 512, 1_500_000
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -160,17 +162,18 @@ class Trie:
     """A path-compressed trie over sets whose elements are ordered numbers, and their threshold join.
 
     sets: sorted arrays of numbers below `universe`; sizes: the sets' full sizes
-    (elements that no other set of the block has may be left out of the arrays).
+    (elements that no other set of the block has may be left out of the arrays);
+    known: components found before; held: the sets in the trie, all if None.
     """
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int], universe: int, known: list[int] | None = None):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], universe: int, known: list[int] | None = None, held: list[int] | None = None):
         self.sets, self.sizes, self.universe, self.known = sets, sizes, universe, known
         self.edge: list[np.ndarray] = [np.zeros(0, np.int64)]
         self.kids: list[list[int]] = [[]]
         self.ends: list[list[int]] = [[]]
         self.depth = [0]
         path = [0]  # the nodes from the root to the last set
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        order = sorted(range(len(sets)) if held is None else held, key=lambda i: sets[i].astype(">u4").tobytes())
         last = np.zeros(0, np.int64)
         for i in order:
             s = sets[i]
@@ -245,10 +248,10 @@ class Trie:
             todo += [(c, overlap) for c in self.kids[node]]
 
 
-def link_block(ids: np.ndarray, sets: list[np.ndarray], percent: int, probes: list[int], known: list[int] | None = None) -> list[tuple[int, int]]:
+def link_block(ids: np.ndarray, sets: list[np.ndarray], percent: int, walks: list[tuple[list[int], list[int] | None]], known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links between the sets of a block: (id, smallest id of its component in the block).
 
-    probes: which sets walk the trie, in this order, until everything is connected.
+    walks: sets that walk a trie, in this order, and the sets it holds (None: all), until everything is connected.
     known: components found before; sets that share one need no link.
     """
     every = np.concatenate(sets)
@@ -265,7 +268,6 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], percent: int, probes: li
         x = flat[at : at + len(s)]
         cut.append(np.sort(x[x >= 0]))
         at += len(s)
-    trie = Trie(cut, [len(s) for s in sets], max(1, int((count > 1).sum())), known)
     up, first = list(range(len(sets))), {}
 
     def root(x: int) -> int:
@@ -277,14 +279,16 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], percent: int, probes: li
         up[i] = first.setdefault(c, i)
     before = [root(i) for i in range(len(sets))]
     left = len(set(before)) - 1
-    for i in probes:
-        if not left:
-            break
-        for j in trie.probe(i, percent):
-            a, b = root(i), root(j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                left -= 1
+    for probes, held in walks:
+        trie = Trie(cut, [len(s) for s in sets], max(1, int((count > 1).sum())), known, held)
+        for i in probes:
+            if not left:
+                break
+            for j in trie.probe(i, percent):
+                a, b = root(i), root(j)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    left -= 1
     low: dict[int, int] = {}
     for i in range(len(sets)):
         low[root(i)] = min(low.get(root(i), 1 << 62), int(ids[i]))
@@ -320,30 +324,39 @@ def star_blocks(stars: DataFrame, docs: DataFrame, width: int, percent: int) ->
         if len(sets) < 2:
             return _links([])
         ids, hub = block.column("d").to_numpy()[rows], block.column("hub")[0].as_py()
-        return _links(link_block(ids, sets, percent, sorted(range(len(sets)), key=lambda i: ids[i] != hub)))
+        return _links(link_block(ids, sets, percent, [(sorted(range(len(sets)), key=lambda i: ids[i] != hub), None)]))
 
     return rows.groupBy("hub", "block").applyInArrow(run, LINKS)
 
 
 def pair_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links between the components of members(hub, d, n, c), for each hub: its documents are cut
-    into parts of bounded size, and every two parts meet in a block of their own. No pair is written out."""
-    load = members.groupBy("hub").agg(F.count("*").alias("docs"), F.sum("n").alias("load"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-    load = load.select("hub", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    cut = members.join(load, "hub").select("hub", "d", "c", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts")
+    into parts of bounded size, and every two parts meet in a block of their own. No pair is written out.
+
+    Sizes are banded so that linked sets are in one band or neighbours: a band's documents (`own`) walk a
+    trie of their band and the one below. Bands without a second component need no block.
+    """
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9)).cast("long")
+    banded = members.withColumn("own_band", band).withColumn("band", F.explode(F.array("own_band", F.col("own_band") + 1))).withColumn("own", F.col("own_band") == F.col("band"))
+    load = banded.groupBy("hub", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("load"), F.min("c").alias("x"), F.max("c").alias("y"), F.max("own").alias("any")).where("x <> y and any")
+    load = load.select("hub", "band", F.greatest(F.ceil(F.col("docs") / PART_DOCS), F.ceil(F.col("load") / PART_SHINGLES)).cast("int").alias("parts"))
+    cut = banded.join(load, ["hub", "band"]).select("hub", "band", "own", "d", "c", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts")
     cut = cut.join(docs.select(F.col("doc_id").alias("d"), "text"), "d")
-    rows = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "d", "c", "text")
+    rows = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "own", "d", "c", "text")
 
     def run(block: pa.Table) -> pa.Table:
         rows, sets = _sets(block, width)
         if len(sets) < 2:
             return _links([])
         ids, known = block.column("d").to_numpy()[rows], block.column("c").to_numpy()[rows].tolist()
+        own = block.column("own").to_numpy(zero_copy_only=False)[rows]
         lo, hi, part = (block.column(x).to_numpy()[rows] for x in ("lo", "hi", "part"))
-        own = np.flatnonzero(part == lo).tolist() if lo[0] != hi[0] else list(range(len(sets)))
-        return _links(link_block(ids, sets, percent, own, known))
+        low = part == lo
+        walks = [(own, None)] if lo[0] == hi[0] else [(own & low, ~low), (own & ~low, low & ~own)]
+        walks = [(np.flatnonzero(a).tolist(), b if b is None else np.flatnonzero(b).tolist()) for a, b in walks]
+        return _links(link_block(ids, sets, percent, [(a, b) for a, b in walks if a and b != []], known))
 
-    return rows.groupBy("hub", "lo", "hi").applyInArrow(run, LINKS)
+    return rows.groupBy("hub", "band", "lo", "hi").applyInArrow(run, LINKS)
 
 
 # ---- the operator --------------------------------------------------------------------------------
@@ -375,6 +388,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 75) ->
     met = entries.withColumn("x", F.min("d").over(w)).withColumn("y", F.max("d").over(w)).where("x <> y").select("h", "d", "n")
     met = met.join(copies, "d", "left").select("h", F.coalesce("first", "d").alias("d"), "n").distinct()
     met = keep(met, "met")
+    docs = keep(docs.join(met.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     # a text that copies were made from shares most of its prefix, a copy has edits of its own there: the fullest is the hub
     share = met.groupBy("d").agg((F.count("*") / (F.max("n") - F.expr(f"floor(({percent} * max(n) + 99) / 100)") + 1)).alias("share"))
     full = met.join(share, "d")
