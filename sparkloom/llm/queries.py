@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mih, ppm, suffix_dedup
+from . import jaccard_join, langid, mih, ppm, suffix_dedup
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op3_mih_search": mih.op3_mih_search,
     "op4_ppm_score": ppm.op4_ppm_score,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,

@@ -34,6 +34,17 @@ def powers(n: int) -> np.ndarray:
     return _pow[:n]
 
 
+_inv = np.ones(1, dtype=U)
+
+
+def _inverses(n: int) -> np.ndarray:
+    """The first n powers of the base's inverse modulo 2**64."""
+    global _inv
+    while len(_inv) < n:
+        _inv = np.concatenate([_inv, _inv * U(pow(pow(_BASE, -1, 1 << 64), len(_inv), 1 << 64))])
+    return _inv[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the public splitmix64 finaliser)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -65,33 +76,35 @@ def slices(ends: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words, and each row's range of them (rows + 1)."""
+def words(data: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and each row's range of them (rows + 1).
+
+    A word's sum is the difference of running sums of byte * base**place, moved
+    back by the inverse power of its start; words that go on in the next piece
+    are joined, so a word's hash does not depend on where it stands.
+    """
     starts, stops, sums = [], [], []
     first = np.zeros(len(data) + 1, bool)
     first[ends[:-1]] = True
+    up, down = powers(_PIECE), _inverses(_PIECE)
     open_word = False
     for at in range(0, len(data), _PIECE):
         piece = LOWER[data[at : at + _PIECE]]
-        inside = ~SPACE[piece]
-        before = np.empty_like(inside)
-        before[0], before[1:] = False, inside[:-1]
-        begin = inside & (~before | first[at : at + len(piece)])
-        joined = open_word and inside[0] and not first[at]
-        if joined:
-            begin[0] = True
-        s = np.flatnonzero(begin)
-        after = np.empty_like(inside)
-        after[-1], after[:-1] = True, ~inside[1:] | first[at + 1 : at + len(piece)]
-        e = np.flatnonzero(inside & after) + 1
-        open_word = bool(len(piece) and inside[-1])
+        n = len(piece)
+        inside = ~space[piece]
+        edge = first[at : at + n + 1]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1] | edge[1:n]
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:] | edge[1:n]
+        joined = open_word and inside[0] and not edge[0]
+        s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        open_word = bool(inside[-1])
         if not len(s):
             continue
-        own = inside.nonzero()[0]
-        place = own - np.repeat(s, e - s)
-        value = (piece[own].astype(U) + U(1)) * powers(int(place.max()) + 1)[place]
-        edge = np.concatenate([[0], np.cumsum(e - s)[:-1]])
-        h = np.add.reduceat(value, edge)
+        total = np.zeros(n + 1, U)
+        np.cumsum((piece.astype(U) + U(1)) * up[:n], out=total[1:])
+        h = (total[e] - total[s]) * down[s]
         s, e = s + at, e + at
         if joined:
             size = int(stops[-1][-1] - starts[-1][-1])
