@@ -38,8 +38,8 @@ PARTS = 256
 #: An anchor in more documents than this is dealt out by windows.
 HOT = 20_000
 #: Anchors that a task holds before it sends them on.
-HELD = 4_000_000
-_SEGMENT = 1 << 22
+HELD = 1_000_000
+_SEGMENT = 1 << 20
 
 
 def _words_at(data: np.ndarray, shift: int, count: int) -> np.ndarray:
