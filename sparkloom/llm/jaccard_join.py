@@ -17,6 +17,8 @@ first n - ceil(t * n) + 1 of each, so only these prefixes are shuffled.
     documents are cut into parts, and every two parts meet in a block where the
     trie looks for links between components; subtrees within the document's own
     component are left out. Components over all links are the result.
+    Before texts move to a block, counts of shingles by hash class do: sets that
+    differ in more counts than the threshold allows cannot link.
 
 Links between documents that one component already holds are not looked for;
 every link between different components is found, so components are exact.
@@ -329,20 +331,29 @@ def star_blocks(stars: DataFrame, docs: DataFrame, width: int, percent: int) ->
     return rows.groupBy("hub", "block").applyInArrow(run, LINKS)
 
 
-def pair_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links between the components of members(hub, d, n, c), for each hub: its documents are cut
-    into parts of bounded size, and every two parts meet in a block of their own. No pair is written out.
+def part_pairs(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """Rows of members(hub, d, n, c) with payload(d, ...) for blocks (hub, band, lo, hi) in which every two documents
+    of a hub meet that sizes allow: its documents are cut into parts of bounded size, and every two parts meet.
 
-    Sizes are banded so that linked sets are in one band or neighbours: a band's documents (`own`) walk a
-    trie of their band and the one below. Bands without a second component need no block.
+    Sizes are banded so that linked sets are in one band or neighbours: a band's documents (`own`) meet those of
+    their band and the one below. Bands without a second component need no block. No pair is written out.
     """
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9)).cast("long")
     banded = members.withColumn("own_band", band).withColumn("band", F.explode(F.array("own_band", F.col("own_band") + 1))).withColumn("own", F.col("own_band") == F.col("band"))
     load = banded.groupBy("hub", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("load"), F.min("c").alias("x"), F.max("c").alias("y"), F.max("own").alias("any")).where("x <> y and any")
     load = load.select("hub", "band", F.greatest(F.ceil(F.col("docs") / PART_DOCS), F.ceil(F.col("load") / PART_SHINGLES)).cast("int").alias("parts"))
-    cut = banded.join(load, ["hub", "band"]).select("hub", "band", "own", "d", "c", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts")
-    cut = cut.join(docs.select(F.col("doc_id").alias("d"), "text"), "d")
-    rows = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", "band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "own", "d", "c", "text")
+    cut = banded.join(load, ["hub", "band"]).select("hub", "band", "own", "d", "n", "c", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts")
+    cut = cut.join(payload, "d").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cut.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("parts", "other")
+
+
+def pair_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links between the components of members(hub, d, n, c): first count vectors meet, and the texts of
+    those documents only that have a possible partner; these walk tries as in the first round."""
+    vectors = docs.select(F.col("doc_id").alias("d"), "vec")
+    near = part_pairs(members, vectors, percent).groupBy("hub", "band", "lo", "hi").applyInArrow(_near_members(percent), "hub long, d long").distinct()
+    members = keep(members.join(near, ["hub", "d"], "left_semi"), "near")
+    rows = part_pairs(members, docs.select(F.col("doc_id").alias("d"), "text"), percent)
 
     def run(block: pa.Table) -> pa.Table:
         rows, sets = _sets(block, width)
@@ -359,6 +370,73 @@ def pair_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -
     return rows.groupBy("hub", "band", "lo", "hi").applyInArrow(run, LINKS)
 
 
+# ---- count vectors: an exact filter before texts are moved ---------------------------------------
+
+
+def _vectors(width: int):
+    """Adds to each text how many of its shingles are in each of max(64, n / 4) hash classes (255 at most)."""
+
+    def run(batches):
+        for batch in batches:
+            out = [b""] * batch.num_rows
+            for i, s in doc_sets(batch, width):
+                classes = max(64, 1 << (max(1, len(s) // 4) - 1).bit_length())
+                count = np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+                out[i] = np.minimum(count, 255).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.binary())], names=["doc_id", "text", "vec"])
+
+    return run
+
+
+def _fold(v: bytes, classes: int) -> np.ndarray:
+    return np.frombuffer(v, np.uint8).reshape(-1, classes).sum(axis=0, dtype=np.int32)
+
+
+def _near(n, m, apart, percent: int):
+    """False where sets of n and m, apart in so many counts at least, cannot reach the threshold."""
+    return ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def _near_stars(percent: int):
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(x).to_numpy().astype(np.int64) for x in ("n", "hub_n"))
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (a, b) in enumerate(zip(batch.column("vec"), batch.column("hub_vec"), strict=True)):
+                a, b = a.as_py(), b.as_py()
+                classes = min(len(a), len(b))
+                apart[i] = np.abs(_fold(a, classes) - _fold(b, classes)).sum() if classes else 0
+            yield batch.select(["hub", "d", "n"]).filter(pa.array(_near(n, m, apart, percent)))
+
+    return run
+
+
+def _near_members(percent: int):
+    """Of a block's documents those with a partner in another component that counts allow."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        n, c, d = (block.column(x).to_numpy().astype(np.int64) for x in ("n", "c", "d"))
+        own = block.column("own").to_numpy(zero_copy_only=False)
+        vec = [v.as_py() for v in block.column("vec")]
+        on = np.zeros(len(n), bool)
+        if len(n) > 1:
+            classes = min(map(len, vec))
+            if classes:
+                x = np.array([_fold(v, classes) for v in vec])
+                for i in np.flatnonzero(own):
+                    good = _near(n, n[i], np.abs(x - x[i]).sum(axis=1), percent) & (c != c[i])
+                    if good.any():
+                        on |= good
+                        on[i] = True
+            else:
+                on[:] = True
+        k = np.flatnonzero(on)
+        return pa.table({"hub": block.column("hub").take(pa.array(k)), "d": pa.array(d[k])})
+
+    return run
+
+
 # ---- the operator --------------------------------------------------------------------------------
 
 
@@ -388,13 +466,16 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 75) ->
     met = entries.withColumn("x", F.min("d").over(w)).withColumn("y", F.max("d").over(w)).where("x <> y").select("h", "d", "n")
     met = met.join(copies, "d", "left").select("h", F.coalesce("first", "d").alias("d"), "n").distinct()
     met = keep(met, "met")
-    docs = keep(docs.join(met.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    docs = docs.join(met.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    docs = keep(docs.mapInArrow(_vectors(width), "doc_id long, text string, vec binary"), "texts")
     # a text that copies were made from shares most of its prefix, a copy has edits of its own there: the fullest is the hub
     share = met.groupBy("d").agg((F.count("*") / (F.max("n") - F.expr(f"floor(({percent} * max(n) + 99) / 100)") + 1)).alias("share"))
     full = met.join(share, "d")
     low = full.groupBy("h").agg(F.max(F.struct("share", -F.col("d"), "n")).alias("low")).select("h", (-F.col("low.col2")).alias("hub"), F.col("low.n").alias("hub_n"))
     near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-    stars = keep(met.join(low, "h").where("d <> hub").where(near).groupBy("hub", "d").agg(F.max("n").alias("n")), "stars")
+    stars = met.join(low, "h").where("d <> hub").where(near).groupBy("hub", "d").agg(F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+    stars = stars.join(docs.select(F.col("doc_id").alias("d"), "vec"), "d").join(docs.select(F.col("doc_id").alias("hub"), F.col("vec").alias("hub_vec")), "hub")
+    stars = keep(stars.mapInArrow(_near_stars(percent), "hub long, d long, n int"), "stars")
     links = keep(star_blocks(stars, docs, width, percent).unionByName(copies.join(twice, copies.d == twice.doc_id, "left_semi").select(F.col("d").alias("a"), F.col("first").alias("b"))), "links")
 
     labels = components(links)
