@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dsl
+from . import queries_dsl, queries_ops
 
-QUERIES = dict(queries_dsl.QUERIES)
-ORACLE_SQL = dict(queries_dsl.ORACLE_SQL)
+QUERIES = queries_dsl.QUERIES | queries_ops.QUERIES
+ORACLE_SQL = queries_dsl.ORACLE_SQL | queries_ops.ORACLE_SQL
