@@ -9,9 +9,9 @@ earlier line, judged on the input (earlier: smaller doc_id, then line number).
     tokens) and sends it as compact columns by token ranges; of lines with equal
     sets a task sends the first only.
 3.  In a range, lines that share a prefix token meet. Length and positional
-    filters and a 64-bit map of the set (a bit that differs is an element that
-    differs) leave few pairs; of a line's pairs there the filters keep only those
-    with a chance, and the line's exact copies are settled at once.
+    filters and 128 parities of the set (its tokens by hash class: a parity that
+    differs is a token that differs) leave few pairs. Exact copies are settled by
+    their prints before.
 4.  Pairs are verified on the words themselves.
 """
 
@@ -82,18 +82,29 @@ class Lines:
         self.size = np.bincount(self.line, minlength=count)
         start = np.cumsum(self.size) - self.size
         self.place = np.arange(len(x)) - start[self.line]
-        self.sum1, self.sum2, self.map = (np.zeros(count, U) for _ in range(3))
+        self.sum1, self.sum2, self.even, self.odd = (np.zeros(count, U) for _ in range(4))
         on = np.flatnonzero(self.size)
         if len(on):
             m = K.mix(self.token)
             self.sum1[on] = np.add.reduceat(m, start[on])
             self.sum2[on] = np.bitwise_xor.reduceat(K.mix(m), start[on])
-            self.map[on] = np.bitwise_or.reduceat(U(1) << (m >> U(58)), start[on])
+            bit, low = U(1) << ((m >> U(57)) & U(63)), m >> U(63) == 0
+            self.even[on] = np.bitwise_xor.reduceat(np.where(low, bit, U(0)), start[on])
+            self.odd[on] = np.bitwise_xor.reduceat(np.where(low, U(0), bit), start[on])
 
 
-BLOBS = ["part", "tokens", "docs", "lines", "sizes", "places", "maps", "prints"]
-BLOB_SCHEMA = "part int, tokens binary, docs binary, lines binary, sizes binary, places binary, maps binary, prints binary"
-_TYPES = {"tokens": "u8", "docs": "i8", "lines": "i4", "sizes": "i4", "places": "i4", "maps": "u8", "prints": "u8"}
+BLOBS = ["part", "tokens", "docs", "lines", "sizes", "places", "even", "odd", "prints"]
+BLOB_SCHEMA = "part int, " + ", ".join(f"{n} binary" for n in BLOBS[1:])
+_TYPES = {"tokens": "u4", "docs": "i8", "lines": "i4", "sizes": "i4", "places": "i4", "even": "u8", "odd": "u8", "prints": "u4"}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together: those that are all zero compress to nothing in a shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _values(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _send(shared, percent: int):
@@ -113,7 +124,7 @@ def _send(shared, percent: int):
                 first[order] = np.concatenate([[True], print_[order][1:] != print_[order][:-1]])
                 k = np.flatnonzero(first[L.line] & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line]))
                 n = L.line[k]
-                held.append((L.token[k], doc[n], L.number[n], L.size[n], L.place[k], L.map[n], print_[n]))
+                held.append((L.token[k], doc[n], L.number[n], L.size[n], L.place[k], L.even[n], L.odd[n], print_[n] >> U(32)))
                 count += len(k)
                 if count > _HELD:
                     yield _packed(held)
@@ -126,26 +137,29 @@ def _send(shared, percent: int):
 
 def _packed(held) -> pa.RecordBatch:
     cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-    part = (K.mix(cols[0]) >> U(56)).astype(np.int64) % PARTS
+    key = K.mix(cols[0])  # 8 bits for the range, 32 more stand for the token within it
+    part = (key >> U(56)).astype(np.int64)
+    cols[0] = (key >> U(24)) & U(0xFFFFFFFF)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(PARTS + 1))
     cols = [c[order].astype(_TYPES[n]) for c, n in zip(cols, BLOBS[1:], strict=True)]
     used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
-    arrays = [pa.array(np.array(used, np.int32))] + [pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()) for c in cols]
+    arrays = [pa.array(np.array(used, np.int32))] + [pa.array([_planes(c[cut[p] : cut[p + 1]]) for p in used], pa.binary()) for c in cols]
     return pa.RecordBatch.from_arrays(arrays, names=BLOBS)
 
 
-PAIRS = "doc_id long, line int, doc2 long, line2 int, print long"
+PAIRS = "doc_id long, line int, doc2 long, line2 int"
 _PAIR_STEP = 2_000_000
 
 
 def _meet(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        c = {n: np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
+        c = {n: np.concatenate([_values(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
         # one row for each token and set: the earliest line of equal sets
-        order = np.lexsort((c["lines"], c["docs"], c["prints"], c["tokens"]))
+        same = ("tokens", "prints", "sizes", "even", "odd")
+        order = np.lexsort((c["lines"], c["docs"], *(c[n] for n in same[::-1])))
         c = {n: x[order] for n, x in c.items()}
-        new = np.concatenate([[True], (c["tokens"][1:] != c["tokens"][:-1]) | (c["prints"][1:] != c["prints"][:-1])])
+        new = np.concatenate([[True], np.any([c[n][1:] != c[n][:-1] for n in same], axis=0)])
         c = {n: x[new] for n, x in c.items()}
         order = np.lexsort((c["sizes"], c["tokens"]))
         c = {n: x[order] for n, x in c.items()}
@@ -167,7 +181,7 @@ def _meet(percent: int):
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             both = sizes[i] + sizes[j]
             need = -(-percent * both // (100 + percent))
-            on = np.bitwise_count(c["maps"][i] ^ c["maps"][j]) <= both - 2 * need
+            on = np.bitwise_count(c["even"][i] ^ c["even"][j]).astype(np.int64) + np.bitwise_count(c["odd"][i] ^ c["odd"][j]) <= both - 2 * need
             i, j, both, need = i[on], j[on], both[on], need[on]
             p, q = c["places"][i].astype(np.int64), c["places"][j].astype(np.int64)
             on = np.minimum(p, q) + np.minimum(sizes[i] - p, sizes[j] - q) >= need
@@ -177,7 +191,7 @@ def _meet(percent: int):
         doc, line = c["docs"], c["lines"]
         later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
         i, j = np.where(later, i, j), np.where(later, j, i)
-        return pa.table({"doc_id": doc[i], "line": line[i], "doc2": doc[j], "line2": line[j], "print": c["prints"][i].view(np.int64)})
+        return pa.table({"doc_id": doc[i], "line": line[i], "doc2": doc[j], "line2": line[j]})
 
     return run
 
