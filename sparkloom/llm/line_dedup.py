@@ -98,15 +98,6 @@ BLOB_SCHEMA = "part int, " + ", ".join(f"{n} binary" for n in BLOBS[1:])
 _TYPES = {"tokens": "u4", "docs": "i8", "lines": "i4", "sizes": "i4", "places": "i4", "even": "u8", "odd": "u8", "prints": "u4"}
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together: those that are all zero compress to nothing in a shuffle."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _values(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _send(shared, percent: int):
     def run(batches):
         levels, held, count = shared.value, [], 0
@@ -144,7 +135,7 @@ def _packed(held) -> pa.RecordBatch:
     cut = np.searchsorted(part[order], np.arange(PARTS + 1))
     cols = [c[order].astype(_TYPES[n]) for c, n in zip(cols, BLOBS[1:], strict=True)]
     used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
-    arrays = [pa.array(np.array(used, np.int32))] + [pa.array([_planes(c[cut[p] : cut[p + 1]]) for p in used], pa.binary()) for c in cols]
+    arrays = [pa.array(np.array(used, np.int32))] + [pa.array([K.planes(c[cut[p] : cut[p + 1]]) for p in used], pa.binary()) for c in cols]
     return pa.RecordBatch.from_arrays(arrays, names=BLOBS)
 
 
@@ -154,7 +145,7 @@ _PAIR_STEP = 2_000_000
 
 def _meet(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        c = {n: np.concatenate([_values(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
+        c = {n: np.concatenate([K.values(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
         # one row for each token and set: the earliest line of equal sets
         same = ("tokens", "prints", "sizes", "even", "odd")
         order = np.lexsort((c["lines"], c["docs"], *(c[n] for n in same[::-1])))

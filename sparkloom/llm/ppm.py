@@ -77,14 +77,30 @@ class _Sum:
             self.size = len(self.parts[0][0])
 
     def take(self, kind: int):
+        """A row for each part: its keys in order as differences, and their counts, both with bytes of equal weight together."""
         self.merge()
         for k, c in self.parts:
-            for a in range(0, len(k), 200_000):
-                n = len(k[a : a + 200_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(k[a : a + n].view(np.int64)), pa.array(c[a : a + n].astype(np.int64))], names=["kind", "key", "n"])
+            part = (K.mix(k) >> U(57)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            k, c, part = k[order], c[order], part[order]
+            cut = np.searchsorted(part, np.arange(PARTS + 1))
+            used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
+            keys = [K.planes(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
+            counts = [K.planes(c[cut[p] : cut[p + 1]].astype(np.int64)) for p in used]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(np.array(used, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["kind", "part", "keys", "counts"])
         self.parts, self.size = [], 0
 
 
+#: Parts in which equal keys of all tasks meet (by 7 bits of a hash).
+PARTS = 128
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    keys = [np.cumsum(K.values(x.as_py(), "u8"), dtype=U) for x in group.column("keys")]
+    k, n = K.tally(np.concatenate(keys), np.concatenate([K.values(x.as_py(), "i8") for x in group.column("counts")]))
+    return pa.table({"kind": pa.array(np.full(len(k), group.column("kind")[0].as_py(), np.int32)), "key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
 def _count(batches):
     tokens, grams, docs = _Sum(), _Sum(), 0
     for batch in batches:
@@ -99,7 +115,9 @@ def _count(batches):
                 yield from x.take(kind)
     yield from tokens.take(0)
     yield from grams.take(1)
-    yield pa.RecordBatch.from_pydict({"kind": [2], "key": [0], "n": [docs]}, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())]))
+    ends_ = _Sum()
+    ends_.parts = [(np.zeros(1, U), np.array([docs]))]
+    yield from ends_.take(2)
 
 
 # ---- the model -----------------------------------------------------------------------------------
@@ -238,8 +256,8 @@ def score_documents(docs: DataFrame, held_out: str = "crc32(cast(doc_id as strin
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.expr(held_out))
-    counts = docs.where("not held_out").select("text").mapInArrow(_count, "kind int, key long, n long")
-    counts = keep(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = docs.where("not held_out").select("text").mapInArrow(_count, "kind int, part int, keys binary, counts binary")
+    counts = keep(counts.groupBy("kind", "part").applyInArrow(_merge, "kind int, key long, n long"), "counts")
     tokens = counts.where("kind = 0").select("key", "n")
     sums = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     end = counts.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0

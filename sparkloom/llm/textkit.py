@@ -163,6 +163,16 @@ def tally(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray,
     return x[at], np.diff(np.concatenate([at, [len(x)]])) if weight is None else np.add.reduceat(weight, at)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Values with bytes of equal weight together: those that are all zero compress to nothing in a shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def values(data: bytes, kind: str) -> np.ndarray:
+    """The values of planes()."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class Lookup:
     """A read-only hash table from 64-bit keys to positions, vectorised over queries."""
 
