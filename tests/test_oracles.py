@@ -1,13 +1,15 @@
 """Every query against its SQL on the smallest tables."""
 
+import os
 import datetime
 import decimal
 
 import pytest
-from conftest import SF
 
 from sparkloom.queries import ORACLE_SQL, QUERIES
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def norm(v):
     if isinstance(v, decimal.Decimal):
