@@ -236,12 +236,12 @@ def _parents(s, d):
 kvt = lambda s, d: KV.put(view(s, d, KVT).limit(0), view(s, d, KVT))
 _KV = f"(SELECT key, value, expired_at, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC) AS rn FROM ({KVT})) WHERE rn = 1)"
 _LIVE = f"(SELECT * FROM {_KV} WHERE expired_at IS NULL OR expired_at > {NOW})"
-now = F.expr(NOW)
-add("kv_live_entries", lambda s, d: KV.live(kvt(s, d), now).select("key", "value"), f"SELECT key, value FROM {_LIVE}")
-add("kv_get", lambda s, d: KV.get(kvt(s, d), "click:3", now).select("key", "value"), f"SELECT key, value FROM {_LIVE} WHERE key = 'click:3'")
+now = lambda: F.expr(NOW)
+add("kv_live_entries", lambda s, d: KV.live(kvt(s, d), now()).select("key", "value"), f"SELECT key, value FROM {_LIVE}")
+add("kv_get", lambda s, d: KV.get(kvt(s, d), "click:3", now()).select("key", "value"), f"SELECT key, value FROM {_LIVE} WHERE key = 'click:3'")
 add("kv_del_prefix", lambda s, d: KV.delete(kvt(s, d), "click*").select("key", "value"), f"SELECT key, value FROM {_KV} WHERE key NOT LIKE 'click%'")
-add("kv_len", lambda s, d: KV.live(kvt(s, d), now).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM {_LIVE}")
-add("kv_keys", lambda s, d: KV.keys(kvt(s, d), "view*", now), f"SELECT key FROM {_LIVE} WHERE key LIKE 'view%'")
+add("kv_len", lambda s, d: KV.live(kvt(s, d), now()).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM {_LIVE}")
+add("kv_keys", lambda s, d: KV.keys(kvt(s, d), "view*", now()), f"SELECT key FROM {_LIVE} WHERE key LIKE 'view%'")
 lists = lambda s, d: view(s, d, LISTS).withColumn("v", F.array("a", "b", "n"))
 _L = f"(SELECT *, [a, b, n] AS v FROM ({LISTS}))"
 for _k, _f, _sql in (
