@@ -29,7 +29,7 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt", "am"],
     "malayic": ["id", "ms"],
 }
-PER_LANG, LANGUAGES = 1000, 200
+PER_LANG, LANGUAGES = 600, 100
 BITS = 15
 _SCALE = 40.0
 
@@ -68,15 +68,15 @@ def _sparse(batches):
             stop = at[i + 1] if i + 1 < len(at) else len(place)
             k, n = np.unique(place[at[i] : stop].ravel(), return_counts=True)
             on = k < 1 << BITS
-            idx.append(k[on].astype(np.int32)), val.append(n[on] / max(1, count[i]) * _SCALE)
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], names=["lang", "idx", "val"])
+            idx.append(k[on].astype(np.int32)), val.append((n[on] / max(1, count[i]) * _SCALE).astype(np.float32))
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["lang", "idx", "val"])
 
 
 def svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Weights (the last is the bias) of a linear SVM with hinge loss; classes weigh the same."""
     w, a = np.zeros((1 << BITS) + 1), np.zeros(len(x))
     most = c * len(y) / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
-    norm = np.array([v @ v + 1 for _, v in x])
+    norm = np.array([float(v @ v) + 1 for _, v in x])
     rng = np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
@@ -96,7 +96,7 @@ class Classifier:
     """Family SVMs (one against the others) and, within each family, one SVM for every two languages."""
 
     def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
-        rows = sorted(rows, key=lambda r: (r[0], r[1].tolist(), r[2].tolist()))
+        rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
         self.langs = sorted({r[0] for r in rows})
         self.families = sorted({family(x) for x in self.langs})
         of = np.array([self.families.index(family(r[0])) for r in rows], np.int64)
@@ -181,8 +181,14 @@ def train(docs: DataFrame) -> Classifier:
         return Classifier([])
     share = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, PER_LANG / n)])
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    got = drawn.select("lang", "text").mapInArrow(_sparse, "lang string, idx array<int>, val array<double>").limit(2 * PER_LANG * len(count)).toArrow().to_pylist()
-    return Classifier([(r["lang"], np.array(r["idx"], np.int64), np.array(r["val"])) for r in got])
+    got = drawn.select("lang", "text").mapInArrow(_sparse, "lang string, idx array<int>, val array<float>").limit(2 * PER_LANG * len(count)).toArrow().combine_chunks()
+    if not got.num_rows:
+        return Classifier([])
+    # views of the Arrow buffers: the sample's features stay as compact as they came
+    lists = [got.column(c).combine_chunks() if isinstance(got.column(c), pa.ChunkedArray) else got.column(c) for c in ("idx", "val")]
+    at = lists[0].offsets.to_numpy()
+    idx, val = (x.values.to_numpy() for x in lists)
+    return Classifier([(lang, idx[a:b], val[a:b]) for lang, a, b in zip(got.column("lang").to_pylist(), at[:-1], at[1:], strict=True)])
 
 
 def identify(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 5 = 0") -> DataFrame:
