@@ -8,11 +8,14 @@ earlier line, judged on the input (earlier: smaller doc_id, then line number).
 2.  A second pass makes each line's prefix (its rarest n - ceil(t * n) + 1
     tokens) and sends it as compact columns by token ranges; of lines with equal
     sets a task sends the first only.
-3.  In a range, lines that share a prefix token meet. Length and positional
-    filters and 128 parities of the set (its tokens by hash class: a parity that
-    differs is a token that differs) leave few pairs. Exact copies are settled by
-    their prints before.
-4.  Pairs are verified on the words themselves.
+3.  In a range, lines that share a prefix token meet. Two sets' first common
+    token has p and q tokens before it, all of which differ; 128 parities of the
+    tokens after it (by hash class: a parity that differs is a token that differs)
+    bound the rest. Pairs too far apart at a token are left to their first common
+    one or to none. A token that occurs once in all lines meets nothing and stays
+    behind. Exact copies are settled by their prints before.
+4.  Pairs are verified on the words themselves: a line's likeliest pair first, and
+    the others of the lines that it does not settle.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ COUNTER_BITS = 22
 PARTS = 256
 _HELD = 600_000
 _LINE_SLICE = 1 << 20
+#: The level of a count of 1.
+_ONCE = 8
 
 
 def lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +70,7 @@ def _levels(group: pa.Table) -> pa.Table:
 
 
 class Lines:
-    """Ordered word sets of a slice's lines: per line its size, print and map; per element its line and place."""
+    """Ordered word sets of a slice's lines: per line its size and print; per element its line, its place and the parities of those after it."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, levels: np.ndarray):
         self.row, self.number, self.at = lines(data, ends)
@@ -82,15 +87,18 @@ class Lines:
         self.size = np.bincount(self.line, minlength=count)
         start = np.cumsum(self.size) - self.size
         self.place = np.arange(len(x)) - start[self.line]
-        self.sum1, self.sum2, self.even, self.odd = (np.zeros(count, U) for _ in range(4))
+        self.sum1, self.sum2 = (np.zeros(count, U) for _ in range(2))
+        self.even, self.odd = (np.zeros(len(x), U) for _ in range(2))
         on = np.flatnonzero(self.size)
         if len(on):
             m = K.mix(self.token)
             self.sum1[on] = np.add.reduceat(m, start[on])
             self.sum2[on] = np.bitwise_xor.reduceat(K.mix(m), start[on])
             bit, low = U(1) << ((m >> U(57)) & U(63)), m >> U(63) == 0
-            self.even[on] = np.bitwise_xor.reduceat(np.where(low, bit, U(0)), start[on])
-            self.odd[on] = np.bitwise_xor.reduceat(np.where(low, U(0), bit), start[on])
+            last = (start + self.size - 1)[self.line]
+            even = np.bitwise_xor.accumulate(np.where(low, bit, U(0)))
+            odd = np.bitwise_xor.accumulate(np.where(low, U(0), bit))
+            self.even, self.odd = even ^ even[last], odd ^ odd[last]
 
 
 BLOBS = ["part", "tokens", "docs", "lines", "sizes", "places", "even", "odd", "prints"]
@@ -113,9 +121,10 @@ def _send(shared, percent: int):
                 order = np.lexsort((L.number, doc, print_))
                 first = np.zeros(len(order), bool)
                 first[order] = np.concatenate([[True], print_[order][1:] != print_[order][:-1]])
-                k = np.flatnonzero(first[L.line] & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line]))
+                shared_token = L.token >> U(36) > U(_ONCE)
+                k = np.flatnonzero(first[L.line] & shared_token & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line]))
                 n = L.line[k]
-                held.append((L.token[k], doc[n], L.number[n], L.size[n], L.place[k], L.even[n], L.odd[n], print_[n] >> U(32)))
+                held.append((L.token[k], doc[n], L.number[n], L.size[n], L.place[k], L.even[k], L.odd[k], print_[n] >> U(32)))
                 count += len(k)
                 if count > _HELD:
                     yield _packed(held)
@@ -139,7 +148,7 @@ def _packed(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=BLOBS)
 
 
-PAIRS = "doc_id long, line int, doc2 long, line2 int"
+PAIRS = "doc_id long, line int, doc2 long, line2 int, apart int"
 _PAIR_STEP = 2_000_000
 
 
@@ -154,7 +163,7 @@ def _meet(percent: int):
         c = {n: x[new] for n, x in c.items()}
         order = np.lexsort((c["sizes"], c["tokens"]))
         c = {n: x[order] for n, x in c.items()}
-        tokens, sizes = c["tokens"], c["sizes"].astype(np.int64)
+        tokens, sizes, places = c["tokens"], c["sizes"].astype(np.int64), c["places"].astype(np.int64)
         # each row is compared with the rows after it of the same token up to size * 100 / percent
         at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         bucket = np.cumsum(np.concatenate([[True], tokens[1:] != tokens[:-1]])) - 1
@@ -172,17 +181,18 @@ def _meet(percent: int):
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             both = sizes[i] + sizes[j]
             need = -(-percent * both // (100 + percent))
-            on = np.bitwise_count(c["even"][i] ^ c["even"][j]).astype(np.int64) + np.bitwise_count(c["odd"][i] ^ c["odd"][j]) <= both - 2 * need
-            i, j, both, need = i[on], j[on], both[on], need[on]
-            p, q = c["places"][i].astype(np.int64), c["places"][j].astype(np.int64)
-            on = np.minimum(p, q) + np.minimum(sizes[i] - p, sizes[j] - q) >= need
-            found.append(np.stack([i[on], j[on]], axis=1))
+            apart = places[i] + places[j]
+            on = (apart <= both - 2 * need) & (np.minimum(sizes[i] - places[i], sizes[j] - places[j]) >= need)
+            i, j, most, apart = i[on], j[on], (both - 2 * need)[on], apart[on]
+            apart += np.bitwise_count(c["even"][i] ^ c["even"][j]).astype(np.int64) + np.bitwise_count(c["odd"][i] ^ c["odd"][j])
+            on = apart <= most
+            found.append(np.stack([i[on], j[on], apart[on]], axis=1))
             lo = hi
-        i, j = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
+        i, j, apart = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
         doc, line = c["docs"], c["lines"]
         later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
         i, j = np.where(later, i, j), np.where(later, j, i)
-        return pa.table({"doc_id": doc[i], "line": line[i], "doc2": doc[j], "line2": line[j]})
+        return pa.table({"doc_id": doc[i], "line": line[i], "doc2": doc[j], "line2": line[j], "apart": apart.astype(np.int32)})
 
     return run
 
@@ -206,6 +216,18 @@ def _verify(percent: int):
     return run
 
 
+def _cut(batches):
+    """The wanted lines of each text."""
+    for batch in batches:
+        out = []
+        for doc, text, want in zip(*(batch.column(n) for n in ("doc_id", "text", "want")), strict=True):
+            every, doc = text.as_py().split("\n"), doc.as_py()
+            out += [(doc, k, every[k]) for k in want.as_py()]
+        for a in range(0, len(out), 4096):
+            ids, number, lines_ = zip(*out[a : a + 4096], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(lines_, pa.string())], names=["doc_id", "line", "text"])
+
+
 def _prints(shared):
     def run(batches):
         levels = shared.value
@@ -236,14 +258,20 @@ def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     copies = own.join(many, "print").where("struct(doc_id, line) <> low").select("doc_id", "line")
 
     pairs = known.mapInArrow(_send(shared, percent), BLOB_SCHEMA).groupBy("part").applyInArrow(_meet(percent), PAIRS)
-    pairs = keep(pairs.distinct(), "pairs")
+    pairs = keep(pairs.groupBy("doc_id", "line", "doc2", "line2").agg(F.min("apart").alias("apart")), "pairs")
     # a set's rows may carry a line that a slice saw first: the whole table's first line stands for the set
     need = pairs.select("doc_id", "line").union(pairs.select("doc2", "line2")).distinct()
     texts = known.join(need.groupBy("doc_id").agg(F.collect_set("line").alias("want")), "doc_id")
-    cut = texts.select("doc_id", F.explode("want").alias("line"), F.split("text", "\n").alias("all")).select("doc_id", "line", F.element_at("all", F.col("line") + 1).alias("text"))
-    cut = keep(cut, "cut")
-    sides = pairs.join(cut, ["doc_id", "line"]).join(cut.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("text").alias("text2")), ["doc2", "line2"])
-    match = sides.select("doc_id", "line", "text", "text2").mapInArrow(_verify(percent), "doc_id long, line int").distinct()
+    cut = keep(texts.mapInArrow(_cut, "doc_id long, line int, text string"), "cut")
+
+    def verified(some: DataFrame) -> DataFrame:
+        sides = some.select("doc_id", "line", "doc2", "line2").join(cut, ["doc_id", "line"])
+        sides = sides.join(cut.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("text").alias("text2")), ["doc2", "line2"])
+        return keep(sides.select("doc_id", "line", "text", "text2").mapInArrow(_verify(percent), "doc_id long, line int").distinct(), "matches")
+
+    best = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc2", "line2")).alias("p"))
+    match = verified(best.select("doc_id", "line", "p.doc2", "p.line2"))
+    match = match.unionByName(verified(pairs.join(match, ["doc_id", "line"], "left_anti")))
     return match.unionByName(copies).distinct()
 
 
