@@ -4,7 +4,7 @@ A line's tokens are its distinct words (lower-cased), ordered by rarity. Two
 lines match when 100 * |A & B| >= percent * |A | B|; a line goes if it matches an
 earlier line, judged on the input (earlier: smaller doc_id, then line number).
 
-1.  A pass counts words in hash counters for the order.
+1.  A pass counts words in hash counters for the order, and prints all sets.
 2.  A second pass makes each line's prefix (its rarest n - ceil(t * n) + 1
     tokens) and sends it as compact columns by token ranges; of lines with equal
     sets a task sends the first only.
@@ -48,17 +48,46 @@ def lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, np.arange(len(row)) - np.searchsorted(row, row), at
 
 
-def _count(batches):
+FIRST = "part int, at binary, n binary, doc_id long, line int, print long"
+_FIRST = pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("print", pa.int64())])
+
+
+def _sets(line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct tokens (44 bits) in order."""
+    if len(line) and line[-1] < 1 << 20:
+        x = np.sort((line.astype(U) << U(44)) | token)
+        x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+        return (x >> U(44)).astype(np.int64), x & U((1 << 44) - 1)
+    order = np.lexsort((token, line))
+    line, token = line[order], token[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
+    return line[new], token[new]
+
+
+def _first_pass(batches):
+    """Prints of all lines with words, and last the counts of words."""
     total = np.zeros(1 << COUNTER_BITS, np.int64)
     for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         data, ends = K.buffers(batch.column("text"))
-        for a, b in K.slices(ends):
-            h = K.words(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[2]
+        for a, b in K.slices(ends, _LINE_SLICE):
+            row, number, at = lines(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+            s, _, h, _ = K.words(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+            if not len(h):
+                continue
             np.add.at(total, (h >> U(64 - COUNTER_BITS)).astype(np.int64), 1)
+            line, token = _sets(np.searchsorted(at, s, side="right") - 1, h & U((1 << 44) - 1))
+            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            m = K.mix(token)
+            size = np.diff(np.concatenate([start, [len(line)]])).astype(U)
+            print_ = K.mix(np.add.reduceat(m, start) ^ K.mix(np.bitwise_xor.reduceat(K.mix(m), start) + size))
+            on, none = line[start], [None] * len(start)
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(ids[a + row[on]].astype(np.int64)), pa.array(number[on].astype(np.int32)), pa.array(print_.view(np.int64))], schema=_FIRST)
     for part, x in enumerate(np.split(total, 64)):
         if x.any():
             k = np.flatnonzero(x)
-            yield pa.RecordBatch.from_pydict({"part": [part], "at": [k.astype(np.int32).tobytes()], "n": [np.minimum(x[k], 2**31 - 1).astype(np.int32).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"part": [part], "at": [k.astype(np.int32).tobytes()], "n": [np.minimum(x[k], 2**31 - 1).astype(np.int32).tobytes()], "doc_id": [None], "line": [None], "print": [None]}, schema=_FIRST)
 
 
 def _levels(group: pa.Table) -> pa.Table:
@@ -78,17 +107,13 @@ class Lines:
         line = np.searchsorted(self.at, s, side="right") - 1
         # rows without bytes put several lines at one place: the last of them has the words
         level = levels[(h >> U(64 - COUNTER_BITS)).astype(np.int64)].astype(U)
-        x = np.sort((line.astype(U) << U(44)) | (level << U(36)) | (h & U((1 << 36) - 1)))
-        if len(x):
-            x = x[np.concatenate([[True], x[1:] != x[:-1]])]
-        self.line = (x >> U(44)).astype(np.int64)
-        self.token = x & U((1 << 44) - 1)
+        self.line, self.token = _sets(line, (level << U(36)) | (h & U((1 << 36) - 1)))
         count = len(self.row)
         self.size = np.bincount(self.line, minlength=count)
         start = np.cumsum(self.size) - self.size
-        self.place = np.arange(len(x)) - start[self.line]
+        self.place = np.arange(len(self.line)) - start[self.line]
         self.sum1, self.sum2 = (np.zeros(count, U) for _ in range(2))
-        self.even, self.odd = (np.zeros(len(x), U) for _ in range(2))
+        self.even, self.odd = (np.zeros(len(self.line), U) for _ in range(2))
         on = np.flatnonzero(self.size)
         if len(on):
             m = K.mix(self.token)
@@ -156,10 +181,10 @@ def _meet(percent: int):
     def run(group: pa.Table) -> pa.Table:
         c = {n: np.concatenate([K.values(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
         # one row for each token and set: the earliest line of equal sets
-        same = ("tokens", "prints", "sizes", "even", "odd")
-        order = np.lexsort((c["lines"], c["docs"], *(c[n] for n in same[::-1])))
-        c = {n: x[order] for n, x in c.items()}
-        new = np.concatenate([[True], np.any([c[n][1:] != c[n][:-1] for n in same], axis=0)])
+        same = K.mix((c["tokens"].astype(U) << U(32)) | c["prints"]) ^ K.mix(c["even"] + K.mix(c["odd"] + K.mix(c["sizes"].astype(U))))
+        order = np.lexsort((c["lines"], c["docs"], same))
+        same = same[order]
+        new = order[np.concatenate([[True], same[1:] != same[:-1]])]
         c = {n: x[new] for n, x in c.items()}
         order = np.lexsort((c["sizes"], c["tokens"]))
         c = {n: x[order] for n, x in c.items()}
@@ -170,7 +195,9 @@ def _meet(percent: int):
         widest = int(sizes.max()) + 1
         key = bucket * widest * 2 + sizes
         stop = np.searchsorted(key, bucket * widest * 2 + np.minimum(sizes * 100 // percent, widest), side="right")
-        count = stop - np.arange(len(tokens)) - 1
+        # the first common token is among the smaller set's first ones, so many that the others are too few to match
+        near = places <= sizes - -(-2 * percent * sizes // (100 + percent))
+        count = np.where(near, stop - np.arange(len(tokens)) - 1, 0)
         total = np.cumsum(count)
         found, lo = [], 0
         while lo < len(count):
@@ -228,31 +255,18 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(lines_, pa.string())], names=["doc_id", "line", "text"])
 
 
-def _prints(shared):
-    def run(batches):
-        levels = shared.value
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, ends = K.buffers(batch.column("text"))
-            for a, b in K.slices(ends, _LINE_SLICE):
-                L = Lines(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], levels)
-                on = np.flatnonzero(L.size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + L.row[on]].astype(np.int64)), pa.array(L.number[on].astype(np.int32)), pa.array(K.mix(L.sum1 ^ K.mix(L.sum2 + L.size.astype(U)))[on].view(np.int64))], names=["doc_id", "line", "print"])
-
-    return run
-
-
 def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, line) of every line of docs(doc_id, text, ...) that matches an earlier one; lines count from 0."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    counted = known.mapInArrow(_count, "part int, at binary, n binary").groupBy("part").applyInArrow(_levels, "part int, levels binary")
+    first = keep(known.mapInArrow(_first_pass, FIRST), "lines")
+    counted = first.where("part is not null").select("part", "at", "n").groupBy("part").applyInArrow(_levels, "part int, levels binary")
     levels = np.zeros((64, (1 << COUNTER_BITS) // 64), np.uint8)
     for r in counted.collect():  # 2**COUNTER_BITS bytes in all
         levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     shared = spark.sparkContext.broadcast(levels.ravel())
 
-    own = keep(known.mapInArrow(_prints(shared), "doc_id long, line int, print long"), "lines")
+    own = first.where("print is not null").select("doc_id", "line", "print")
     low = own.groupBy("print").agg(F.min(F.struct("doc_id", "line")).alias("low"), F.count("*").alias("n"))
     many = keep(low.where("n > 1").select("print", "low"), "copies")
     copies = own.join(many, "print").where("struct(doc_id, line) <> low").select("doc_id", "line")
