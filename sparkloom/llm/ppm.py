@@ -9,9 +9,12 @@ symbols are seen in its suffix too, so the excluded mass is one number a context
 and all of it is looked up in bulk. Last comes a uniform choice of what is left
 of 256 bytes and the end. Texts start with ORDER start symbols.
 
-Counts come from all learning rows. The trie that is broadcast has a fixed
-capacity: of each order, contexts of at least 2**j occurrences with the least j
-whose symbols fit in NODES; what falls out is coded by its shorter context.
+Counts come from all learning rows, and every counted context is used. Contexts
+of two symbols or more lie in parts by a hash of their last two, so a part holds
+all contexts a string can fall back to but those of one symbol and of none, which
+the alphabet bounds (258**2) and which are broadcast. Texts are put into chunks
+of about CHUNK bytes; a chunk asks each part once for each of its distinct
+strings and sums the answers along its texts.
 
 The unigram base score needs the count of every token. The HEAVY commonest
 tokens are looked up in the scoring pass; all others are joined.
@@ -31,8 +34,8 @@ from .stage import keep
 
 U = np.uint64
 ORDER = 5
-#: Trie nodes of each order in the broadcast model (16 bytes each at most), and tokens whose counts are broadcast.
-NODES = 700_000
+#: Bytes of text (a longer one is alone) whose distinct strings are looked up together, and tokens whose counts are broadcast.
+CHUNK = 1 << 23
 HEAVY = 1 << 18
 START, END = 256, 257
 _BITS = 9
@@ -65,8 +68,8 @@ class _Sum:
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, x):
-        self.parts.append(K.tally(x))
+    def add(self, x, n=None):
+        self.parts.append(K.tally(x, n))
         self.size += len(self.parts[-1][0])
         if self.size > _HELD and len(self.parts) > 1:
             self.merge()
@@ -80,10 +83,8 @@ class _Sum:
         """A row for each part: its keys in order as differences, and their counts, both with bytes of equal weight together."""
         self.merge()
         for k, c in self.parts:
-            part = (K.mix(k) >> U(57)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            k, c, part = k[order], c[order], part[order]
-            cut = np.searchsorted(part, np.arange(PARTS + 1))
+            order, cut = split(k >> U(_BITS) & _TWO if kind == GRAMS else k)
+            k, c = k[order], c[order]
             used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
             keys = [K.planes(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
             counts = [K.planes(c[cut[p] : cut[p + 1]].astype(np.int64)) for p in used]
@@ -93,6 +94,15 @@ class _Sum:
 
 #: Parts in which equal keys of all tasks meet (by 7 bits of a hash).
 PARTS = 128
+TOKENS, GRAMS, DOCS, PAIRS = range(4)
+_TWO = U((1 << (2 * _BITS)) - 1)
+
+
+def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of x by part, in order within each, and where each part begins (PARTS + 1)."""
+    part = (K.mix(x) >> U(57)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(PARTS + 1))
 
 
 def _merge(group: pa.Table) -> pa.Table:
@@ -102,22 +112,27 @@ def _merge(group: pa.Table) -> pa.Table:
 
 
 def _count(batches):
-    tokens, grams, docs = _Sum(), _Sum(), 0
+    tokens, grams, pairs, docs = _Sum(), _Sum(), _Sum(), 0
     for batch in batches:
         docs += batch.num_rows
         data, ends = K.buffers(batch.column("text"))
-        for a, b in K.slices(ends):
+        for a, b in K.slices(ends, 1 << 19):
             own, cut = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
             tokens.add(K.words(own, cut)[2])
-            grams.add(symbols(own, cut)[0])
-        for kind, x in enumerate((tokens, grams)):
+            packed = symbols(own, cut)[0]
+            grams.add(packed)
+            pairs.add(packed & _TWO)
+            if pairs.size > _HELD:
+                pairs.merge()
+        for kind, x in ((TOKENS, tokens), (GRAMS, grams)):
             if x.size > _HELD:
                 yield from x.take(kind)
-    yield from tokens.take(0)
-    yield from grams.take(1)
+    yield from tokens.take(TOKENS)
+    yield from grams.take(GRAMS)
+    yield from pairs.take(PAIRS)
     ends_ = _Sum()
     ends_.parts = [(np.zeros(1, U), np.array([docs]))]
-    yield from ends_.take(2)
+    yield from ends_.take(DOCS)
 
 
 # ---- the model -----------------------------------------------------------------------------------
@@ -178,69 +193,126 @@ def kinds_of_root(model: Model) -> float:
     return min(256.0, float(model.kinds[0][0])) if len(model.kinds[0]) else 0.0
 
 
-def train(counts: DataFrame) -> Model:
-    """The model of counts(key, n) over packed strings; at most NODES rows of each order reach the driver."""
-    key, per = F.col("key"), {ORDER: counts.select("key", "n")}
-    for k in range(ORDER - 1, -1, -1):
-        per[k] = per[k + 1].groupBy(key.bitwiseAND(F.lit((1 << (_BITS * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if k >= 2:
-            per[k] = keep(per[k], "grams")
-    grams, least = [], 0
-    for k in range(ORDER + 1):
-        ctx = F.shiftright("key", _BITS)
-        size = per[k].groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-        level = {r["level"]: r["d"] for r in size.groupBy(F.floor(F.log2("t")).cast("int").alias("level")).agg(F.sum("d").alias("d")).collect()}
-        room, j = NODES, max(level, default=0) + 1
-        while j - 1 >= 0 and room >= level.get(j - 1, 0):
-            j -= 1
-            room -= level.get(j, 0)
-        least = max(least, j)  # a context's suffix has at least its count: what is known stays nested
-        kept = per[k]
-        if least:
-            kept = kept.join(size.where(F.col("t") >= (1 << least)).select("ctx"), ctx == F.col("ctx"), "left_semi")
-        got = kept.select("key", "n").toArrow()
-        key_, n = got.column("key").to_numpy().view(U), got.column("n").to_numpy()
-        order = np.argsort(key_)
-        grams.append((key_[order], n[order]))
-    return Model(grams)
+def part_model(key: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> Model:
+    """The model of one part: its packed strings, sorted, with their counts, and all strings of two symbols with theirs."""
+    grams = [K.tally(pairs[0] & U((1 << _BITS) - 1), pairs[1]), pairs]
+    return Model([*grams, *[K.tally(key & U((1 << (_BITS * (k + 1))) - 1), n) for k in range(2, ORDER)], (key, n)])
 
 
 # ---- scoring -------------------------------------------------------------------------------------
 
 SCORED = "rid long, doc_id long, held_out boolean, kind int, h long, n long, n_tokens long, known long, base double, score double"
+CHUNKS = "chunk long, rid array<long>, doc_id array<long>, held_out array<boolean>, ends binary, text binary"
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def _score(shared):
+def squeeze(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + (_ZSTD.compress(K.planes(x), asbytes=True) if len(x) else b"")
+
+
+def unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return K.values(_ZSTD.decompress(data[8:], n * np.dtype(kind).itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
+
+
+def texts_of(ends: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's bytes and row offsets."""
+    return unsqueeze(text, "u1"), unsqueeze(ends, "i8")
+
+
+def _pack(batches):
+    """Rows of CHUNKS; a chunk is named by its first row."""
+    for batch in batches:
+        data, ends = K.buffers(batch.column("text"))
+        cuts = list(K.slices(ends, CHUNK))
+        first = np.array([a for a, _ in cuts], np.int32)
+        offsets = pa.array(np.append(first, batch.num_rows).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("rid", "doc_id", "held_out")]
+        packed = [pa.array([squeeze(x) for x in own], pa.binary()) for own in ((ends[a : b + 1] - ends[a] for a, b in cuts), (data[ends[a] : ends[b]] for a, b in cuts))]
+        yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(first)), *lists, *packed], names=[x.split()[0] for x in CHUNKS.split(", ")])
+
+
+def strings(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct packed strings by part, in order within each, and where each part begins."""
+    parts = [K.distinct(symbols(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[0]) for a, b in K.slices(ends, 1 << 18)]
+    k = K.distinct(np.concatenate(parts)) if parts else np.zeros(0, U)
+    order, cut = split(k >> U(_BITS) & _TWO)
+    return k[order], cut
+
+
+def _ask(batches):
+    """A row for each chunk and part: the chunk's strings there, as differences."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            k, cut = strings(*texts_of(batch.column("ends")[i].as_py(), batch.column("text")[i].as_py()))
+            used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
+            keys = [squeeze(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(used, np.int32)), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()), pa.array(keys, pa.binary())], names=["part", "chunk", "keys"])
+
+
+def _answer(shared):
+    """log10 of the strings asked for; of each part the counts come first, then what is asked."""
+
     def run(batches):
-        model, keys, counts, log_z, end = shared.value
-        table, logs = K.Lookup(keys), np.append(np.log10(counts + 1.0), 0.0)
+        now, held, model = None, None, None
         for batch in batches:
-            data, ends = K.buffers(batch.column("text"))
-            for a, b in K.slices(ends, 1 << 20):
-                own, cut = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
-                rows = b - a
-                rid = batch.column("rid").slice(a, rows)
-                packed, at = symbols(own, cut)
-                score = np.add.reduceat(model.log10(packed), at[:-1])
-                h, at = K.words(own, cut)[2:]
-                size = np.diff(at)
-                row = np.repeat(np.arange(rows), size)
-                hit = table.find(h)
-                known = np.bincount(row[hit >= 0], minlength=rows)
-                base = np.bincount(row, logs[hit], rows) - size * log_z + math.log10(end + 1) - log_z
-                none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [rid, batch.column("doc_id").slice(a, rows), batch.column("held_out").slice(a, rows), pa.array(np.ones(rows, np.int32)), rid, none, pa.array(size + 1), pa.array(known + int(end > 0)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in SCORED.split(", ")]
-                )
-                rare = np.flatnonzero(hit < 0)
-                if len(rare):
-                    order = rare[np.lexsort((h[rare], row[rare]))]
-                    new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])]))
-                    m, ints = len(new), pa.nulls(len(new), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
+            for part, chunk, keys, counts in zip(*(batch.column(c) for c in ("part", "chunk", "keys", "counts")), strict=True):
+                if part != now:
+                    now, held, model = part, _Sum(), None
+                if counts.is_valid:
+                    held.add(np.cumsum(K.values(keys.as_py(), "u8"), dtype=U), K.values(counts.as_py(), "i8"))
+                    if held.size > _HELD:
+                        held.merge()
+                    continue
+                if model is None:
+                    held.merge()
+                    model = part_model(*(held.parts or [(np.zeros(0, U), np.zeros(0, np.int64))])[0], shared.value)
+                # few distinct values: their bits in order as differences, and which one each string has
+                kinds, which = np.unique(model.log10(np.cumsum(unsqueeze(keys.as_py(), "u8"), dtype=U)).view(U), return_inverse=True)
+                kinds = np.diff(kinds, prepend=U(0))
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([chunk.as_py()], pa.int64()), pa.array([squeeze(kinds)], pa.binary()), pa.array([squeeze(which.astype(np.uint32))], pa.binary())], names=["part", "chunk", "kinds", "which"])
+
+    return run
+
+
+def _score(shared):
+    names = [x.split()[0] for x in SCORED.split(", ")]
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, counts, log_z, end = shared.value
+        table, logs = K.Lookup(keys), np.append(np.log10(counts + 1.0), 0.0)
+        rids, doc_ids, held = (chunk.column(c).chunk(0)[0].values for c in ("rid", "doc_id", "held_out"))
+        data, ends = texts_of(chunk.column("ends")[0].as_py(), chunk.column("text")[0].as_py())
+        found = K.Lookup(strings(data, ends)[0])
+        by_part = np.argsort(answers.column("part").to_numpy())
+        value = np.concatenate([np.cumsum(unsqueeze(answers.column("kinds")[int(i)].as_py(), "u8"), dtype=U)[unsqueeze(answers.column("which")[int(i)].as_py(), "u4")] for i in by_part]).view(float)
+        out = []
+        for a, b in K.slices(ends, 1 << 18):
+            own, cut = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+            rows = b - a
+            rid = rids.slice(a, rows)
+            packed, at = symbols(own, cut)
+            score = np.add.reduceat(value[found.find(packed)], at[:-1])
+            h, at = K.words(own, cut)[2:]
+            size = np.diff(at)
+            row = np.repeat(np.arange(rows), size)
+            hit = table.find(h)
+            known = np.bincount(row[hit >= 0], minlength=rows)
+            base = np.bincount(row, logs[hit], rows) - size * log_z + math.log10(end + 1) - log_z
+            none = pa.nulls(rows, pa.int64())
+            out.append(pa.RecordBatch.from_arrays([rid, doc_ids.slice(a, rows), held.slice(a, rows), pa.array(np.ones(rows, np.int32)), rid, none, pa.array(size + 1), pa.array(known + int(end > 0)), pa.array(base), pa.array(score)], names=names))
+            rare = np.flatnonzero(hit < 0)
+            if len(rare):
+                order = rare[np.lexsort((h[rare], row[rare]))]
+                new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])]))
+                m, ints = len(new), pa.nulls(len(new), pa.int64())
+                out.append(
+                    pa.RecordBatch.from_arrays(
                         [rid.take(pa.array(row[order[new]])), ints, pa.nulls(m, pa.bool_()), pa.array(np.zeros(m, np.int32)), pa.array(h[order[new]].view(np.int64)), pa.array(np.diff(np.append(new, len(order)))), ints, ints, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                        names=[x.split()[0] for x in SCORED.split(", ")],
+                        names=names,
                     )
+                )
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -256,18 +328,24 @@ def score_documents(docs: DataFrame, held_out: str = "crc32(cast(doc_id as strin
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.expr(held_out))
-    counts = docs.where("not held_out").select("text").mapInArrow(_count, "kind int, part int, keys binary, counts binary")
-    counts = keep(counts.groupBy("kind", "part").applyInArrow(_merge, "kind int, key long, n long"), "counts")
-    tokens = counts.where("kind = 0").select("key", "n")
+    raw = keep(docs.where("not held_out").select("text").mapInArrow(_count, "kind int, part int, keys binary, counts binary"), "partial")
+    counts = keep(raw.where(F.col("kind") != GRAMS).groupBy("kind", "part").applyInArrow(_merge, "kind int, key long, n long"), "counts")
+    tokens = counts.where(F.col("kind") == TOKENS).select("key", "n")
     sums = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    end = counts.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
+    end = counts.where(F.col("kind") == DOCS).agg(F.sum("n").alias("n")).first()["n"] or 0
     total, kinds = (sums["n"] or 0) + end, sums["v"] + int(end > 0)
-    model = train(counts.where("kind = 1"))
-    heavy = tokens.orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
-    keys, n = heavy.column("key").to_numpy().view(U), heavy.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast((model, keys, n, math.log10(total + kinds + 1), end))
 
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(shared), SCORED)
+    def on_driver(df):
+        got = df.toArrow()
+        return got.column("key").to_numpy().view(U), got.column("n").to_numpy()
+
+    pairs = spark.sparkContext.broadcast(on_driver(counts.where(F.col("kind") == PAIRS).select("key", "n").orderBy("key")))
+    chunks = keep(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_pack, CHUNKS), "chunks")
+    asked = chunks.select("chunk", "ends", "text").mapInArrow(_ask, "part int, chunk long, keys binary").withColumn("counts", F.lit(None).cast("binary"))
+    parts = raw.where(F.col("kind") == GRAMS).select("part", F.lit(None).cast("long").alias("chunk"), "keys", "counts").unionByName(asked)
+    answers = parts.repartition("part").sortWithinPartitions("part", F.col("counts").isNull()).mapInArrow(_answer(pairs), "part int, chunk long, kinds binary, which binary")
+    shared = spark.sparkContext.broadcast((*on_driver(tokens.orderBy(F.desc("n"), "key").limit(HEAVY)), math.log10(total + kinds + 1), end))
+    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shared), SCORED)
     rest = tokens.select(F.col("key").alias("h"), F.lit(0).alias("kind"), F.col("n").alias("c"))
     more = F.sum(F.col("n") * F.log10(F.col("c") + 1))
     out = rows.join(rest, ["kind", "h"], "left").groupBy("rid").agg(

@@ -198,3 +198,25 @@ def test_large_tables_of_cells(docs, monkeypatch):
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
     got = mixing.calibrated(docs).select("doc_id", "__p").toPandas().sort_values("doc_id")
     assert got["__p"].to_numpy() == pytest.approx(want["__p"].to_numpy(), abs=1e-6)
+
+
+@pytest.mark.parametrize("chunk", [1 << 23, 200])
+def test_scores_use_every_counted_context(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    monkeypatch.setattr(ppm, "NODES", 20, raising=False)  # a capacity that an earlier version had
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde é"), rng.integers(0, 30))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    grams: Counter = Counter()
+    coded = [[ppm.START] * ppm.ORDER + list(t.encode()) + [ppm.END] for t in texts]
+    for d, s in enumerate(coded):
+        for i in range(ppm.ORDER, len(s)):
+            for k in range(ppm.ORDER + 1):
+                grams[tuple(s[i - k : i + 1])] += not held(d)
+    grams = +grams
+    got = {r.doc_id: r.score for r in ppm.score_documents(df).collect()}
+    assert len(got) == len(texts)
+    for d, s in enumerate(coded):
+        want = sum(math.log10(brute_ppm(grams, tuple(s[i - ppm.ORDER : i]), s[i])) for i in range(ppm.ORDER, len(s)))
+        assert got[d] == pytest.approx(want)
