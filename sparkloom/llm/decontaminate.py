@@ -4,7 +4,9 @@ Each mask looks at some of a run of tokens and ignores the others, so a
 substitution at an ignored place leaves the hash as it was. The test items'
 hashes are looked up at every place of every training text. A hit fixes how item
 and text lie against each other; along that diagonal all tokens are compared,
-and a window of tokens with enough equal ones is evidence.
+and a window of tokens with enough equal ones is evidence. The masks are chosen
+by enumeration: whatever tokens of a window differ, as long as it is evidence,
+some mask lies inside it on equal tokens only, so no evidence is missed.
 
 Tokens are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII bytes:
 punctuation and white space do not matter.
@@ -21,11 +23,13 @@ from . import textkit as K
 
 U = np.uint64
 #: 1: the token counts, 0: it is ignored.
-MASKS = ("11011011", "1110010111", "101100110101")
+MASKS = ("111011", "11001011", "11111", "101111", "11110001", "10100111", "11010101")
 #: A window of so many tokens (all of a shorter item) with at least so many percent equal is evidence; items of fewer tokens than LEAST are none.
 WINDOW, PERCENT, LEAST = 12, 75, 8
 #: Test items are broadcast in blocks of about so many characters.
 BLOCK_CHARS = 16_000_000
+#: Hits that are looked at together.
+_HITS = 1 << 15
 
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -63,18 +67,42 @@ class Items:
         self.table = K.Lookup(k[self.start])
         self.stop = np.append(self.start[1:], len(k))
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Distinct (item, where the item's first token would lie) of all hits in a text's tokens."""
+        self.length = np.array([len(t) for t in self.tokens], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([*self.tokens, np.zeros(1, U)])
+
+    def candidates(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, shift) of all hits with evidence around them; h: tokens of texts, rows: each text's range."""
         out = []
-        for m in range(len(MASKS)):
-            s = seeds(h, m)
-            found = self.table.find(s)
+        for m, mask in enumerate(MASKS):
+            found = self.table.find(seeds(h, m))
             at = np.flatnonzero(found >= 0)
-            if len(at):
-                a, b = self.start[found[at]], self.stop[found[at]]
-                k = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-                out.append(np.stack([self.item[k], np.repeat(at, b - a) - self.place[k]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            row = np.searchsorted(rows, at, side="right") - 1
+            on = at + len(mask) <= rows[row + 1]
+            at, row, found = at[on], row[on], found[at[on]]
+            size = self.stop[found] - self.start[found]
+            ends = np.cumsum(size)
+            for a in range(0, int(size.sum()), _HITS):
+                n = np.arange(a, min(a + _HITS, ends[-1]))
+                hit = np.searchsorted(ends, n, side="right")
+                k = self.start[found[hit]] + n - (ends - size)[hit]
+                own, place, where = row[hit], self.place[k], at[hit]
+                good = self._evident(h, rows, own, self.item[k], place, where)
+                out.append(np.stack([own, self.item[k], where - place - rows[own]], axis=1)[good])
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+    def _evident(self, h, rows, row, item, place, where) -> np.ndarray:
+        """Whether a window around each hit is evidence."""
+        step = np.arange(1 - WINDOW, WINDOW)
+        j, t = place[:, None] + step, where[:, None] + step
+        inside = (j >= 0) & (j < self.length[item][:, None]) & (t >= rows[row][:, None]) & (t < rows[row + 1][:, None])
+        same = inside & (self.flat[np.where(inside, j + self.first[item][:, None], -1)] == h[np.where(inside, t, 0)])
+        same, inside = (np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1, dtype=np.int16) for x in (same, inside))
+        good, width = np.zeros(len(item), bool), np.minimum(WINDOW, self.length[item])
+        for w in np.unique(width).tolist():
+            evident = (100 * (same[:, w:] - same[:, :-w]) >= PERCENT * w) & (inside[:, w:] - inside[:, :-w] == w)
+            good |= (width == w) & evident.any(axis=1)
+        return good
 
     def overlap(self, h: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
         """First and last token in the text of the evidence along a diagonal, and its equal tokens."""
@@ -103,17 +131,11 @@ def _scan(shared):
             out = []
             for a, b in K.slices(ends):
                 _, _, h, rows = K.words(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], _BREAK)
-                # one lookup for the whole slice; only rows with a hit are looked at one by one
-                any_hit = np.zeros(b - a, bool)
-                for m in range(len(MASKS)):
-                    at = np.flatnonzero(items.table.find(seeds(h, m)) >= 0)
-                    any_hit[np.searchsorted(rows, at, side="right") - 1] = True
-                for i in np.flatnonzero(any_hit):
-                    own, best = h[rows[i] : rows[i + 1]], {}
-                    for item, shift in items.hits(own).tolist():
-                        if got := items.overlap(own, item, shift):
-                            best[item] = max(best.get(item, (0, 0, 0)), (got[2], -got[0], got[1]))
-                    out += [(ids[a + int(i)].as_py(), int(items.ids[k]), -v[1], v[2], v[0]) for k, v in best.items()]
+                best = {}
+                for i, item, shift in items.candidates(h, rows).tolist():
+                    if got := items.overlap(h[rows[i] : rows[i + 1]], item, shift):
+                        best[i, item] = max(best.get((i, item), (0, 0, 0)), (got[2], -got[0], got[1]))
+                out += [(ids[a + i].as_py(), int(items.ids[k]), -v[1], v[2], v[0]) for (i, k), v in best.items()]
             yield pa.RecordBatch.from_pydict({n: [r[j] for r in out] for j, n in enumerate(x.split()[0] for x in FOUND.split(", "))}, schema=pa.schema([(x.split()[0], pa.int64()) for x in FOUND.split(", ")]))
 
     return run

@@ -220,3 +220,23 @@ def test_scores_use_every_counted_context(spark, monkeypatch, chunk):
     for d, s in enumerate(coded):
         want = sum(math.log10(brute_ppm(grams, tuple(s[i - ppm.ORDER : i]), s[i])) for i in range(ppm.ORDER, len(s)))
         assert got[d] == pytest.approx(want)
+
+
+def test_leaks_whatever_tokens_differ(spark):
+    from itertools import combinations
+
+    words = [f"w{i}" for i in range(40)]
+    docs, tests = [], []
+    for width in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
+        tests.append((width, " ".join(f"v{width}x{w}" for w in words[:width])))
+        for gone in combinations(range(width), width // 4):
+            own = ["zz" if i in gone else f"v{width}x{w}" for i, w in enumerate(words[:width])]
+            docs.append((len(docs), "a b " + " ".join(own) + " c"))
+    want = [(d, int(t.split("v")[1].split("x")[0])) for d, t in docs]
+    tests.append((99, " ".join(words)))
+    for every in (4, 5):
+        for phase in range(every):
+            want.append((len(docs), 99))
+            docs.append((len(docs), " ".join("zz" if i % every == phase else w for i, w in enumerate(words))))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == want
