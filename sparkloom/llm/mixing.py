@@ -3,12 +3,18 @@
 The corpus becomes a table of cells (source, language, topic) with their tokens.
 Raking scales the cells' weights to each marginal's targets in turn until all
 marginals hold. A document's probability is its cell's weight for its tokens,
-times one common factor, the largest with which the `keep` share of tokens is
-kept and no probability is over 1 where that can be.
+times the common factor with which the `keep` share of tokens is kept. Where
+some probability would pass 1, it is 1, and raking goes on with what the other
+cells can give; a target beyond all tokens of its value is met as far as they go
+and the rest is spread over the other values. Targets that are not met are
+reported in a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +72,94 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return w.drop("off")
 
 
+def level(total: float, at) -> float:
+    """The factor g with sum(least(t, g * x)) = total; at(g): sum of t where g * x >= t, and of x elsewhere. Without one: where all are full."""
+    g = 0.0
+    for _ in range(ROUNDS):
+        full, free = at(g)
+        if not free or (new := (total - full) / free) <= g * (1 + 1e-12):
+            break
+        g = new
+    return g
+
+
+def _factor(np_or_f, want, full, free):
+    """What a value's cells are scaled with: those at probability 1 stay so where the others can give the rest."""
+    where = np.where if np_or_f is np else lambda c, a, b: F.when(c, a).otherwise(b)
+    one = 1.0 if np_or_f is np else F.lit(1.0)
+    safe = where(free > 0, free, one)
+    both = where(full + free > 0, full + free, one)
+    return where(want > full, where(free > 0, (want - full) / safe, one), want / both)
+
+
+def bound_local(cells: pd.DataFrame, targets: dict[str, dict], share: float, rounds: int = ROUNDS, close: float = CLOSE) -> pd.Series:
+    """Probabilities of cells(dims..., tokens, w), w raked without bounds, that keep the share of tokens."""
+    t = cells["tokens"].astype(float)
+    w = cells["w"].fillna(0.0)
+    total = share * t[w > 0].sum()
+    u = total * w / t
+    if not (u > 1).any():
+        return u
+    wanted = {}
+    for dim, goal in targets.items():
+        own = t[w > 0].groupby(cells[dim]).sum()
+        goal = own.index.to_series().map(goal).fillna(0.0).astype(float)
+        g = level(total, lambda g: (own[g * goal >= own].sum(), goal[g * goal < own].sum()))
+        wanted[dim] = cells[dim].map(np.minimum(own, g * goal)).fillna(0.0)
+    for _ in range(rounds):
+        worst = 0.0
+        for dim, want in wanted.items():
+            full, free = (x.groupby(cells[dim]).transform("sum") for x in (t.where(u >= 1, 0.0), (t * u).where(u < 1, 0.0)))
+            worst = max(worst, float(((full + free - want).abs() / total).max()))
+            u = u * _factor(np, want, full, free)
+        if worst < close:
+            break
+    g = level(total, lambda g: (t[g * u >= 1].sum(), (t * u)[g * u < 1].sum()))
+    return np.minimum(1.0, g * u)
+
+
+def bound(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """The same for a table of any number of cells, with the probability as p."""
+    sums = cells.where("w > 0").agg(F.sum("tokens"), F.max(F.col("w") / F.col("tokens"))).first()
+    total = share * (sums[0] or 0)
+    t = F.col("tokens")
+    u = cells.withColumn("u", F.lit(total) * F.col("w") / t)
+    if total * (sums[1] or 0.0) <= 1:
+        return u.withColumnRenamed("u", "p")
+
+    def two(df, full, a, b):
+        r = df.agg(F.sum(F.when(full, a)), F.sum(F.when(~full, b))).first()
+        return r[0] or 0.0, r[1] or 0.0
+
+    wanted = {}
+    for dim, goal in targets.items():
+        own = keep(cells.where("w > 0").groupBy(dim).agg(F.sum("tokens").cast("double").alias("own")).join(goal.withColumnRenamed("value", dim), dim), "goals")
+        g = level(total, lambda g, own=own: two(own, F.lit(g) * F.col("share") >= F.col("own"), F.col("own"), F.col("share")))
+        wanted[dim] = own.select(dim, F.least("own", F.lit(g) * F.col("share")).alias("want"))
+    for _ in range(rounds):
+        u = u.withColumn("off", F.lit(0.0))
+        for dim, want in wanted.items():
+            now = u.groupBy(dim).agg(F.coalesce(F.sum(F.when(F.col("u") >= 1, t)), F.lit(0.0)).alias("full"), F.coalesce(F.sum(F.when(F.col("u") < 1, t * F.col("u"))), F.lit(0.0)).alias("free")).join(want, dim)
+            now = now.select(dim, _factor(F, F.col("want"), F.col("full"), F.col("free")).alias("factor"), (F.abs(F.col("full") + F.col("free") - F.col("want")) / total).alias("far"))
+            u = u.join(now, dim).withColumn("u", F.col("u") * F.col("factor")).withColumn("off", F.greatest("off", "far")).drop("factor", "far")
+        u = keep(u, "bound")
+        if (u.agg(F.max("off")).first()[0] or 0.0) < close:
+            break
+    g = level(total, lambda g: two(u, F.lit(g) * F.col("u") >= 1, t.cast("double"), t * F.col("u")))
+    return keep(u.drop("off").withColumn("p", F.least(F.lit(1.0), F.lit(g) * F.col("u"))).drop("u"), "bound")
+
+
+def unmet(weights: DataFrame, targets: dict[str, DataFrame], by: float = 1e-3) -> DataFrame:
+    """dim, value, share, got: the targets that the probabilities p of weights(dims..., tokens, p) miss by more than that."""
+    total = weights.agg(F.sum(F.col("tokens") * F.col("p")).alias("total"))
+    out = None
+    for dim, goal in targets.items():
+        now = weights.groupBy(F.col(dim).alias("value")).agg(F.sum(F.col("tokens") * F.col("p")).alias("got")).crossJoin(F.broadcast(total))
+        own = goal.join(now, "value", "left").select(F.lit(dim).alias("dim"), F.col("value").cast("string").alias("value"), "share", F.coalesce(F.col("got") / F.col("total"), F.lit(0.0)).alias("got"))
+        out = own if out is None else out.unionByName(own)
+    return out.where(F.abs(F.col("got") - F.col("share")) > by)
+
+
 def calibrated(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | None = None, seed: int = 7) -> DataFrame:
     """docs with __p (probability) and __take (drawn by it), by raked weights of source, lang and topic.
 
@@ -90,15 +184,18 @@ def calibrated(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | N
     if cells.count() <= DRIVER_CELLS:
         own = cells.toPandas()
         if len(own):
-            own["w"] = rake_local(own, {c: {r["value"]: r["share"] for r in t.collect()} for c, t in wanted.items()})
+            shares = {c: {r["value"]: r["share"] for r in t.collect()} for c, t in wanted.items()}
+            own["w"] = rake_local(own, shares)
+            own["p"] = bound_local(own, shares, share)
         else:
-            own["w"] = []
-        weights = spark.createDataFrame([tuple(r) for r in own.astype(object).itertuples(index=False)], "__s string, __l string, __t int, tokens long, w double")
+            own["w"] = own["p"] = []
+        weights = spark.createDataFrame([tuple(r) for r in own.astype(object).itertuples(index=False)], "__s string, __l string, __t int, tokens long, w double, p double")
     else:
-        weights = rake(cells, wanted)
-    # one factor for all: the kept share of tokens, unless some probability would pass 1
-    factor = weights.where("w > 0").agg(F.least(F.lit(share) * F.sum("tokens"), F.min(F.col("tokens") / F.col("w"))).alias("__f"))
-    p = weights.crossJoin(F.broadcast(factor)).select("__s", "__l", "__t", F.least(F.lit(1.0), F.col("w") * F.col("__f") / F.col("tokens")).alias("__p"))
+        weights = bound(rake(cells, wanted), wanted, share)
+    if missed := unmet(weights, wanted).orderBy(F.desc(F.abs(F.col("got") - F.col("share")))).limit(20).collect():
+        names = {c: d for d, c in dims.items()}
+        warnings.warn("targets not met (the first 20 at most): " + ", ".join(f"{names[r['dim']]} {r['value']!r} {r['got']:.4f} of {r['share']:.4f}" for r in missed), stacklevel=2)
+    p = weights.select("__s", "__l", "__t", F.col("p").alias("__p"))
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     out = marked.join(p, list(dims.values()), "left").withColumn("__p", F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(0.0))
     return out.withColumn("__take", u < F.col("__p"))

@@ -240,3 +240,18 @@ def test_leaks_whatever_tokens_differ(spark):
             docs.append((len(docs), " ".join("zz" if i % every == phase else w for i, w in enumerate(words))))
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_a_tiny_cell_does_not_lower_the_share(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
+    text = "common words of a text " * 40
+    rows = [(i, text, ["en", "de"][i % 2], f"s{i % 3}") for i in range(120)] + [(999, "one tiny text", "en", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="source 'tiny'"):
+        out = mixing.calibrated(df).toPandas()
+    assert out["__p"].between(0, 1).all() and out[out.source == "tiny"]["__p"].item() == 1
+    kept = (out["__p"] * out["__tokens"]).sum()
+    assert kept / out["__tokens"].sum() == pytest.approx(0.5, abs=1e-6)
+    by = (out["__p"] * out["__tokens"]).groupby(out.source).sum() / kept
+    assert by[["s0", "s1", "s2"]].to_numpy() == pytest.approx([by["s0"]] * 3, abs=1e-3)
