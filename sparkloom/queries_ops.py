@@ -17,7 +17,7 @@ NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 
 # ---- fixtures: the same expressions in Spark and in SQL ----
 CUSTOMER = f"SELECT *, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS deleted_at, concat('t', c_custkey % 3) AS __team_id, concat('u', c_custkey % 7) AS __created_by, concat('u', c_custkey % 5) AS __updated_by, concat('[\"', c_mktsegment, '\",\"x\"]') AS tags FROM customer"
-EDGES = "SELECT DISTINCT concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst, l_returnflag AS type FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0"
+EDGES = "SELECT DISTINCT concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst, l_returnflag AS type FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 NODES = "SELECT concat('c', c_custkey) AS id, 'customer' AS label, c_name AS name, c_mktsegment AS kind FROM customer UNION ALL SELECT concat('s', s_suppkey), 'supplier', s_name, 'none' FROM supplier"
 SEGMENTS = "SELECT l_orderkey AS segment, l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS vote, l_quantity AS score, concat('n', l_suppkey) AS node, l_partkey AS part FROM lineitem"
 KVT = "SELECT concat(event_type, ':', user_id % 50) AS key, concat('v', event_id) AS value, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN event_id % 4 = 1 THEN TIMESTAMP '2030-01-01 00:00:00' END AS expired_at, event_id AS updated_at FROM events"
