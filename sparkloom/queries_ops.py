@@ -145,11 +145,11 @@ add("vec_scroll", lambda s, d: V.scroll(emb(s, d), 20, 100).select("vec_id", "la
 
 
 def _batch(s, d):
-    q = emb(s, d).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = emb(s, d).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return V.batch_top_k(emb(s, d), q, 3).select("query_id", "rank", "vec_id", F.round("score", 5).alias("score"))
 
 
-add("vec_batch_topk", _batch, "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 5) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 3")
+add("vec_batch_topk", _batch, "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 5) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 3")
 add("vec_mmr", lambda s, d: s.createDataFrame([(int(i), float(x)) for i, x in V.mmr(emb(s, d), _q(s, d), 5)], "vec_id long, score double"))
 
 
@@ -212,23 +212,22 @@ add("vote_counts", lambda s, d: seg(s, d).groupBy("segment").agg(F.count_if(F.co
 add("hit_counts", lambda s, d: seg(s, d).groupBy("segment").agg(F.count("*").alias("hits")), f"SELECT segment, count(*) AS hits FROM ({SEGMENTS}) GROUP BY segment")
 add("segment_count", lambda s, d: seg(s, d).agg(F.countDistinct("segment").alias("n")), f"SELECT count(DISTINCT segment) AS n FROM ({SEGMENTS})")
 add("segment_score_merge", lambda s, d: G.latest(seg(s, d).select("segment", "id", "score"), ["segment"], "id"), f"SELECT segment, id, score FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY id DESC, score DESC) AS rn FROM ({SEGMENTS})) WHERE rn = 1")
-add("segment_graph_enrich", lambda s, d: seg(s, d).filter("segment % 50 = 0").groupBy("segment").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("nodes")), f"SELECT segment, string_agg(DISTINCT node, ',' ORDER BY node) AS nodes FROM ({SEGMENTS}) WHERE segment % 50 = 0 GROUP BY segment")
-add("segment_entities", lambda s, d: seg(s, d).filter("segment % 50 = 0").select("segment", "node").distinct(), f"SELECT DISTINCT segment, node FROM ({SEGMENTS}) WHERE segment % 50 = 0")
+add("segment_graph_enrich", lambda s, d: seg(s, d).groupBy("segment").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("nodes")), f"SELECT segment, string_agg(DISTINCT node, ',' ORDER BY node) AS nodes FROM ({SEGMENTS}) GROUP BY segment")
+add("segment_entities", lambda s, d: seg(s, d).select("segment", "node").distinct(), f"SELECT DISTINCT segment, node FROM ({SEGMENTS})")
 add("graph_nodes_to_segments", lambda s, d: seg(s, d).filter(F.col("node").isin("n1", "n2")).select("segment").distinct(), f"SELECT DISTINCT segment FROM ({SEGMENTS}) WHERE node IN ('n1', 'n2')")
 add("segment_assemble", lambda s, d: view(s, d, "SELECT p_partkey AS id, p_name AS text, 1.0D AS score FROM part").join(seg(s, d).groupBy(F.col("part").alias("id")).agg(F.max("score").alias("stored")), "id", "left").select("id", F.coalesce("stored", "score").alias("score")), f"SELECT p_partkey AS id, coalesce(max(s.score), 1.0) AS score FROM part LEFT JOIN ({SEGMENTS}) s ON s.part = p_partkey GROUP BY p_partkey")
 for _k, _f in (("vote_scroll", "vote = 'positive'"), ("hit_scroll", "true")):
     add(_k, lambda s, d, f=_f: seg(s, d).filter(f).selectExpr("segment * 10 + id AS key").filter("key > 200").orderBy("key").limit(20), f"SELECT segment * 10 + id AS key FROM ({SEGMENTS}) WHERE {_f} AND segment * 10 + id > 200 ORDER BY key LIMIT 20")
-add("segment_parents", lambda s, d: _parents(s, d), "WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey AS up, 0 AS depth FROM part WHERE p_partkey < 500 UNION ALL SELECT id, up // 10, depth + 1 FROM w WHERE up >= 10) SELECT id, up AS parent, CAST(depth AS INTEGER) AS depth FROM w WHERE depth > 0")
+add("segment_parents", lambda s, d: _parents(s, d), "WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey AS up, 0 AS depth FROM part UNION ALL SELECT id, up // 10, depth + 1 FROM w WHERE up >= 10) SELECT id, up AS parent, CAST(depth AS INTEGER) AS depth FROM w WHERE depth > 0")
 
 
 def _parents(s, d):
     """Ancestors in a tree whose parent of k is k // 10, a level at a time."""
-    level = view(s, d, "SELECT p_partkey AS id, p_partkey AS up FROM part WHERE p_partkey < 500")
-    out = None
-    for depth in range(1, 4):
-        level = level.filter("up >= 10").selectExpr("id", "up div 10 AS up")
-        one = level.select("id", F.col("up").alias("parent"), F.lit(depth).alias("depth"))
-        out = one if out is None else out.unionByName(one)
+    level = view(s, d, "SELECT p_partkey AS id, p_partkey AS up FROM part")
+    out, depth = level.selectExpr("id", "up AS parent", "0 AS depth").limit(0), 0
+    while not (level := level.filter("up >= 10").selectExpr("id", "up div 10 AS up")).isEmpty():
+        depth += 1
+        out = out.unionByName(level.select("id", F.col("up").alias("parent"), F.lit(depth).alias("depth")))
     return out
 
 
