@@ -2,9 +2,10 @@
 
 Features are hashed byte trigrams and bigrams of the lower-cased text with all
 that is no letter as a space, as shares of the text's positions, so a decision
-value is the mean of looked-up weights and a text is one pass of lookups. The
-SVMs are trained by dual coordinate descent on PER_LANG documents of each
-language at most, whole texts, chosen by a hash of doc_id.
+value is the mean of looked-up weights and a text is one pass of lookups. All
+languages are learned. The SVMs are trained by dual coordinate descent on whole
+texts, chosen by a hash of doc_id: PER_LANG documents or so of each language, or
+fewer where languages are so many that it would be over SAMPLE in all, but LEAST.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt", "am"],
     "malayic": ["id", "ms"],
 }
-PER_LANG, LANGUAGES = 600, 100
+PER_LANG, SAMPLE, LEAST = 1000, 60_000, 20
 BITS = 15
 _SCALE = 40.0
 
@@ -175,13 +176,14 @@ def _label(shared):
 
 
 def train(docs: DataFrame) -> Classifier:
-    """A classifier from docs(doc_id, text, lang): of each of the LANGUAGES commonest, PER_LANG rows or so by hash of doc_id."""
-    count = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """A classifier of all languages of docs(doc_id, text, lang), from a sample of rows of each by hash of doc_id."""
+    count = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not count:
         return Classifier([])
-    share = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, PER_LANG / n)])
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    got = drawn.select("lang", "text").mapInArrow(_sparse, "lang string, idx array<int>, val array<float>").limit(2 * PER_LANG * len(count)).toArrow().combine_chunks()
+    per = max(LEAST, min(PER_LANG, SAMPLE // len(count)))
+    share = docs.sparkSession.createDataFrame([(lang, per / n) for lang, n in count.items()], "lang string, __share double")
+    drawn = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    got = drawn.select("lang", "text").mapInArrow(_sparse, "lang string, idx array<int>, val array<float>").limit(2 * per * len(count)).toArrow().combine_chunks()
     if not got.num_rows:
         return Classifier([])
     # views of the Arrow buffers: the sample's features stay as compact as they came

@@ -255,3 +255,12 @@ def test_a_tiny_cell_does_not_lower_the_share(spark, monkeypatch, most):
     assert kept / out["__tokens"].sum() == pytest.approx(0.5, abs=1e-6)
     by = (out["__p"] * out["__tokens"]).groupby(out.source).sum() / kept
     assert by[["s0", "s1", "s2"]].to_numpy() == pytest.approx([by["s0"]] * 3, abs=1e-3)
+
+
+def test_more_than_a_hundred_languages(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    names = {f"x{k:03}": ["".join(rng.choice(letters, 6)) for _ in range(3)] for k in range(104)}
+    rows = [(i * 104 + k, " ".join(rng.permutation(w)), lang) for k, (lang, w) in enumerate(names.items()) for i in range(4)]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs
+    assert learned == sorted(names)
