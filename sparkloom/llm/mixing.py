@@ -62,9 +62,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     total = cells.agg(F.sum("tokens").alias("total"))
     w = keep(cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("total")).drop("total"), "rake")
     for _ in range(rounds):
+        w = w.withColumn("off", F.lit(0.0))
         for dim, share in targets.items():
             now = w.groupBy(dim).agg(F.sum("w").alias("now")).join(share.withColumnRenamed("value", dim), dim).select(dim, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("factor"))
-            w = w.join(now, dim).withColumn("w", F.col("w") * F.col("factor")).withColumn("off", F.abs(F.col("factor") - 1)).drop("factor")
+            w = w.join(now, dim).withColumn("off", F.greatest("off", F.when(F.col("w") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         w = keep(w, "rake")
         if (w.agg(F.max("off")).first()[0] or 0.0) < close:
             break

@@ -264,3 +264,12 @@ def test_more_than_a_hundred_languages(spark, monkeypatch):
     rows = [(i * 104 + k, " ".join(rng.permutation(w)), lang) for k, (lang, w) in enumerate(names.items()) for i in range(4)]
     learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs
     assert learned == sorted(names)
+
+
+def test_raking_stops_when_all_dimensions_hold(spark):
+    cells = pd.DataFrame({"a": ["x", "x", "y"], "b": ["p", "q", "p"], "c": ["only"] * 3, "tokens": [10, 20, 30]})
+    targets = {"a": {"x": 0.7, "y": 0.3}, "b": {"p": 0.4, "q": 0.6}, "c": {"only": 1.0}}
+    wanted = {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in targets.items()}
+    far = mixing.rake(spark.createDataFrame(cells), wanted, rounds=30).toPandas()
+    for d, t in targets.items():
+        assert far.groupby(d).w.sum().to_dict() == pytest.approx(t, abs=1e-6)
