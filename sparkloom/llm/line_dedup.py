@@ -3,26 +3,32 @@
 A line's tokens are its distinct words (lower-cased), ordered by rarity. Two
 lines match when 100 * |A & B| >= percent * |A | B|; a line goes if it matches an
 earlier line, judged on the input (earlier: smaller doc_id, then line number).
+A word is known by 64 bits of hash, a set by 128.
 
 1.  A pass counts words in hash counters for the order, and prints all sets.
+    Lines with equal sets are settled by their prints.
 2.  A second pass makes each line's prefix (its rarest n - ceil(t * n) + 1
-    tokens) and sends it as compact columns by token ranges; of lines with equal
-    sets a task sends the first only.
+    tokens) and sends it as compact columns by token ranges, whose number grows
+    with the words counted; of equal sets a task sends the first line only.
 3.  In a range, lines that share a prefix token meet. Two sets' first common
     token has p and q tokens before it, all of which differ; 128 parities of the
     tokens after it (by hash class: a parity that differs is a token that differs)
-    bound the rest. Pairs too far apart at a token are left to their first common
-    one or to none. A token that occurs once in all lines meets nothing and stays
-    behind. Exact copies are settled by their prints before.
-4.  Pairs are verified on the words themselves: a line's likeliest pair first, and
-    the others of the lines that it does not settle.
+    bound the rest. A line needs one earlier match, not all: it is held against the
+    first PIVOTS lines of its token, and where none of these is likely to match,
+    against all earlier ones; it leaves a range with its likeliest partner only.
+    So a group of near copies makes as many rows as it has lines.
+4.  Pairs are verified on the words themselves. Lines without a match whose ranges
+    hold more partners go another round, with STEP times as many each, until none
+    is held back. Two bit filters of fixed size pick what takes part in it.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -30,7 +36,11 @@ from .stage import keep
 
 U = np.uint64
 COUNTER_BITS = 22
-PARTS = 256
+#: Token ranges are 2**8 at least and so many that one has about PART_WORDS words of the input.
+PART_BITS, PART_WORDS = (8, 20), 4_000_000
+#: Bits (as a power of two) of the filters that pick lines and tokens.
+FILTER_BITS = 25
+PIVOTS, STEP = 8, 32
 _HELD = 600_000
 _LINE_SLICE = 1 << 20
 #: The level of a count of 1.
@@ -48,21 +58,27 @@ def lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, np.arange(len(row)) - np.searchsorted(row, row), at
 
 
-FIRST = "part int, at binary, n binary, doc_id long, line int, print long"
-_FIRST = pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("print", pa.int64())])
+def _sets(line: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's distinct words in the order of (level, hash): line, hash, level."""
+    packed = (line.astype(U) << U(44)) | (level.astype(U) << U(36)) | (h >> U(28))
+    order = np.argsort(packed)
+    same = packed[order[1:]] == packed[order[:-1]]
+    if len(line) and (line[-1] >= 1 << 20 or (same & (h[order[1:]] != h[order[:-1]])).any()):
+        order = np.lexsort((h, level, line))
+        same = (line[order[1:]] == line[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+    order = order[np.concatenate([[True], ~same])] if len(order) else order
+    return line[order], h[order], level[order]
+
 
+def _prints(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each line's set; start: where its words begin."""
+    m = K.mix(h)
+    first = K.mix(np.add.reduceat(m, start) ^ K.mix(np.bitwise_xor.reduceat(K.mix(m), start) + size.astype(U)))
+    return first, K.mix(np.add.reduceat(K.mix(h ^ U(0x5851F42D4C957F2D)), start) + size.astype(U))
 
-def _sets(line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's distinct tokens (44 bits) in order."""
-    if len(line) and line[-1] < 1 << 20:
-        x = np.sort((line.astype(U) << U(44)) | token)
-        x = x[np.concatenate([[True], x[1:] != x[:-1]])]
-        return (x >> U(44)).astype(np.int64), x & U((1 << 44) - 1)
-    order = np.lexsort((token, line))
-    line, token = line[order], token[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    return line[new], token[new]
+
+FIRST = "part int, at binary, n binary, doc_id long, line int, print long, print2 long"
+_FIRST = pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("print", pa.int64()), ("print2", pa.int64())])
 
 
 def _first_pass(batches):
@@ -77,61 +93,113 @@ def _first_pass(batches):
             if not len(h):
                 continue
             np.add.at(total, (h >> U(64 - COUNTER_BITS)).astype(np.int64), 1)
-            line, token = _sets(np.searchsorted(at, s, side="right") - 1, h & U((1 << 44) - 1))
+            line, h, _ = _sets(np.searchsorted(at, s, side="right") - 1, h, np.zeros(len(h), np.uint8))
             start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            m = K.mix(token)
-            size = np.diff(np.concatenate([start, [len(line)]])).astype(U)
-            print_ = K.mix(np.add.reduceat(m, start) ^ K.mix(np.bitwise_xor.reduceat(K.mix(m), start) + size))
+            prints = _prints(h, start, np.diff(np.append(start, len(line))))
             on, none = line[start], [None] * len(start)
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(ids[a + row[on]].astype(np.int64)), pa.array(number[on].astype(np.int32)), pa.array(print_.view(np.int64))], schema=_FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(ids[a + row[on]].astype(np.int64)), pa.array(number[on].astype(np.int32)), *[pa.array(p.view(np.int64)) for p in prints]], schema=_FIRST)
     for part, x in enumerate(np.split(total, 64)):
         if x.any():
-            k = np.flatnonzero(x)
-            yield pa.RecordBatch.from_pydict({"part": [part], "at": [k.astype(np.int32).tobytes()], "n": [np.minimum(x[k], 2**31 - 1).astype(np.int32).tobytes()], "doc_id": [None], "line": [None], "print": [None]}, schema=_FIRST)
+            yield pa.RecordBatch.from_pydict({"part": [part], **{k: [v] for k, v in _sparse(x).items()}, "doc_id": [None], "line": [None], "print": [None], "print2": [None]}, schema=_FIRST)
 
 
-def _levels(group: pa.Table) -> pa.Table:
+def _sparse(x: np.ndarray) -> dict[str, bytes]:
+    k = np.flatnonzero(x)
+    return {"at": k.astype(np.int32).tobytes(), "n": x[k].astype(np.int64).tobytes()}
+
+
+def _added(group: pa.Table) -> np.ndarray:
     total = np.zeros((1 << COUNTER_BITS) // 64, np.int64)
     for at, n in zip(group.column("at"), group.column("n"), strict=True):
-        total[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(n.as_py(), np.int32)
+        total[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(n.as_py(), np.int64)
+    return total
+
+
+def _add(group: pa.Table) -> pa.Table:
+    return pa.table({"part": group.column("part")[:1], **{k: pa.array([v], pa.binary()) for k, v in _sparse(_added(group)).items()}})
+
+
+def _levels(group: pa.Table) -> pa.Table:
+    total = _added(group)
     level = np.minimum(255, 8 * np.log2(1 + total.astype(np.float64))).astype(np.uint8)
-    return pa.table({"part": group.column("part")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+    return pa.table({"part": group.column("part")[:1], "levels": pa.array([level.tobytes()], pa.binary()), "words": pa.array([int(total.sum())], pa.int64())})
 
 
 class Lines:
     """Ordered word sets of a slice's lines: per line its size and print; per element its line, its place and the parities of those after it."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, levels: np.ndarray):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, levels: np.ndarray, wanted=None):
+        """wanted(hashes): lines without such a word are left empty."""
         self.row, self.number, self.at = lines(data, ends)
         s, _, h, _ = K.words(data, ends)
-        line = np.searchsorted(self.at, s, side="right") - 1
         # rows without bytes put several lines at one place: the last of them has the words
-        level = levels[(h >> U(64 - COUNTER_BITS)).astype(np.int64)].astype(U)
-        self.line, self.token = _sets(line, (level << U(36)) | (h & U((1 << 36) - 1)))
+        line = np.searchsorted(self.at, s, side="right") - 1
+        if wanted:
+            some = np.zeros(len(self.row), bool)
+            some[line[wanted(h)]] = True
+            line, h = line[some[line]], h[some[line]]
+        self.line, self.token, self.level = _sets(line, h, levels[(h >> U(64 - COUNTER_BITS)).astype(np.int64)])
         count = len(self.row)
         self.size = np.bincount(self.line, minlength=count)
         start = np.cumsum(self.size) - self.size
         self.place = np.arange(len(self.line)) - start[self.line]
-        self.sum1, self.sum2 = (np.zeros(count, U) for _ in range(2))
+        self.print = np.zeros(count, U)
         self.even, self.odd = (np.zeros(len(self.line), U) for _ in range(2))
         on = np.flatnonzero(self.size)
         if len(on):
+            self.print[on] = _prints(self.token, start[on], self.size[on])[0]
             m = K.mix(self.token)
-            self.sum1[on] = np.add.reduceat(m, start[on])
-            self.sum2[on] = np.bitwise_xor.reduceat(K.mix(m), start[on])
-            bit, low = U(1) << ((m >> U(57)) & U(63)), m >> U(63) == 0
+            bit, low = U(1) << ((m >> U(57)) & U(63)), m & U(1) == 0
             last = (start + self.size - 1)[self.line]
             even = np.bitwise_xor.accumulate(np.where(low, bit, U(0)))
             odd = np.bitwise_xor.accumulate(np.where(low, U(0), bit))
             self.even, self.odd = even ^ even[last], odd ^ odd[last]
 
 
-BLOBS = ["part", "tokens", "docs", "lines", "sizes", "places", "even", "odd", "prints"]
-BLOB_SCHEMA = "part int, " + ", ".join(f"{n} binary" for n in BLOBS[1:])
-_TYPES = {"tokens": "u4", "docs": "i8", "lines": "i4", "sizes": "i4", "places": "i4", "even": "u8", "odd": "u8", "prints": "u4"}
+# ---- filters of fixed size -----------------------------------------------------------------------
+
+
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc.astype(np.int64).view(U)) + line.astype(np.int64).view(U))
+
+
+def bit_filter(df: DataFrame, hashes) -> np.ndarray:
+    """2**FILTER_BITS bits, of which those of hashes(batch) of all rows are set; so much reaches the driver."""
+
+    def run(batches):
+        for batch in batches:
+            x = hashes(batch) >> U(64 - FILTER_BITS)
+            word, bits = x >> U(6), U(1) << (x & U(63))
+            order = np.argsort(word)
+            word, bits = word[order], bits[order]
+            at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            bits = np.bitwise_or.reduceat(bits, at) if len(at) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), U)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
+    return out
+
+
+def holds(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = x >> U(64 - FILTER_BITS)
+    return (bits[(x >> U(6)).astype(np.int64)] >> (x & U(63))) & U(1) == 1
+
+
+# ---- prefixes to token ranges --------------------------------------------------------------------
+
+_TYPES = {"tokens": "u4", "docs": "i8", "lines": "i4", "sizes": "i4", "places": "i4", "even": "u8", "odd": "u8", "prints": "u4", "asks": "u1"}
+BLOB_SCHEMA = "part int, " + ", ".join(f"{n} binary" for n in _TYPES)
+
 
+def _send(shared, percent: int, bits: int, again=None):
+    """again: broadcast filters of the tokens that take part in a further round and of the sets that ask in it."""
+
+    def wanted(h):
+        key = K.mix(h)
+        return holds(again.value[0], _token_hash(key >> U(64 - bits), key >> U(32 - bits) & U(0xFFFFFFFF)))
 
-def _send(shared, percent: int):
     def run(batches):
         levels, held, count = shared.value, [], 0
         for batch in batches:
@@ -139,91 +207,169 @@ def _send(shared, percent: int):
             ids = batch.column("doc_id").to_numpy()
             data, ends = K.buffers(batch.column("text"))
             for a, b in K.slices(ends, _LINE_SLICE):
-                L = Lines(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], levels)
+                L = Lines(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], levels, wanted if again else None)
+                if not len(L.token):
+                    continue
                 doc = ids[a + L.row]
-                print_ = K.mix(L.sum1 ^ K.mix(L.sum2 + L.size.astype(U)))
                 # of equal sets in this slice only the first line goes on
-                order = np.lexsort((L.number, doc, print_))
+                order = np.lexsort((L.number, doc, L.print))
                 first = np.zeros(len(order), bool)
-                first[order] = np.concatenate([[True], print_[order][1:] != print_[order][:-1]])
-                shared_token = L.token >> U(36) > U(_ONCE)
-                k = np.flatnonzero(first[L.line] & shared_token & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line]))
+                first[order] = np.concatenate([[True], L.print[order][1:] != L.print[order][:-1]])
+                on = first[L.line] & (L.level > _ONCE) & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line])
+                k = np.flatnonzero(on)
+                key = K.mix(L.token[k])
+                if again:
+                    good = wanted(L.token[k])
+                    k, key = k[good], key[good]
                 n = L.line[k]
-                held.append((L.token[k], doc[n], L.number[n], L.size[n], L.place[k], L.even[k], L.odd[k], print_[n] >> U(32)))
+                asks = holds(again.value[1], _print_hash(L.print[n] >> U(32))) if again else np.ones(len(k), bool)
+                held.append((key, doc[n], L.number[n], L.size[n], L.place[k], L.even[k], L.odd[k], L.print[n] >> U(32), asks))
                 count += len(k)
                 if count > _HELD:
-                    yield _packed(held)
+                    yield _packed(held, bits)
                     held, count = [], 0
         if count:
-            yield _packed(held)
+            yield _packed(held, bits)
 
     return run
 
 
-def _packed(held) -> pa.RecordBatch:
-    cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-    key = K.mix(cols[0])  # 8 bits for the range, 32 more stand for the token within it
-    part = (key >> U(56)).astype(np.int64)
-    cols[0] = (key >> U(24)) & U(0xFFFFFFFF)
+def _token_hash(part: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return K.mix((part.astype(U) << U(32)) | token.astype(U))
+
+
+def _print_hash(print_: np.ndarray) -> np.ndarray:
+    return K.mix(print_.astype(U))
+
+
+def _firsts(key: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
+    """Of rows with the same token and set those of the earliest line."""
+    same = K.mix(key.astype(U) + K.mix(c["prints"].astype(U))) ^ K.mix(c["even"] + K.mix(c["odd"] + K.mix(c["sizes"].astype(U))))
+    order = np.lexsort((c["lines"], c["docs"], same))
+    same = same[order]
+    return order[np.concatenate([[True], same[1:] != same[:-1]])] if len(order) else order
+
+
+def _packed(held, bits: int) -> pa.RecordBatch:
+    key, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+    c = dict(zip(list(_TYPES)[1:], cols, strict=True))
+    on = _firsts(key, c)
+    key = key[on]
+    part = (key >> U(64 - bits)).astype(np.int64)
+    c = {"tokens": key >> U(32 - bits) & U(0xFFFFFFFF)} | {n: x[on] for n, x in c.items()}
     order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(PARTS + 1))
-    cols = [c[order].astype(_TYPES[n]) for c, n in zip(cols, BLOBS[1:], strict=True)]
-    used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
-    arrays = [pa.array(np.array(used, np.int32))] + [pa.array([K.planes(c[cut[p] : cut[p + 1]]) for p in used], pa.binary()) for c in cols]
-    return pa.RecordBatch.from_arrays(arrays, names=BLOBS)
+    part = part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    stop = np.append(at[1:], len(part))
+    cols = [c[n][order].astype(t) for n, t in _TYPES.items()]
+    arrays = [pa.array(part[at].astype(np.int32))] + [pa.array([K.planes(x[a:b]) for a, b in zip(at, stop, strict=True)], pa.binary()) for x in cols]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", *_TYPES])
 
 
-PAIRS = "doc_id long, line int, doc2 long, line2 int, apart int"
+# ---- ranges --------------------------------------------------------------------------------------
+
+PAIRS = "doc_id long, line int, doc2 long, line2 int, apart int, print long, held array<long>"
 _PAIR_STEP = 2_000_000
 
 
-def _meet(percent: int):
+def _meet(percent: int, most: int):
+    """Of each asking line in a range its `most` likeliest earlier partners; held: its tokens (range and token) that have more."""
+
     def run(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
         c = {n: np.concatenate([K.values(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
-        # one row for each token and set: the earliest line of equal sets
-        same = K.mix((c["tokens"].astype(U) << U(32)) | c["prints"]) ^ K.mix(c["even"] + K.mix(c["odd"] + K.mix(c["sizes"].astype(U))))
-        order = np.lexsort((c["lines"], c["docs"], same))
-        same = same[order]
-        new = order[np.concatenate([[True], same[1:] != same[:-1]])]
-        c = {n: x[new] for n, x in c.items()}
-        order = np.lexsort((c["sizes"], c["tokens"]))
-        c = {n: x[order] for n, x in c.items()}
-        tokens, sizes, places = c["tokens"], c["sizes"].astype(np.int64), c["places"].astype(np.int64)
-        # each row is compared with the rows after it of the same token up to size * 100 / percent
-        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        bucket = np.cumsum(np.concatenate([[True], tokens[1:] != tokens[:-1]])) - 1
-        widest = int(sizes.max()) + 1
-        key = bucket * widest * 2 + sizes
-        stop = np.searchsorted(key, bucket * widest * 2 + np.minimum(sizes * 100 // percent, widest), side="right")
-        # the first common token is among the smaller set's first ones, so many that the others are too few to match
-        near = places <= sizes - -(-2 * percent * sizes // (100 + percent))
-        count = np.where(near, stop - np.arange(len(tokens)) - 1, 0)
-        total = np.cumsum(count)
-        found, lo = [], 0
-        while lo < len(count):
-            base = total[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(total, base + _PAIR_STEP, side="right")))
-            n = count[lo:hi]
-            i = np.repeat(np.arange(lo, hi), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            both = sizes[i] + sizes[j]
+        on = _firsts(c["tokens"], c)
+        on = on[np.lexsort((c["lines"][on], c["docs"][on], c["tokens"][on]))]
+        token = c["tokens"][on]
+        edge = np.concatenate([[True], token[1:] != token[:-1]])
+        on = on[~(edge & np.append(edge[1:], True))]  # tokens of one set meet nothing
+        c = {n: x[on] for n, x in c.items()}
+        token, size, place = c["tokens"], c["sizes"].astype(np.int64), c["places"].astype(np.int64)
+        edge = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+        bucket = np.cumsum(edge) - 1
+        first = np.flatnonzero(edge)[bucket]
+        rank = np.arange(len(token)) - first  # how many earlier ones the token has
+
+        def apart(i, j):
+            """Where i and j can match: which of the pairs, how far apart they are at least and may be at most."""
+            both = size[i] + size[j]
             need = -(-percent * both // (100 + percent))
-            apart = places[i] + places[j]
-            on = (apart <= both - 2 * need) & (np.minimum(sizes[i] - places[i], sizes[j] - places[j]) >= need)
-            i, j, most, apart = i[on], j[on], (both - 2 * need)[on], apart[on]
-            apart += np.bitwise_count(c["even"][i] ^ c["even"][j]).astype(np.int64) + np.bitwise_count(c["odd"][i] ^ c["odd"][j])
-            on = apart <= most
-            found.append(np.stack([i[on], j[on], apart[on]], axis=1))
-            lo = hi
-        i, j, apart = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
-        doc, line = c["docs"], c["lines"]
-        later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
-        i, j = np.where(later, i, j), np.where(later, j, i)
-        return pa.table({"doc_id": doc[i], "line": line[i], "doc2": doc[j], "line2": line[j], "apart": apart.astype(np.int32)})
+            far, limit = place[i] + place[j], both - 2 * need
+            on = np.flatnonzero((far <= limit) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])))
+            i, j, far, limit = i[on], j[on], far[on], limit[on]
+            far = far + np.bitwise_count(c["even"][i] ^ c["even"][j]) + np.bitwise_count(c["odd"][i] ^ c["odd"][j])
+            good = far <= limit
+            return on[good], far[good], limit[good]
+
+        asks = (c["asks"] > 0) & (rank > 0)
+        near, pivot = np.full(len(token), 1 << 30), np.zeros(len(token), np.int64)
+        left = np.flatnonzero(asks)
+        for p in range(PIVOTS if most == 1 else 0):
+            left = left[rank[left] > p]
+            on, far, limit = apart(left, first[left] + p)
+            i = left[on]
+            better = (2 * far <= limit) & (far < near[i])
+            near[i[better]], pivot[i[better]] = far[better], first[i[better]] + p
+            left = left[near[left] > 0]
+        likely = np.flatnonzero(near < 1 << 30)
+        found = [np.stack([likely, pivot[likely], near[likely]], axis=1)]
+        more = np.zeros(len(token), bool)
+        more[likely] = rank[likely] > 1
+
+        # the others ask all earlier lines of fitting size
+        ask = np.flatnonzero(asks & (near == 1 << 30))
+        if len(ask):
+            by_size = np.lexsort((size, bucket))
+            widest = int(size.max()) * 2 + 2
+            key = bucket[by_size] * widest + size[by_size]
+            # only its first tokens can be a set's first common one with a larger set
+            wide = place[ask] <= size[ask] - -(-2 * percent * size[ask] // (100 + percent))
+            lo = np.searchsorted(key, bucket[ask] * widest + (percent * size[ask] + 99) // 100)
+            hi = np.searchsorted(key, bucket[ask] * widest + np.where(wide, size[ask] * 100 // percent, size[ask]), side="right")
+            count = hi - lo
+            total = np.cumsum(count)
+            at = 0
+            while at < len(ask):
+                base = total[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(total, base + _PAIR_STEP, side="right")))
+                n = count[at:to]
+                i = np.repeat(ask[at:to], n)
+                j = by_size[np.repeat(lo[at:to], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+                on = j < i
+                i, j = i[on], j[on]
+                on, far, _ = apart(i, j)
+                found.append(np.stack([i[on], j[on], far], axis=1))
+                at = to
+        i, j, far = np.concatenate(found).T
+        doc, line = c["docs"], c["lines"].astype(np.int64)
+        order = np.lexsort((far, line[j], doc[j], line[i], doc[i]))
+        x = np.stack([doc[i], line[i], doc[j], line[j]], axis=1)[order]
+        order = order[np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])] if len(order) else order
+        order = order[np.lexsort((line[j[order]], doc[j[order]], far[order], line[i[order]], doc[i[order]]))]
+        x = np.stack([doc[i], line[i]], axis=1)[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])[: len(order)]
+        who = np.cumsum(new) - 1
+        nth = np.arange(len(order)) - np.flatnonzero(new)[who]
+        # the tokens of a line that has more partners than it leaves with
+        some = np.zeros(int(new.sum()), bool)
+        some[who[nth >= most]] = True
+        own = np.full(len(token), -1)
+        own[i[order]] = who
+        of_line = {}
+        known = np.flatnonzero(own >= 0)
+        for k in known[more[known] | some[own[known]]]:
+            of_line.setdefault(int(own[k]), []).append((part << 32) | int(token[k]))
+        kept = order[nth < most]
+        held = [of_line.get(int(w)) if n == 0 else None for w, n in zip(who[nth < most], nth[nth < most], strict=True)]
+        i, j = i[kept], j[kept]
+        return pa.table({"doc_id": doc[i], "line": c["lines"][i], "doc2": doc[j], "line2": c["lines"][j], "apart": far[kept].astype(np.int32), "print": c["prints"][i].astype(np.int64), "held": pa.array(held, pa.list_(pa.int64()))})
 
     return run
 
 
+# ---- verification --------------------------------------------------------------------------------
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -243,71 +389,92 @@ def _verify(percent: int):
     return run
 
 
-def _cut(batches):
-    """The wanted lines of each text."""
-    for batch in batches:
-        out = []
-        for doc, text, want in zip(*(batch.column(n) for n in ("doc_id", "text", "want")), strict=True):
-            every, doc = text.as_py().split("\n"), doc.as_py()
-            out += [(doc, k, every[k]) for k in want.as_py()]
-        for a in range(0, len(out), 4096):
-            ids, number, lines_ = zip(*out[a : a + 4096], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(lines_, pa.string())], names=["doc_id", "line", "text"])
+def _fetch(wanted):
+    """The lines (without their numbers' neighbours) that the filter holds."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            ids = batch.column("doc_id").to_numpy()
+            data, ends = K.buffers(batch.column("text"))
+            for a, b in K.slices(ends, _LINE_SLICE):
+                own = np.ascontiguousarray(data[ends[a] : ends[b]])
+                row, number, at = lines(own, ends[a : b + 1] - ends[a])
+                on = np.flatnonzero(holds(wanted.value, _place(ids[a + row], number)))
+                if len(on):
+                    offsets = np.append(at, len(own)).astype(np.int64)
+                    every = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + row[on]]), pa.array(number[on].astype(np.int32)), every.take(pa.array(on)).cast(pa.binary())], names=["doc_id", "line", "text"])
+
+    return run
 
 
 def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, line) of every line of docs(doc_id, text, ...) that matches an earlier one; lines count from 0."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     first = keep(known.mapInArrow(_first_pass, FIRST), "lines")
-    counted = first.where("part is not null").select("part", "at", "n").groupBy("part").applyInArrow(_levels, "part int, levels binary")
-    levels = np.zeros((64, (1 << COUNTER_BITS) // 64), np.uint8)
+    # as many salts as the square root of the tasks: neither step gathers more than that of a part
+    counts = first.where("part is not null").select("part", "at", "n", F.pmod(F.xxhash64("at", "n"), F.lit(max(1, isqrt(known.rdd.getNumPartitions())))).alias("salt"))
+    counted = counts.groupBy("part", "salt").applyInArrow(_add, "part int, at binary, n binary").groupBy("part").applyInArrow(_levels, "part int, levels binary, words long")
+    levels, words = np.zeros((64, (1 << COUNTER_BITS) // 64), np.uint8), 0
     for r in counted.collect():  # 2**COUNTER_BITS bytes in all
-        levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
-    shared = spark.sparkContext.broadcast(levels.ravel())
-
-    own = first.where("print is not null").select("doc_id", "line", "print")
-    low = own.groupBy("print").agg(F.min(F.struct("doc_id", "line")).alias("low"), F.count("*").alias("n"))
-    many = keep(low.where("n > 1").select("print", "low"), "copies")
-    copies = own.join(many, "print").where("struct(doc_id, line) <> low").select("doc_id", "line")
-
-    pairs = known.mapInArrow(_send(shared, percent), BLOB_SCHEMA).groupBy("part").applyInArrow(_meet(percent), PAIRS)
-    pairs = keep(pairs.groupBy("doc_id", "line", "doc2", "line2").agg(F.min("apart").alias("apart")), "pairs")
-    # a set's rows may carry a line that a slice saw first: the whole table's first line stands for the set
-    need = pairs.select("doc_id", "line").union(pairs.select("doc2", "line2")).distinct()
-    texts = known.join(need.groupBy("doc_id").agg(F.collect_set("line").alias("want")), "doc_id")
-    cut = keep(texts.mapInArrow(_cut, "doc_id long, line int, text string"), "cut")
-
-    def verified(some: DataFrame) -> DataFrame:
-        sides = some.select("doc_id", "line", "doc2", "line2").join(cut, ["doc_id", "line"])
-        sides = sides.join(cut.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("text").alias("text2")), ["doc2", "line2"])
-        return keep(sides.select("doc_id", "line", "text", "text2").mapInArrow(_verify(percent), "doc_id long, line int").distinct(), "matches")
-
-    best = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc2", "line2")).alias("p"))
-    match = verified(best.select("doc_id", "line", "p.doc2", "p.line2"))
-    match = match.unionByName(verified(pairs.join(match, ["doc_id", "line"], "left_anti")))
-    return match.unionByName(copies).distinct()
-
-
-def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
+        levels[r["part"]], words = np.frombuffer(r["levels"], np.uint8), words + r["words"]
+    levels = share(levels.ravel())
+    bits = int(np.clip((words // PART_WORDS).bit_length(), *PART_BITS))
+
+    own = first.where("print is not null").select("doc_id", "line", "print", "print2")
+    low = own.groupBy("print", "print2").agg(F.min(F.struct("doc_id", "line")).alias("low"), F.count("*").alias("n"))
+    many = keep(low.where("n > 1").select("print", "print2", "low"), "copies")
+    copies = own.join(many, ["print", "print2"]).where("struct(doc_id, line) <> low").select("doc_id", "line")
+
+    out, again, most = copies, None, 1
+    while True:
+        sent = known.mapInArrow(_send(levels, percent, bits, again), BLOB_SCHEMA)
+        raw = keep(sent.groupBy("part").applyInArrow(_meet(percent, most), PAIRS), "pairs")
+        pairs = raw.groupBy("doc_id", "line", "doc2", "line2").agg(F.min("apart").alias("apart"))
+        ends = raw.select("doc_id", "line").unionByName(raw.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line")))
+        wanted = share(bit_filter(ends, lambda b: _place(b.column("doc_id").to_numpy(), b.column("line").to_numpy())))
+        cut = keep(known.mapInArrow(_fetch(wanted), "doc_id long, line int, text binary"), "cut")
+
+        def verified(some: DataFrame, cut: DataFrame = cut) -> DataFrame:
+            sides = some.select("doc_id", "line", "doc2", "line2").join(cut, ["doc_id", "line"])
+            sides = sides.join(cut.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("text").alias("text2")), ["doc2", "line2"])
+            return keep(sides.select("doc_id", "line", "text", "text2").mapInArrow(_verify(percent), "doc_id long, line int").distinct(), "matches")
+
+        best = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc2", "line2")).alias("p"))
+        match = verified(best.select("doc_id", "line", "p.doc2", "p.line2"))
+        match = match.unionByName(verified(pairs.join(match, ["doc_id", "line"], "left_anti")))
+        out = out.unionByName(match)
+        rest = keep(raw.where("held is not null").join(match, ["doc_id", "line"], "left_anti").select("print", F.explode("held").alias("token")), "rest")
+        if rest.isEmpty():
+            return out.distinct()
+        tokens = bit_filter(rest, lambda b: _token_hash(b.column("token").to_numpy() >> 32, b.column("token").to_numpy() & 0xFFFFFFFF))
+        again, most = share((tokens, bit_filter(rest, lambda b: _print_hash(b.column("print").to_numpy())))), most * STEP
+
+
+def dedup_lines(docs: DataFrame, percent: int = 75, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs with text without its repeated lines, and n_lines, n_removed (of the input text).
 
     Lines end at line feeds; lines without words stay, null and empty texts too.
     Rows with a null doc_id have no place in the order: they stay whole and
     remove nothing. Rows that repeat a doc_id lose the same lines by number.
-    Other columns pass through. An empty table gives an empty result.
+    Other columns pass through, but one that has the name of a count (which can
+    be chosen) gives way to it. An empty table gives an empty result.
     """
     gone = repeated_lines(docs, percent).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
     out = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
     every = F.split(F.col("text").cast("string"), "\n")
     kept = F.filter(every, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    counts = {n_lines: F.coalesce(F.size(every), F.lit(0)), n_removed: F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0))}
+    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counts], *[n.cast("long").alias(c) for c, n in counts.items()])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], percent: int = 75) -> set[tuple[int, int]]:

@@ -101,3 +101,24 @@ def test_lines_odd_rows(spark, empty):
     df = spark.createDataFrame([(None, "a b"), (2, "a b\n\nc"), (1, "B A"), (3, None), (4, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()), key=str)
     assert got == sorted([(None, "a b"), (2, "\nc"), (1, "B A"), (3, None), (4, "")], key=str)
+
+
+@pytest.mark.parametrize(("pivots", "step"), [(8, 32), (1, 2), (0, 2)])
+def test_lines_of_near_copies(spark, monkeypatch, pivots, step):
+    """Groups of lines at all distances from one another, so that some need every round."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(line_dedup, "STEP", step)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.sample(words, k) for k in (4, 12, 20)]
+    texts = []
+    for i in range(240):
+        own = list(rng.choice(base))
+        for _ in range(rng.randrange(1 + len(own) // 3)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append((i // 3 * 7 % 83 + 100 * (i % 3), " ".join(own)))
+    rows = [(d, "\n".join(t for e, t in texts if e == d)) for d in dict.fromkeys(d for d, _ in texts)]
+    got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == line_dedup.brute_force(rows) and 20 < len(got) < 240
