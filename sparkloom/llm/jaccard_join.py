@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .stage import components, keep
+from .stage import components, keep, rows_of
 
 #: Hash counters for the global order: 2**20 of 8 bytes in a task, one byte each when broadcast.
 COUNTER_BITS = 20
@@ -347,13 +347,12 @@ def part_pairs(members: DataFrame, payload: DataFrame, percent: int) -> DataFram
     return cut.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("parts", "other")
 
 
-def pair_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def pair_blocks(members: DataFrame, vectors: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links between the components of members(hub, d, n, c): first count vectors meet, and the texts of
     those documents only that have a possible partner; these walk tries as in the first round."""
-    vectors = docs.select(F.col("doc_id").alias("d"), "vec")
     near = part_pairs(members, vectors, percent).groupBy("hub", "band", "lo", "hi").applyInArrow(_near_members(percent), "hub long, d long").distinct()
     members = keep(members.join(near, ["hub", "d"], "left_semi"), "near")
-    rows = part_pairs(members, docs.select(F.col("doc_id").alias("d"), "text"), percent)
+    rows = part_pairs(members, rows_of(docs, members.select("d")).select(F.col("doc_id").alias("d"), "text"), percent)
 
     def run(block: pa.Table) -> pa.Table:
         rows, sets = _sets(block, width)
@@ -374,7 +373,7 @@ def pair_blocks(members: DataFrame, docs: DataFrame, width: int, percent: int) -
 
 
 def _vectors(width: int):
-    """Adds to each text how many of its shingles are in each of max(64, n / 4) hash classes (255 at most)."""
+    """Of each text how many of its shingles are in each of max(64, n / 4) hash classes (255 at most)."""
 
     def run(batches):
         for batch in batches:
@@ -383,7 +382,7 @@ def _vectors(width: int):
                 classes = max(64, 1 << (max(1, len(s) // 4) - 1).bit_length())
                 count = np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
                 out[i] = np.minimum(count, 255).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.binary())], names=["doc_id", "text", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["d", "vec"])
 
     return run
 
@@ -457,33 +456,35 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, percent: int = 75) ->
     table = spark.sparkContext.broadcast(order_table(profile.where("part >= 0").select("part", "counts")))
 
     firsts = own.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = firsts.where("first < last")
+    shared = keep(firsts.where("first < last").drop("last"), "shared")
     twice = own.where("n > 0").groupBy("doc_id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("doc_id")
     copies = keep(own.join(shared, ["f1", "f2", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("d"), "first").distinct(), "copies")
 
-    entries = docs.mapInArrow(_prefixes(width, percent, table), "h long, d long, n int")
-    w = Window.partitionBy("h")
-    met = entries.withColumn("x", F.min("d").over(w)).withColumn("y", F.max("d").over(w)).where("x <> y").select("h", "d", "n")
+    # a shingle's least and greatest document are combined before the shuffle; the join with those of several can be split
+    entries = keep(docs.mapInArrow(_prefixes(width, percent, table), "h long, d long, n int"), "entries")
+    several = entries.groupBy("h").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y").select("h")
+    met = entries.join(keep(several, "several"), "h")
     met = met.join(copies, "d", "left").select("h", F.coalesce("first", "d").alias("d"), "n").distinct()
     met = keep(met, "met")
-    docs = docs.join(met.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    docs = keep(docs.mapInArrow(_vectors(width), "doc_id long, text string, vec binary"), "texts")
+    vectors = keep(rows_of(docs, met.select("d"), _vectors(width), "d long, vec binary"), "vectors")
     # a text that copies were made from shares most of its prefix, a copy has edits of its own there: the fullest is the hub
     share = met.groupBy("d").agg((F.count("*") / (F.max("n") - F.expr(f"floor(({percent} * max(n) + 99) / 100)") + 1)).alias("share"))
     full = met.join(share, "d")
     low = full.groupBy("h").agg(F.max(F.struct("share", -F.col("d"), "n")).alias("low")).select("h", (-F.col("low.col2")).alias("hub"), F.col("low.n").alias("hub_n"))
+    low = keep(low, "hubs")
     near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     stars = met.join(low, "h").where("d <> hub").where(near).groupBy("hub", "d").agg(F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
-    stars = stars.join(docs.select(F.col("doc_id").alias("d"), "vec"), "d").join(docs.select(F.col("doc_id").alias("hub"), F.col("vec").alias("hub_vec")), "hub")
+    stars = stars.join(vectors, "d").join(vectors.select(F.col("d").alias("hub"), F.col("vec").alias("hub_vec")), "hub")
     stars = keep(stars.mapInArrow(_near_stars(percent), "hub long, d long, n int"), "stars")
-    links = keep(star_blocks(stars, docs, width, percent).unionByName(copies.join(twice, copies.d == twice.doc_id, "left_semi").select(F.col("d").alias("a"), F.col("first").alias("b"))), "links")
+    texts = rows_of(docs, stars.select("d").unionByName(stars.select(F.col("hub").alias("d"))))
+    links = keep(star_blocks(stars, texts, width, percent).unionByName(copies.join(twice, copies.d == twice.doc_id, "left_semi").select(F.col("d").alias("a"), F.col("first").alias("b"))), "links")
 
     labels = components(links)
     named = met.join(labels.withColumnRenamed("id", "d"), "d", "left").select("h", "d", "n", F.coalesce("component", "d").alias("c"))
     open_ = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h")
     hubs = named.join(open_, "h", "left_semi").join(low.select("h", "hub"), "h")
     rest = keep(hubs.groupBy("hub", "d", "c").agg(F.max("n").alias("n")), "rest")
-    more = keep(pair_blocks(rest, docs, width, percent), "links")
+    more = keep(pair_blocks(rest, vectors, docs, width, percent), "links")
     labels = keep(components(links.unionByName(more)), "labels") if not more.isEmpty() else labels
     labels = labels.withColumnRenamed("id", "rep")
     reps = copies.groupBy("d").agg(F.min("first").alias("first"))

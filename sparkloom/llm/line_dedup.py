@@ -32,14 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .stage import keep
+from .stage import bit_filter, holds, keep
 
 U = np.uint64
 COUNTER_BITS = 22
 #: Token ranges are 2**8 at least and so many that one has about PART_WORDS words of the input.
 PART_BITS, PART_WORDS = (8, 20), 4_000_000
-#: Bits (as a power of two) of the filters that pick lines and tokens.
-FILTER_BITS = 25
 PIVOTS, STEP = 8, 32
 _HELD = 600_000
 _LINE_SLICE = 1 << 20
@@ -156,37 +154,13 @@ class Lines:
             self.even, self.odd = even ^ even[last], odd ^ odd[last]
 
 
-# ---- filters of fixed size -----------------------------------------------------------------------
+# ---- what the filters of fixed size hold ---------------------------------------------------------
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return K.mix(K.mix(doc.astype(np.int64).view(U)) + line.astype(np.int64).view(U))
 
 
-def bit_filter(df: DataFrame, hashes) -> np.ndarray:
-    """2**FILTER_BITS bits, of which those of hashes(batch) of all rows are set; so much reaches the driver."""
-
-    def run(batches):
-        for batch in batches:
-            x = hashes(batch) >> U(64 - FILTER_BITS)
-            word, bits = x >> U(6), U(1) << (x & U(63))
-            order = np.argsort(word)
-            word, bits = word[order], bits[order]
-            at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            bits = np.bitwise_or.reduceat(bits, at) if len(at) else bits
-            yield pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    got = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), U)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
-    return out
-
-
-def holds(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    x = x >> U(64 - FILTER_BITS)
-    return (bits[(x >> U(6)).astype(np.int64)] >> (x & U(63))) & U(1) == 1
-
-
 # ---- prefixes to token ranges --------------------------------------------------------------------
 
 _TYPES = {"tokens": "u4", "docs": "i8", "lines": "i4", "sizes": "i4", "places": "i4", "even": "u8", "odd": "u8", "prints": "u4", "asks": "u1"}

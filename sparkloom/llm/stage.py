@@ -1,4 +1,4 @@
-"""Materialised intermediate tables and connected components."""
+"""Materialised intermediate tables, filters of fixed size and connected components."""
 
 from __future__ import annotations
 
@@ -7,9 +7,16 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as K
+
+U = np.uint64
+#: Bits (as a power of two) of a filter.
+FILTER_BITS = 25
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -48,6 +55,55 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_filter(df: DataFrame, hashes) -> np.ndarray:
+    """2**FILTER_BITS bits, of which those of hashes(batch) of all rows are set; so much reaches the driver."""
+
+    def run(batches):
+        for batch in batches:
+            x = hashes(batch) >> U(64 - FILTER_BITS)
+            word, bits = x >> U(6), U(1) << (x & U(63))
+            order = np.argsort(word)
+            word, bits = word[order], bits[order]
+            at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            bits = np.bitwise_or.reduceat(bits, at) if len(at) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = df.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), U)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
+    return out
+
+
+def holds(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which hashes a filter holds: all that were put in, and few others as long as those are few against its size."""
+    x = x >> U(64 - FILTER_BITS)
+    return (bits[(x >> U(6)).astype(np.int64)] >> (x & U(63))) & U(1) == 1
+
+
+def _own(batch) -> np.ndarray:
+    return K.mix(batch.column(0).to_numpy().view(U))
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, then=None, schema=None) -> DataFrame:
+    """The rows of docs(doc_id, ...) with an id of ids (one column), and few others, by a scan with a filter in place of a shuffle of texts.
+
+    then: what else to do with the batches, giving rows of schema.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, _own))
+
+    def run(batches):
+        def some():
+            for batch in batches:
+                batch = batch.filter(batch.column("doc_id").is_valid())
+                batch = batch.filter(pa.array(holds(shared.value, K.mix(batch.column("doc_id").to_numpy().view(U)))))
+                if batch.num_rows:
+                    yield batch
+
+        return then(some()) if then else some()
+
+    return docs.mapInArrow(run, schema or docs.schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in edges(a, b).
 
