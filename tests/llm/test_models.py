@@ -273,3 +273,49 @@ def test_raking_stops_when_all_dimensions_hold(spark):
     far = mixing.rake(spark.createDataFrame(cells), wanted, rounds=30).toPandas()
     for d, t in targets.items():
         assert far.groupby(d).w.sum().to_dict() == pytest.approx(t, abs=1e-6)
+
+
+@pytest.mark.parametrize(("cuts", "words"), [(32, 4), (16, 4), (8, 4), (4, 4), (2, 4), (1, 4), (8, 1)])
+def test_codes_of_any_cut(cuts, words):
+    """Every code within a radius is retrieved, by flipped bits (small radii) and by comparing values (large ones)."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**63, (2000, words)).astype(np.uint64)
+    for i in range(1, 400):  # close ones
+        codes[i] = codes[0] ^ (np.uint64(1) << rng.integers(0, 63, words).astype(np.uint64))
+    index = mih.MultiIndex(codes, cuts)
+    for radius in (0, 3, 8, 40 * words // 4, 105 * words // 4):
+        apart = np.bitwise_count(codes[:, None] ^ codes[None, :5]).sum(axis=2).T
+        q, row = index.pairs(codes[:5], radius)
+        assert sorted(zip(q.tolist(), row.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(apart <= radius).tolist()))
+
+
+def test_probing_leaves_rows_out_and_finds_neighbours(spark):
+    """Clustered vectors, vectors on a sphere and of another length, against brute force, through the query's own call."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 32))
+    x = np.concatenate([middle[rng.integers(0, 40, 3000)] + 0.15 * rng.normal(size=(3000, 32))])
+    ball = rng.normal(size=(3000, 48))
+    ball /= np.linalg.norm(ball, axis=1)[:, None]
+    for own in (x, ball):
+        coder = mih.Coder(own, 20)
+        assert coder.probed <= mih.PROBED
+    assert mih.Coder(x, 20).cuts > 1
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *ball])]
+    got = mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().sort_values(["query_id", "rank"])
+    found = got.groupby("query_id").vec_id.agg(list).to_dict()
+    want = mih.brute_force(x, np.arange(3000), np.arange(0, 3000, 20)) | mih.brute_force(ball, np.arange(3000, 6000), np.arange(0, 3000, 20))
+    assert found.keys() == want.keys() and all(len(v) == 20 for v in found.values())
+    assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_neighbours_of_the_query_on_its_table(spark):
+    """op3's recall on the whole test table."""
+    from sparkloom.llm.queries import QUERIES
+
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    ids, x = table.vec_id.to_numpy(), np.array(table.embedding.tolist(), float)
+    want = mih.brute_force(x, ids, np.flatnonzero(ids % 20 == 0))
+    got = QUERIES["op3_mih_search"](spark, SF).toPandas()
+    found = got.groupby("query_id").vec_id.agg(set).to_dict()
+    assert found.keys() == want.keys()
+    assert sum(len(found[q] & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
