@@ -40,6 +40,8 @@ HEAVY = 1 << 18
 START, END = 256, 257
 _BITS = 9
 _HELD = 1_500_000
+#: Strings and counts that scoring tasks hold before they merge them.
+_ASKED = 300_000
 
 
 def symbols(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,60 +81,65 @@ class _Sum:
             self.parts = [K.tally(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))]
             self.size = len(self.parts[0][0])
 
-    def take(self, kind: int):
+    def take(self, kind: int, bits: int):
         """A row for each part: its keys in order as differences, and their counts, both with bytes of equal weight together."""
         self.merge()
         for k, c in self.parts:
-            order, cut = split(k >> U(_BITS) & _TWO if kind == GRAMS else k)
+            order, cut = split(k >> U(_BITS) & _TWO if kind == GRAMS else k, bits)
             k, c = k[order], c[order]
-            used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
+            used = np.flatnonzero(np.diff(cut)).tolist()
             keys = [K.planes(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
             counts = [K.planes(c[cut[p] : cut[p + 1]].astype(np.int64)) for p in used]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(np.array(used, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["kind", "part", "keys", "counts"])
         self.parts, self.size = [], 0
 
 
-#: Parts in which equal keys of all tasks meet (by 7 bits of a hash).
-PARTS = 128
+#: Parts are 2**7 at least and so many that one has the strings of about PART_BYTES bytes of text, up to 2**16 (there are 258**2 pairs).
+PART_BITS, PART_BYTES = (7, 16), 1 << 25
 TOKENS, GRAMS, DOCS, PAIRS = range(4)
 _TWO = U((1 << (2 * _BITS)) - 1)
 
 
-def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of x by part, in order within each, and where each part begins (PARTS + 1)."""
-    part = (K.mix(x) >> U(57)).astype(np.int64)
+def split(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of x by part, in order within each, and where each part begins (and the last ends)."""
+    part = (K.mix(x) >> U(64 - bits)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(PARTS + 1))
+    return order, np.searchsorted(part[order], np.arange((1 << bits) + 1))
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    keys = [np.cumsum(K.values(x.as_py(), "u8"), dtype=U) for x in group.column("keys")]
-    k, n = K.tally(np.concatenate(keys), np.concatenate([K.values(x.as_py(), "i8") for x in group.column("counts")]))
-    return pa.table({"kind": pa.array(np.full(len(k), group.column("kind")[0].as_py(), np.int32)), "key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+def _unpack(batches):
+    """A row for each key of packed counts."""
+    for batch in batches:
+        for kind, keys, counts in zip(*(batch.column(c) for c in ("kind", "keys", "counts")), strict=True):
+            k, n = np.cumsum(K.values(keys.as_py(), "u8"), dtype=U), K.values(counts.as_py(), "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind.as_py(), np.int32)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
 
 
-def _count(batches):
-    tokens, grams, pairs, docs = _Sum(), _Sum(), _Sum(), 0
-    for batch in batches:
-        docs += batch.num_rows
-        data, ends = K.buffers(batch.column("text"))
-        for a, b in K.slices(ends, 1 << 19):
-            own, cut = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
-            tokens.add(K.words(own, cut)[2])
-            packed = symbols(own, cut)[0]
-            grams.add(packed)
-            pairs.add(packed & _TWO)
-            if pairs.size > _HELD:
-                pairs.merge()
-        for kind, x in ((TOKENS, tokens), (GRAMS, grams)):
-            if x.size > _HELD:
-                yield from x.take(kind)
-    yield from tokens.take(TOKENS)
-    yield from grams.take(GRAMS)
-    yield from pairs.take(PAIRS)
-    ends_ = _Sum()
-    ends_.parts = [(np.zeros(1, U), np.array([docs]))]
-    yield from ends_.take(DOCS)
+def _count(bits: int):
+    def run(batches):
+        tokens, grams, pairs, docs = _Sum(), _Sum(), _Sum(), 0
+        for batch in batches:
+            docs += batch.num_rows
+            data, ends = K.buffers(batch.column("text"))
+            for a, b in K.slices(ends, 1 << 19):
+                own, cut = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+                tokens.add(K.words(own, cut)[2])
+                packed = symbols(own, cut)[0]
+                grams.add(packed)
+                pairs.add(packed & _TWO)
+                if pairs.size > _HELD:
+                    pairs.merge()
+            for kind, x in ((TOKENS, tokens), (GRAMS, grams)):
+                if x.size > _HELD:
+                    yield from x.take(kind, bits if kind == GRAMS else 0)
+        yield from tokens.take(TOKENS, 0)
+        yield from grams.take(GRAMS, bits)
+        yield from pairs.take(PAIRS, 0)
+        ends_ = _Sum()
+        ends_.parts = [(np.zeros(1, U), np.array([docs]))]
+        yield from ends_.take(DOCS, 0)
+
+    return run
 
 
 # ---- the model -----------------------------------------------------------------------------------
@@ -232,22 +239,30 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(first)), *lists, *packed], names=[x.split()[0] for x in CHUNKS.split(", ")])
 
 
-def strings(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def strings(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's distinct packed strings by part, in order within each, and where each part begins."""
-    parts = [K.distinct(symbols(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[0]) for a, b in K.slices(ends, 1 << 18)]
+    parts, held = [], 0
+    for a, b in K.slices(ends, 1 << 18):
+        parts.append(K.distinct(symbols(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[0]))
+        held += len(parts[-1])
+        if held > 2 * len(parts[0]) + _ASKED:
+            parts, held = [K.distinct(np.concatenate(parts))], 0
     k = K.distinct(np.concatenate(parts)) if parts else np.zeros(0, U)
-    order, cut = split(k >> U(_BITS) & _TWO)
+    order, cut = split(k >> U(_BITS) & _TWO, bits)
     return k[order], cut
 
 
-def _ask(batches):
-    """A row for each chunk and part: the chunk's strings there, as differences."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            k, cut = strings(*texts_of(batch.column("ends")[i].as_py(), batch.column("text")[i].as_py()))
-            used = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
-            keys = [squeeze(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(used, np.int32)), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()), pa.array(keys, pa.binary())], names=["part", "chunk", "keys"])
+def _ask(bits: int):
+    def run(batches):
+        """A row for each chunk and part: the chunk's strings there, as differences."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, cut = strings(*texts_of(batch.column("ends")[i].as_py(), batch.column("text")[i].as_py()), bits)
+                used = np.flatnonzero(np.diff(cut)).tolist()
+                keys = [squeeze(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(used, np.int32)), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()), pa.array(keys, pa.binary())], names=["part", "chunk", "keys"])
+
+    return run
 
 
 def _answer(shared):
@@ -261,7 +276,7 @@ def _answer(shared):
                     now, held, model = part, _Sum(), None
                 if counts.is_valid:
                     held.add(np.cumsum(K.values(keys.as_py(), "u8"), dtype=U), K.values(counts.as_py(), "i8"))
-                    if held.size > _HELD:
+                    if held.size > 2 * len(held.parts[0][0]) + _ASKED:
                         held.merge()
                     continue
                 if model is None:
@@ -275,7 +290,7 @@ def _answer(shared):
     return run
 
 
-def _score(shared):
+def _score(shared, bits: int):
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
@@ -283,7 +298,7 @@ def _score(shared):
         table, logs = K.Lookup(keys), np.append(np.log10(counts + 1.0), 0.0)
         rids, doc_ids, held = (chunk.column(c).chunk(0)[0].values for c in ("rid", "doc_id", "held_out"))
         data, ends = texts_of(chunk.column("ends")[0].as_py(), chunk.column("text")[0].as_py())
-        found = K.Lookup(strings(data, ends)[0])
+        found = K.Lookup(strings(data, ends, bits)[0])
         by_part = np.argsort(answers.column("part").to_numpy())
         value = np.concatenate([np.cumsum(unsqueeze(answers.column("kinds")[int(i)].as_py(), "u8"), dtype=U)[unsqueeze(answers.column("which")[int(i)].as_py(), "u4")] for i in by_part]).view(float)
         out = []
@@ -328,8 +343,11 @@ def score_documents(docs: DataFrame, held_out: str = "crc32(cast(doc_id as strin
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.expr(held_out))
-    raw = keep(docs.where("not held_out").select("text").mapInArrow(_count, "kind int, part int, keys binary, counts binary"), "partial")
-    counts = keep(raw.where(F.col("kind") != GRAMS).groupBy("kind", "part").applyInArrow(_merge, "kind int, key long, n long"), "counts")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip((size // PART_BYTES).bit_length(), *PART_BITS))
+    raw = keep(docs.where("not held_out").select("text").mapInArrow(_count(bits), "kind int, part int, keys binary, counts binary"), "partial")
+    counts = raw.where(F.col("kind") != GRAMS).mapInArrow(_unpack, "kind int, key long, n long")
+    counts = keep(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     tokens = counts.where(F.col("kind") == TOKENS).select("key", "n")
     sums = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     end = counts.where(F.col("kind") == DOCS).agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -341,11 +359,11 @@ def score_documents(docs: DataFrame, held_out: str = "crc32(cast(doc_id as strin
 
     pairs = spark.sparkContext.broadcast(on_driver(counts.where(F.col("kind") == PAIRS).select("key", "n").orderBy("key")))
     chunks = keep(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_pack, CHUNKS), "chunks")
-    asked = chunks.select("chunk", "ends", "text").mapInArrow(_ask, "part int, chunk long, keys binary").withColumn("counts", F.lit(None).cast("binary"))
+    asked = chunks.select("chunk", "ends", "text").mapInArrow(_ask(bits), "part int, chunk long, keys binary").withColumn("counts", F.lit(None).cast("binary"))
     parts = raw.where(F.col("kind") == GRAMS).select("part", F.lit(None).cast("long").alias("chunk"), "keys", "counts").unionByName(asked)
     answers = parts.repartition("part").sortWithinPartitions("part", F.col("counts").isNull()).mapInArrow(_answer(pairs), "part int, chunk long, kinds binary, which binary")
     shared = spark.sparkContext.broadcast((*on_driver(tokens.orderBy(F.desc("n"), "key").limit(HEAVY)), math.log10(total + kinds + 1), end))
-    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shared), SCORED)
+    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shared, bits), SCORED)
     rest = tokens.select(F.col("key").alias("h"), F.lit(0).alias("kind"), F.col("n").alias("c"))
     more = F.sum(F.col("n") * F.log10(F.col("c") + 1))
     out = rows.join(rest, ["kind", "h"], "left").groupBy("rid").agg(
