@@ -38,7 +38,7 @@ U = np.uint64
 COUNTER_BITS = 22
 #: Token ranges are 2**8 at least and so many that one has about PART_WORDS words of the input.
 PART_BITS, PART_WORDS = (8, 20), 4_000_000
-PIVOTS, STEP = 8, 32
+PIVOTS, STEP = 8, 1024
 _HELD = 600_000
 _LINE_SLICE = 1 << 20
 #: The level of a count of 1.
