@@ -5,7 +5,9 @@ item at the next item, a cell at the next cell, ...) makes a tree of each page;
 renderer writes all visible text of it. Blocks begin on lines of their own,
 paragraphs and the like are set apart by an empty line, items have a bullet or
 their number and the depth of their list, preformatted text keeps its spaces and
-a table's cells stand in aligned columns.
+a table's cells stand in aligned columns, those that span several among them.
+Every step is linear in the page, but for tables in tables: each of up to NEST
+levels is laid out by itself, what is nested deeper is written as plain blocks.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select map".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas desc defs metadata symbol annotation annotation-xml datalist map".split())
 SPACED = frozenset("p blockquote pre ul ol dl table h1 h2 h3 h4 h5 h6 figure hr".split())
-BLOCKS = SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav search section summary tr thead tbody tfoot caption".split())
-_ENDS_P = (BLOCKS - frozenset("html body tr thead tbody tfoot caption".split())) | {"hr"}
+BLOCKS = SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav option optgroup search section select summary tr thead tbody tfoot caption".split())
+_ENDS_P = (BLOCKS - frozenset("html body tr thead tbody tfoot caption option optgroup select".split())) | {"hr"}
 #: What a start tag closes, and what it does not look beyond.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir", "table"}),
@@ -39,17 +41,32 @@ _CLOSES = {
 }
 _FENCE = frozenset("table td th caption html".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+#: What follows a tag's name; a quote opens a value only after an equals sign and if it is closed.
+_REST = re.compile(r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_GONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
+_USED = re.compile(r"hidden|style|start|span", re.IGNORECASE)
+#: Levels of tables in tables that are laid out, and columns of a table that spans are counted for.
+NEST, COLUMNS = 32, 1000
 
 
 class Node:
-    __slots__ = ("kids", "start", "tag")
+    """start: a list's first number; across, down: the columns and rows that a cell spans."""
 
-    def __init__(self, tag: str, start: int | None = None):
-        self.tag, self.kids, self.start = tag, [], start
+    __slots__ = ("across", "down", "kids", "start", "tag")
+
+    def __init__(self, tag: str, start: int | None = None, across: int = 1, down: int = 1):
+        self.tag, self.kids, self.start, self.across, self.down = tag, [], start, across, down
+
+
+def _number(text: str | None, least: int, most: int, other: int | None) -> int | None:
+    """The whole number that a value begins with, if it has at most nine digits."""
+    m = _NUMBER.match(text or "")
+    return min(max(int(m[1]), least), most) if m else other
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -57,28 +74,41 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; hidden elements are left out with all they hold."""
+    """The tree of a page; elements without a box are left out with all they hold, invisible ones without their text."""
     root = Node("#root")
     stack, hidden = [root], 0  # hidden: how many of the stack from its first hidden element on
+    seen = [True]  # of each element on the stack
     at = 0
 
     def close(k: int) -> None:
         nonlocal hidden
         gone = len(stack) - k
-        del stack[k:]
+        del stack[k:], seen[k:]
         hidden = max(0, hidden - gone)
 
     def add(text: str) -> None:
-        if text and not hidden:
+        if text and not hidden and seen[-1]:
             stack[-1].kids.append(_html.unescape(text) if "&" in text else text)
 
-    for m in iter(lambda: _TAG.search(source, at), None):
+    for m in iter(lambda: _OPEN.search(source, at), None):
         add(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        at = m.start()
+        if m[0] == "<!--":
+            end = source.find("-->", m.end() - 2)
+            at = end + 3 if end >= 0 else len(source)
             continue
-        if m[1] or m[4]:
+        if not m[2]:
+            end = source.find(">", m.end())
+            if end < 0:  # a tag without end: the rest is text
+                break
+            at = end + 1
+            continue
+        rest = _REST.match(source, m.end())
+        if not rest:
+            break
+        at = rest.end()
+        tag = m[2].lower()
+        if m[1]:
             if tag == "br":
                 add("\n") if not hidden else None
             for k in range(len(stack) - 1, 0, -1):
@@ -105,24 +135,25 @@ def parse(source: str) -> Node:
                     least = k
             if least is not None:
                 close(least)
-        raw = m[3] or m[6] or ""
-        extra = _attributes(raw) if ("hidden" in raw or "style" in raw or "start" in raw or "HIDDEN" in raw or "STYLE" in raw) else {}
-        node = Node(tag, int(extra["start"]) if extra.get("start", "").lstrip("-").isdigit() else None)
+        extra = _attributes(rest[1]) if _USED.search(rest[1]) else {}
+        node = Node(tag, _number(extra.get("start"), -(10**9), 10**9, None), _number(extra.get("colspan"), 1, COLUMNS, 1), _number(extra.get("rowspan"), 0, 1 << 16, 1) or 1 << 16)
         gone = tag in HIDDEN or "hidden" in extra or bool(_GONE.search(extra.get("style", "")))
+        shown = _SEEN.findall(extra.get("style", ""))
+        shown = shown[-1].lower() == "visible" if shown else seen[-1]
         if tag in VOID:
             if not hidden and not gone:
                 stack[-1].kids.append(node)
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(source, at)
-            if not hidden and not gone:
+            end = re.compile(f"</{re.escape(tag)}(?:[\\s/][^>]*)?>", re.IGNORECASE).search(source, at)
+            if not hidden and not gone and shown:
                 node.kids.append(_html.unescape(source[at : end.start() if end else len(source)]))
                 stack[-1].kids.append(node)
             at = end.end() if end else len(source)
             continue
         if not hidden and not gone:
             stack[-1].kids.append(node)
-        stack.append(node)
+        stack.append(node), seen.append(shown)
         if hidden or gone:
             hidden += 1
     add(source[at:])
@@ -164,30 +195,55 @@ class _Writer:
         self.gap = 1
 
 
-def _table(node: Node) -> list[str]:
-    """The lines of a table: each column as wide as its widest cell."""
+def _table(node: Node, depth: int) -> list[str]:
+    """The lines of a table: each column as wide as its widest cell, spanned ones as wide as they need to be together."""
     rows, captions, todo = [], [], [node]
     while todo:
         n = todo.pop()
         cells = [k for k in n.kids if isinstance(k, Node) and k.tag in ("td", "th")]
         if n.tag == "tr" or cells:
-            rows.append([[x for x in render(c).split("\n")] for c in cells])
+            rows.append([(render(c, depth + 1).split("\n"), c) for c in cells])
         todo += [k for k in reversed(n.kids) if isinstance(k, Node) and k.tag in ("tr", "thead", "tbody", "tfoot")]
-        captions += [render(k) for k in n.kids if isinstance(k, Node) and k.tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "col", "colgroup")]
+        captions += [render(k, depth + 1) for k in n.kids if isinstance(k, Node) and k.tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "col", "colgroup")]
         captions += [_SPACE.sub(" ", k).strip() for k in n.kids if isinstance(k, str)]
-    wide = [0] * max((len(r) for r in rows), default=0)
+    most = max((len(r) for r in rows), default=0)
+    placed, taken = [], {}  # taken: columns that cells above still span, and for how many rows
     for r in rows:
-        for j, cell in enumerate(r):
-            wide[j] = max(wide[j], *map(len, cell))
+        column, own = 0, []
+        for text, cell in r:
+            while taken.get(column):
+                column += 1
+            across = min(cell.across, most, max(1, COLUMNS - column))
+            own.append((column, across, text))
+            if cell.down > 1:
+                taken |= {c: cell.down for c in range(column, column + across)}
+            column += across
+        placed.append(own)
+        taken = {c: k - 1 for c, k in taken.items() if k > 1}
+    begun = {c for r in placed for c, _, _ in r}  # a column in which no cell begins has no gap before it
+    wide = [0] * max((c + n for r in placed for c, n, _ in r), default=0)
+    for spans in (False, True):
+        for c, n, text in (x for r in placed for x in r):
+            need = max(map(len, text))
+            if n == 1 and not spans:
+                wide[c] = max(wide[c], need)
+            elif n > 1 and spans:
+                wide[c + n - 1] += max(0, need - sum(wide[c : c + n]) - 2 * sum(k in begun for k in range(c + 1, c + n)))
+    first = [0]
+    for c, w in enumerate(wide):
+        first.append(first[-1] + w + 2 * (c + 1 in begun))
     lines = [x for c in captions if c for x in c.split("\n")]
-    for r in rows:
-        for k in range(max((len(c) for c in r), default=0)):
-            lines.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, wide, strict=False)).rstrip())
+    for r in placed:
+        for k in range(max((len(t) for _, _, t in r), default=0)):
+            line = ""
+            for c, _, text in r:
+                line = line.ljust(first[c]) + (text[k] if k < len(text) else "")
+            lines.append(line.rstrip())
     return [x for x in lines if x]
 
 
-def render(root: Node) -> str:
-    """All visible text below a node."""
+def render(root: Node, depth: int = 0) -> str:
+    """All visible text below a node; depth: tables around it."""
     w, lists = _Writer(), []
     todo: list = [(root, False)] if root.tag not in ("td", "th", "caption") else [(k, False) for k in reversed(root.kids)]
     while todo:
@@ -198,9 +254,9 @@ def render(root: Node) -> str:
             node()
         elif node.tag == "br":
             w.end(True)
-        elif node.tag == "table":
+        elif node.tag == "table" and depth < NEST:
             w.space()
-            for x in _table(node):
+            for x in _table(node, depth):
                 w.line = x
                 w.end()
             w.space()
@@ -247,8 +303,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, text for each row of pages(page_id, html, ...).
 
     A null page has a null text, an empty or wholly hidden one an empty text.
-    Broken markup is read as far as it goes. Repeated rows are each extracted;
-    other columns are ignored.
+    Broken markup is read as far as it goes; a tag that never ends makes the rest
+    text. Pages may be of any length and depth (see NEST for tables in tables).
+    Repeated rows are each extracted; other columns are ignored. An empty table
+    gives an empty result.
     """
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_run, "page_id long, text string")
 

@@ -3,6 +3,7 @@
 import os
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -319,3 +320,32 @@ def test_neighbours_of_the_query_on_its_table(spark):
     found = got.groupby("query_id").vec_id.agg(set).to_dict()
     assert found.keys() == want.keys()
     assert sum(len(found[q] & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_pages_that_are_odd():
+    show = html_text.html_to_text
+    for start in ("--5", "²", "9" * 5000, "", "x", "-"):
+        assert show(f"<ol start='{start}'><li>a<li>b</ol>") == "1. a\n2. b"
+    assert show("<ol start=' -2x'><li>a<li>b<li>c</ol>") == "-2. a\n-1. b\n0. c"
+    deep = show("<table><tr><td>a" * 900)
+    assert deep.split() == ["a"] * 900
+    assert show("<table>" * 50_000 + "end") == "end"
+    for page in ("<a " * 300_000, '<a ">' * 100_000, '<a x=">' * 100_001, "<!" * 300_000, "<a " * 200_000 + '=">"', "<!--" * 200_000, "<" * 300_000, "<script>" * 100_000, "<a b='" * 100_001 + ">"):
+        began = time.perf_counter()
+        show(page)
+        assert time.perf_counter() - began < 5, page[:10]
+    assert show('x <a ">b</a> c') == "x b c" and show("a <b") == "a <b"
+    assert show("<div style='visibility:hidden'>a<p style='visibility: visible'>b</p>c</div>d") == "b\n\nd"
+    assert show("<select><option>one<option selected>two</select>x") == "one\ntwo\nx"
+    assert show("<svg><title>t</title><desc>d</desc><text>seen</text></svg>") == "seen"
+    assert show("<table><tr><td colspan=2>a wide cell<td>z<tr><td>k<td>v<td>w</table>") == "a wide cell  z\nk  v         w"
+    assert show("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert show("<table><tr><td colspan=99999999>a<td>b</table>") == "a  b"
+
+
+def test_page_rows(spark):
+    rows = [(1, "<p>a"), (1, "<p>a"), (2, None), (3, ""), (None, "<b>x"), (4, "<p hidden>a"), (5, "<p>" + "long " * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 AS text", "2 AS tag")
+    got = sorted(((r.page_id, r.text) for r in html_text.extract_pages(df).collect()), key=str)
+    assert got == sorted([(1, "a"), (1, "a"), (2, None), (3, ""), (None, "x"), (4, ""), (5, ("long " * 300_000).strip())], key=str)
+    assert html_text.extract_pages(df.where("false")).count() == 0
