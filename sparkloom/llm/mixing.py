@@ -12,6 +12,7 @@ reported in a warning.
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
@@ -26,6 +27,8 @@ DRIVER_CELLS = 500_000
 TOPICS = 8
 ROUNDS, CLOSE = 100, 1e-9
 TEMPER = 0.7
+#: Stands for null among a dimension's values.
+NONE = "\0null"
 
 
 def topic(text) -> F.Column:
@@ -73,6 +76,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return w.drop("off")
 
 
+def complete(cells: DataFrame, dim: str, goal: DataFrame) -> DataFrame:
+    """A target for every value: those that goal(value, share) does not name take what it leaves of 1, by their tokens.
+
+    Where it leaves nothing they get none. All shares are scaled to sum to 1, so both ways of raking see the same table.
+    """
+    own = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("t"))
+    every = own.join(goal.groupBy("value").agg(F.sum("share").alias("share")), "value", "full")
+    sums = every.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("named"), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("t"))), F.lit(0)).alias("rest"))
+    left = F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), 1 - F.col("named"))).otherwise(0.0)
+    share = F.coalesce("share", left * F.col("t") / F.col("rest")) / F.when(F.col("named") + left > 0, F.col("named") + left)
+    return every.crossJoin(F.broadcast(sums)).select("value", share.alias("share")).where("share is not null")
+
+
+def _goal(spark, dim: str, shares: dict) -> DataFrame:
+    if not all(math.isfinite(v) and v >= 0 for v in shares.values()):
+        raise ValueError(f"shares of {dim} must be finite and not negative: {shares}")
+    kind = int if dim == "topic" else lambda v: NONE if v is None else str(v)
+    return spark.createDataFrame([(kind(k), float(v)) for k, v in shares.items()], f"value {'int' if dim == 'topic' else 'string'}, share double")
+
+
 def level(total: float, at) -> float:
     """The factor g with sum(least(t, g * x)) = total; at(g): sum of t where g * x >= t, and of x elsewhere. Without one: where all are full."""
     g = 0.0
@@ -161,27 +184,33 @@ def unmet(weights: DataFrame, targets: dict[str, DataFrame], by: float = 1e-3) -
     return out.where(F.abs(F.col("got") - F.col("share")) > by)
 
 
-def calibrated(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | None = None, seed: int = 7) -> DataFrame:
+def calibrated(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | None = None, seed: int = 7, topic_of=None) -> DataFrame:
     """docs with __p (probability) and __take (drawn by it), by raked weights of source, lang and topic.
 
     docs(doc_id, text, lang, source, ...). Tokens are white-space words. targets:
-    value -> share for each of source, lang and topic; without them, tempered
-    shares. Nulls are values like others. A document without tokens has weight 0
+    value -> share for any of source, lang and topic; without them, tempered
+    shares. Values that a dimension's targets do not name share what is left of 1
+    by their tokens (nothing, if the named ones sum to 1 or more); shares are
+    scaled to sum to 1, negative ones are an error. A dimension without targets is
+    left as raking the others makes it. Nulls are values like others. A document without tokens has weight 0
     and is not drawn. The draw is a hash of doc_id and seed: rows that repeat a
     doc_id are drawn or not together, a null doc_id counts as one value. An empty
-    table stays empty. Marginals that contradict each other end nearest to the last.
+    table stays empty. Marginals that contradict each other, and such as are not
+    met after ROUNDS rounds, end nearest to the last one and are in the warning.
+    topic_of gives a document's topic (a whole number) from its text, or a column
+    in its place. Columns of docs whose names begin with two underscores may clash.
     """
-    none = F.lit("\0null")
+    none = F.lit(NONE)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     marked = docs.withColumn("__tokens", F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long"))
-    marked = marked.withColumn("__s", F.coalesce(F.col("source").cast("string"), none)).withColumn("__l", F.coalesce(F.col("lang").cast("string"), none)).withColumn("__t", topic(F.col("text").cast("string")))
+    marked = marked.withColumn("__s", F.coalesce(F.col("source").cast("string"), none)).withColumn("__l", F.coalesce(F.col("lang").cast("string"), none)).withColumn("__t", (topic_of or topic)(F.col("text").cast("string")))
     dims = {"source": "__s", "lang": "__l", "topic": "__t"}
     cells = keep(marked.groupBy(*dims.values()).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0"), "cells")
     spark = docs.sparkSession
     if targets is None:
         wanted = {c: tempered(cells, c) for c in dims.values()}
     else:
-        wanted = {dims[d]: spark.createDataFrame([(k, float(v)) for k, v in t.items()], f"value {'int' if d == 'topic' else 'string'}, share double") for d, t in targets.items()}
+        wanted = {dims[d]: keep(complete(cells, dims[d], _goal(spark, d, t)), "targets") for d, t in targets.items()}
     if cells.count() <= DRIVER_CELLS:
         own = cells.toPandas()
         if len(own):
@@ -203,9 +232,9 @@ def calibrated(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | N
 
 
 def mixed(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | None = None, seed: int = 7) -> DataFrame:
-    """The drawn rows of docs, with weight: how many documents each stands for (1 / probability)."""
+    """The drawn rows of docs, with weight: how many documents each stands for (1 / probability); it replaces a column of that name."""
     out = calibrated(docs, share, targets, seed).where("__take")
-    return out.select(*docs.columns, (1 / F.col("__p")).alias("weight"))
+    return out.select(*[c for c in docs.columns if c != "weight"], (1 / F.col("__p")).alias("weight"))
 
 
 def op9_raking(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -21,13 +22,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one, but only if Spark runs on this machine alone."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         found = sc._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sparkloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

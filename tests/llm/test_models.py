@@ -349,3 +349,58 @@ def test_page_rows(spark):
     got = sorted(((r.page_id, r.text) for r in html_text.extract_pages(df).collect()), key=str)
     assert got == sorted([(1, "a"), (1, "a"), (2, None), (3, ""), (None, "x"), (4, ""), (5, ("long " * 300_000).strip())], key=str)
     assert html_text.extract_pages(df.where("false")).count() == 0
+
+
+def test_targets_that_omit_values(spark, monkeypatch):
+    text = "common words of a text " * 10
+    rows = [(i, text, "en", f"s{i % 4}" if i % 4 else None, 1.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight double")
+    shares = lambda t, **k: (lambda o: (o["__p"].groupby(o.source.fillna("-")).sum() / o["__p"].sum()).to_dict())(mixing.calibrated(df, 0.2, {"source": t}, **k).toPandas())
+    assert shares({"s1": 0.4, "s2": 0.3}) == pytest.approx({"s1": 0.4, "s2": 0.3, "s3": 0.15, "-": 0.15})
+    assert shares({"s1": 3, "s2": 1}) == pytest.approx({"s1": 0.75, "s2": 0.25, "s3": 0, "-": 0})
+    assert shares({None: 0.7}) == pytest.approx({"-": 0.7, "s1": 0.1, "s2": 0.1, "s3": 0.1})
+    with pytest.raises(ValueError, match="negative"):
+        mixing.calibrated(df, 0.2, {"source": {"s1": -1}})
+    with pytest.warns(UserWarning, match="lang 'de'"):
+        assert shares({"s1": 0.5}) and mixing.calibrated(df, 0.2, {"lang": {"de": 0.5}}).count() == 200
+    got = mixing.mixed(df, 0.2, {"source": {"s1": 0.4}})
+    assert got.columns == ["doc_id", "text", "lang", "source", "weight"] and got.where("weight < 1").count() == 0
+    want = shares({"s1": 0.4})
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    assert shares({"s1": 0.4}) == pytest.approx(want)
+
+
+def test_raking_query_against_loops(spark, monkeypatch):
+    """op9's query against proportional fitting in plain loops, with a share at which no probability reaches 1."""
+    from sparkloom.llm.queries import QUERIES
+
+    monkeypatch.setattr(mixing.calibrated, "__defaults__", (0.05, *mixing.calibrated.__defaults__[1:]))
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op9_raking"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    cell, tokens = {}, Counter()
+    for d, r in docs.items():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert got[d].tokens == n
+        cell[d] = (r.source, r.lang, got[d].topic)
+        tokens[cell[d]] += n
+    tokens = +tokens
+    w = {c: float(n) for c, n in tokens.items()}
+    goals = []
+    for k in range(3):
+        sums = Counter()
+        for c, n in tokens.items():
+            sums[c[k]] += n
+        total = sum(n**mixing.TEMPER for n in sums.values())
+        goals.append({v: n**mixing.TEMPER / total for v, n in sums.items()})
+    for _ in range(mixing.ROUNDS):
+        for k in range(3):
+            now = Counter()
+            for c, x in w.items():
+                now[c[k]] += x
+            w = {c: x * goals[k][c[k]] / now[c[k]] for c, x in w.items()}
+    total = 0.05 * sum(tokens.values()) / sum(w.values())
+    want = {d: total * w[c] / tokens[c] if c in tokens and got[d].tokens else 0.0 for d, c in cell.items()}
+    assert max(want.values()) < 1
+    for d in docs:
+        assert got[d].probability == pytest.approx(want[d], abs=1e-6)
