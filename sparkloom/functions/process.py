@@ -43,8 +43,11 @@ class Processes:
         handler, first = found
         if timeout is None:
             return handler(*first, *args)
-        with ThreadPoolExecutor(1) as pool:
+        pool = ThreadPoolExecutor(1)
+        try:
             return pool.submit(handler, *first, *args).result(timeout)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)  # a handler that is late is not waited for
 
 
 def model_processes(models) -> dict[str, Callable]:

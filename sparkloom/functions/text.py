@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
-MOBILE = {"cn": r"^1[3-9]\d{9}$", "us": r"^(\+?1)?[2-9]\d{2}[2-9]\d{6}$"}
+#: The forms of mobile numbers.
+MOBILE = {"cn": r"^1[3-9]\d{9}$", "us": r"^[0-9]{3}-[0-9]{3}-[0-9]{4}$"}
 
 
 def validator(method: str, column: Column, *args) -> Column:

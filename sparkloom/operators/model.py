@@ -97,6 +97,8 @@ class Models:
         for i, o in enumerate(p.get("orders") or []):
             at = "__".join([name, *o["rel"].split("."), "rel"]) if o.get("rel") else name
             keys.append((F.col(f"{at}.{o['column']}").alias(f"__o{i}"), str(o.get("option", "asc")).lower() == "desc"))
+        if many and (p.get("limit") is not None or limited):  # the rows at hand are read twice: the key makes their order total
+            keys.append((F.col(f"{name}.{m.primary}").alias(f"__o{len(keys)}"), False))
         parents = [F.col(f"{name}.{r.foreign}").alias(f"__p{i}") for i, (_, r, _) in enumerate(many)]
         df = df.select(*out, *parents, *[k for k, _ in keys])
         if keys:

@@ -63,17 +63,15 @@ def threshold(rows, query, least: float, metric: str = "cosine", vector: str = "
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", broadcast_rows: int = 20_000) -> DataFrame:
     """queries(query_id, query). A stated query set against all rows: the queries are broadcast up to broadcast_rows,
-    beyond that they come in blocks of as many. Each task keeps its k best of each query before anything is shuffled."""
+    beyond that they come in blocks of as many. Each task keeps its k best of each query before anything is shuffled
+    (Spark limits the window's groups on both sides of the exchange)."""
     n = queries.count()
     blocks = max(1, -(-n // broadcast_rows))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = rows.select(key, vector).crossJoin(F.broadcast(part)).select("query_id", key, METRICS[metric](F.col(vector), F.col("query")).alias("score"))
-        # the k best of each query through a bounded aggregate on the map side
-        best = F.expr(f"slice(array_sort(collect_list(struct(-score AS n, {key}))), 1, {k})")
-        near = pairs.withColumn("__part", F.spark_partition_id()).groupBy("query_id", "__part").agg(best.alias("b")).select("query_id", F.explode("b").alias("x")).select("query_id", F.col(f"x.{key}").alias(key), (-F.col("x.n")).alias("score"))
-        out = near if out is None else out.unionByName(near)
+        out = pairs if out is None else out.unionByName(pairs)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

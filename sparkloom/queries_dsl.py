@@ -119,6 +119,9 @@ DOCUMENTS = {
     "fn_if": ({"select": ["c_custkey", ":IF(:ISNULL(c_name), 'none', :IFNULL(c_name, 'x')) as u"], "from": "customer"}, "SELECT c_custkey, CASE WHEN c_name IS NULL THEN 'none' ELSE coalesce(c_name, 'x') END AS u FROM customer"),
     "fn_coalesce": ({"select": ["c_custkey", ":COALESCE(:NULLIF(c_mktsegment, 'BUILDING'), 'b') as u"], "from": "customer"}, "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'b') AS u FROM customer"),
     "fn_datetime_normalize": ({"select": ["o_orderkey", ":DATE_FORMAT(o_orderdate, '%Y-%m-%d %H:%i:%s') as d"], "from": "orders"}, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d FROM orders"),
+    "fn_truncate": ({"select": ["c_custkey", ":ROUND(:TRUNCATE(c_acctbal, 1), 4) as u", ":TRUNCATE(c_acctbal, 0) as v"], "from": "customer"}, "SELECT c_custkey, round(trunc(c_acctbal * 10) / 10, 4) AS u, trunc(c_acctbal) AS v FROM customer"),
+    "fn_date_words": ({"select": ["o_orderkey", ":DATE_FORMAT(o_orderdate, '%W, day %e of %M %Y at 100%%') as d"], "from": "orders"}, "SELECT o_orderkey, strftime(o_orderdate, '%A, day %-d of %B %Y at 100%%') AS d FROM orders"),
+    "agg_stddev": ({"select": ["l_returnflag", ":ROUND(:STDDEV(l_quantity), 5) as s", ":ROUND(:STD(l_discount), 5) as t"], "from": "lineitem", "groups": ["l_returnflag"]}, "SELECT l_returnflag, round(stddev_pop(l_quantity), 5) AS s, round(stddev_pop(l_discount), 5) AS t FROM lineitem GROUP BY l_returnflag"),
     "window_row_number": ({"sql": {"stmt": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders"}}, "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn FROM orders"),
     "window_rank": ({"sql": {"stmt": "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"}}, "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS INTEGER) AS r FROM part"),
     "window_running_sum": ({"sql": {"stmt": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s FROM orders"}}, "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s FROM orders"),

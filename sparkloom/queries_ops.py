@@ -262,6 +262,7 @@ for _k, _m, _a, _c, _sql in (
     add(f"validate_{_k}", lambda s, d, m=_m, a=_a, c=_c: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", X.validator(m, F.col(c), *a).alias("ok")), f"SELECT c_custkey, {_sql} AS ok FROM customer")
 _MAIL = "concat('user', c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '@' END, 'mail.com')"
 add("validate_email", lambda s, d: view(s, d, f"SELECT c_custkey, {_MAIL} AS m FROM customer").select("c_custkey", X.validator("email", F.col("m")).alias("ok")), "SELECT c_custkey, c_custkey % 3 <> 0 AS ok FROM customer")
+add("validate_mobile_us", lambda s, d: view(s, d, "SELECT c_custkey, concat(if(c_custkey % 3 = 0, '(415)', '415'), '-555-', lpad(cast(c_custkey % 10000 as string), 4, '0')) AS m FROM customer").select("c_custkey", X.validator("mobile", F.col("m"), "us").alias("ok")), "SELECT c_custkey, c_custkey % 3 <> 0 AS ok FROM customer")
 add("validate_mobile", lambda s, d: view(s, d, "SELECT c_custkey, concat('138', lpad(cast(c_custkey as string), 8, '0')) AS m FROM customer").select("c_custkey", X.validator("mobile", F.col("m"), "cn").alias("ok")), "SELECT c_custkey, true AS ok FROM customer")
 add("validate_typeof", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", X.validator("typeof", F.col("c_acctbal"), "float").alias("ok")), "SELECT c_custkey, true AS ok FROM customer")
 _J = "CASE WHEN event_id % 3 = 0 THEN concat(props, '}') ELSE props END"
@@ -354,7 +355,7 @@ def _diff(s, d):
 
 
 add("schema_diff", _diff, "SELECT * FROM (VALUES ('add', 'column', 'c'), ('del', 'column', 'b'), ('alt', 'column', 'a'), ('add', 'index', 'i')) t(action, kind, name)")
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 add("schema_tables", lambda s, d: s.createDataFrame([(t,) for t in TABLES if s.read.parquet(f"{d}/{t}.parquet").columns], "name string"), "SELECT unnest(['" + "','".join(TABLES) + "']) AS name")
 add("schema_get", lambda s, d: s.createDataFrame([(c, t) for c, t in s.read.parquet(f"{d}/nation.parquet").dtypes], "name string, type string"), "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(name, type)")
 

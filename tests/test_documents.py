@@ -101,3 +101,23 @@ def test_pages(spark):
     assert (last.next, last.prev, last.items.count()) == (-1, 1, 1)
     assert first(Query(c, doc)) == {"id": 1, "name": "Alice"} and get(Query(c, {"select": ["id"], "from": "t"})).count() == 3
     assert first(Query(c, {**doc, "wheres": [{"field": "id", ">": 9}]})) is None
+
+
+def test_date_patterns_and_keys(spark):
+    E.sql(E.parse(":DATE_FORMAT(a, '%Y')"))
+    with pytest.raises(E.ExpressionError):
+        E.sql(E.parse(":DATE_FORMAT(a, '%U')"))
+    key = "schlüssel"
+    df = spark.createDataFrame([("grüße",)], "a string").selectExpr(f"hex(aes_encrypt(a, X'{E.fold_key(key).encode('latin-1').hex()}', 'ECB', 'PKCS')) AS a")
+    assert df.selectExpr(E.sql(E.parse("a*"), key=key)).first()[0] == "grüße"
+
+
+def test_a_late_process_is_not_waited_for():
+    import time
+
+    found = Processes()
+    found.register("slow.one", lambda: time.sleep(3))
+    began = time.perf_counter()
+    with pytest.raises(TimeoutError):
+        found.run("slow.one", timeout=0.2)
+    assert time.perf_counter() - began < 2
