@@ -13,8 +13,11 @@ windows have equal anchors at equal places, one in about 14 positions.
 2.  The others' suffixes (with the bytes before them that their windows need)
     go to buckets by sampled splitters over their leading bytes. Equal anchors
     have equal leading bytes, so no match crosses a boundary between buckets.
-3.  A bucket sorts its suffixes by multikey quicksort over 8-byte symbols;
-    neighbours with a common anchor compare their windows byte for byte.
+3.  A bucket sorts its suffixes by multikey quicksort over 8-byte symbols, which
+    brings equal anchors together and shows those that stand alone. The windows
+    around the others are grouped by hash at each distance from the anchor, and
+    rows of a group are compared byte for byte; neighbours in the order alone do
+    not decide, as a window begins before its anchor.
 4.  Anchors of over HOT documents are dealt out by whole windows instead; each
     task sends only its first document of every such window.
 """
