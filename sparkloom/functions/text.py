@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
@@ -154,18 +154,73 @@ def replace_blocks(text: str, patch: str) -> str:
     return text
 
 
-def fixed_chunks(df: DataFrame, key: str, column: str, size: int, overlap: int = 0) -> DataFrame:
-    """(key, index, start, stop, text): windows of bytes; broken characters at the edges go."""
+def _windows(df: DataFrame, column: str, size: int, overlap: int) -> DataFrame:
+    """A row of each window of bytes of a text, with the columns of df but the text, __b (all bytes), __n, index, start, stop."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be under size")
-    data = F.encode(F.col(column), "UTF-8")
     n, step = F.octet_length(F.col(column)), size - overlap
     count = F.when(n <= size, F.when(n > 0, 1).otherwise(0)).otherwise(F.ceil((n - overlap) / F.lit(step)).cast("int"))
-    at = df.select(key, data.alias("__b"), n.alias("__n"), F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("index"))
-    start = F.col("index") * step
-    stop = F.least(start + size, F.col("__n"))
-    piece = F.expr(f"regexp_replace(make_valid_utf8(cast(substring(__b, index * {step} + 1, {size}) as string)), '^\\\\uFFFD+|\\\\uFFFD+$', '')")
-    return at.select(key, "index", start.cast("long").alias("start"), stop.cast("long").alias("stop"), piece.alias("text"))
+    rest = [c for c in df.columns if c != column]
+    at = df.select(*rest, F.encode(F.col(column), "UTF-8").alias("__b"), n.alias("__n"), F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("index"))
+    return at.withColumn("start", (F.col("index") * step).cast("long")).withColumn("stop", F.least(F.col("start") + size, F.col("__n").cast("long")))
+
+
+#: Hex of what a window holds of characters cut at its edges: bytes that go on with a character before it, and one begun at its end.
+_CUT = "^([89AB][0-9A-F])+|([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){0,2})$"
+
+
+def _piece(start: str, size: str) -> Column:
+    return F.expr(f"decode(unhex(regexp_replace(hex(substring(__b, cast({start} as int) + 1, cast({size} as int))), '{_CUT}', '')), 'UTF-8')")
+
+
+def fixed_chunks(df: DataFrame, key: str, column: str, size: int, overlap: int = 0) -> DataFrame:
+    """(key, index, start, stop, text): windows of bytes of the whole text; characters cut at the edges go from text. Null and empty texts have none."""
+    return _windows(df.select(key, column), column, size, overlap).select(key, "index", "start", "stop", _piece("start", "stop - start").alias("text"))
+
+
+def chunk_options(kind: str) -> dict:
+    """Size, overlap and depth by kind of text."""
+    return {"size": 800, "overlap": 100, "depth": 3} if kind in ("code", "json") else {"size": 300, "overlap": 20, "depth": 1}
+
+
+def chunk_tree(df: DataFrame, key: str, column: str, size: int = 300, overlap: int = 20, depth: int = 1, factor: int = 3) -> DataFrame:
+    """Chunks of all levels: (key, id, parent_id, parents, depth, index, leaf, root, status, start, stop, start_line, end_line, text).
+
+    Level 1 has the largest windows, each cut again into those of the next level, down to the base size at level depth.
+    A chunk no longer than the next level's size is a leaf and is not cut again. start and stop are bytes of the whole text,
+    lines count from 1; id is key:path, parents the ids from the root down; a leaf is completed, others are pending.
+    Rows that share a key and a text have the same chunks, once each; null and empty texts have none."""
+    sizes = chunk_sizes(size, depth, factor)
+    level = df.where(F.octet_length(column) > 0).select(key, F.col(column).alias("text"), F.lit("").alias("path"), F.array().cast("array<string>").alias("parents"), F.lit(0).cast("long").alias("from"), F.lit(1).cast("long").alias("line")).distinct()
+    out = None
+    for d, width in enumerate(sizes, 1):
+        step = width - overlap
+        cut = _windows(level, "text", width, overlap)
+        # line feeds of each window's own step, summed over the windows before it
+        feeds = F.expr(f"length(regexp_replace(hex(substring(__b, cast(start as int) + 1, {step})), '(0A)|(..)', '$1')) div 2")
+        before = Window.partitionBy(key, "path", F.xxhash64("__b")).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+        cut = cut.withColumn("line", F.col("line") + F.coalesce(F.sum(feeds).over(before), F.lit(0)))
+        cut = cut.withColumn("text", _piece("start", "stop - start")).withColumn("__lines", F.expr("length(regexp_replace(hex(substring(__b, cast(start as int) + 1, cast(stop - start as int))), '(0A)|(..)', '$1')) div 2"))
+        head = F.expr("length(regexp_extract(hex(substring(__b, cast(start as int) + 1, 3)), '^([89AB][0-9A-F])*', 0)) div 2")
+        name = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.col("index").cast("string"))
+        leaf = F.lit(True) if d == depth else F.octet_length("text") <= sizes[d]
+        made = cut.select(
+            key, F.concat(F.col(key).cast("string"), F.lit(":"), name).alias("id"), F.element_at("parents", -1).alias("parent_id") if d > 1 else F.lit(None).cast("string").alias("parent_id"), "parents", F.lit(d).alias("depth"), "index", leaf.alias("leaf"), F.lit(d == 1).alias("root"),
+            F.when(leaf, "completed").otherwise("pending").alias("status"), (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("stop")).alias("stop"), F.col("line").alias("start_line"), (F.col("line") + F.col("__lines")).alias("end_line"), "text", name.alias("path"), head.alias("__head"),
+        )
+        out = made.drop("path", "__head") if out is None else out.unionByName(made.drop("path", "__head"))
+        # places in a piece count from behind the bytes cut off its beginning
+        level = made.where(~F.col("leaf")).select(key, "text", "path", F.concat("parents", F.array("id")).alias("parents"), (F.col("start") + F.col("__head")).alias("from"), F.col("start_line").alias("line"))
+    return out
+
+
+def complete_parents(chunks: DataFrame) -> DataFrame:
+    """Chunks of a tree with every parent completed whose children all are, from the lowest level up (at most 5 levels)."""
+    out = chunks
+    for d in range(4, 0, -1):
+        done = out.where(F.col("depth") == d + 1).groupBy(F.col("parent_id").alias("__id")).agg(F.bool_and(F.col("status") == "completed").alias("__all")).where("__all")
+        out = out.join(done, (F.col("id") == F.col("__id")) & (F.col("depth") == d), "left").withColumn("status", F.when(F.col("__all"), "completed").otherwise(F.col("status"))).drop("__id", "__all")
+    return out
 
 
 def chunk_sizes(size: int, depth: int, factor: int = 3) -> list[int]:

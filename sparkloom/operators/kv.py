@@ -72,3 +72,42 @@ def array_page(value: Column, page: int, size: int) -> Column:
 
 def array_set(value: Column, index: int, item) -> Column:
     return F.when(F.size(value) > index, F.transform(value, lambda x, i: F.when(i == index, F.lit(item)).otherwise(x))).otherwise(F.raise_error(F.lit("index out of range")))
+
+
+def array_len(value: Column) -> Column:
+    return F.coalesce(F.size(value), F.lit(0))
+
+
+def array_get(value: Column, index: int) -> Column:
+    """The item at an index from 0; one out of range is an error."""
+    return F.when((F.size(value) > index) & F.lit(index >= 0), F.get(value, F.lit(index))).otherwise(F.raise_error(F.lit("index out of range")))
+
+
+def decr(kv: DataFrame, key: str, by: int = 1) -> DataFrame:
+    return incr(kv, key, -by)
+
+
+def get_multi(kv: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """(key, value) of every key of wanted(key); a key that is not there, or late, has a null value."""
+    return wanted.select("key").distinct().join(live(kv, now).select("key", "value"), "key", "left")
+
+
+def get_set_multi(kv: DataFrame, wanted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(values, table afterwards) of wanted(key, value, ...) with the store's columns: what is there is kept, else the row given is written."""
+    there = live(kv, now).join(wanted.select("key"), "key", "left_semi")
+    fresh = wanted.join(there.select("key"), "key", "left_anti").select(*kv.columns)
+    gone = kv.join(fresh.select("key"), "key", "left_anti")
+    return there.unionByName(fresh).select("key", "value"), gone.unionByName(fresh)
+
+
+def get_del(kv: DataFrame, key: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(the entry, the table without it)."""
+    return get(kv, key, now), kv.filter(F.col("key") != F.lit(key))
+
+
+def del_multi(kv: DataFrame, names: list[str]) -> DataFrame:
+    return kv.filter(~F.col("key").isin(names))
+
+
+def clear(kv: DataFrame) -> DataFrame:
+    return kv.limit(0)

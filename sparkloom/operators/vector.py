@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,3 +110,125 @@ def scroll(rows: DataFrame, limit: int, cursor: int | None = None, key: str = "v
     """A page by key and, as the last row of limit + 1, where the next one begins."""
     df = rows if cursor is None else rows.filter(F.col(key) >= cursor)
     return df.orderBy(key).limit(limit + 1)
+
+
+# ---- sparse vectors: struct<indices: array<bigint>, values: array<double>> ----
+
+
+def sparse(dense: Column, least: float) -> Column:
+    """The components of a dense vector that are at least so large, as a sparse one."""
+    parts = F.filter(F.transform(dense, lambda x, i: F.struct(i.cast("long").alias("i"), x.cast("double").alias("x"))), lambda p: F.abs(p["x"]) >= least)
+    return F.struct(F.transform(parts, lambda p: p["i"]).alias("indices"), F.transform(parts, lambda p: p["x"]).alias("values"))
+
+
+def sparse_dot(vector: Column, indices: list[int], values: list[float]) -> Column:
+    """Inner product with a stated sparse vector; indices that either lacks count as 0."""
+    if len(indices) != len(values) or len(set(indices)) != len(indices):
+        raise ValueError("one value for each of distinct indices")
+    if not indices:
+        return F.lit(0.0)
+    query = F.create_map(*[F.lit(x) for i, v in zip(indices, values, strict=True) for x in (int(i), float(v))])
+    parts = F.zip_with(vector["indices"], vector["values"], lambda i, v: v * F.coalesce(F.try_element_at(query, i.cast("int")), F.lit(0.0)))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+def hybrid(rows: DataFrame, dense: list[float] | None = None, query: tuple[list[int], list[float]] | None = None, limit: int = 10, how: str = "rrf", vector: str = "embedding", sparse_vector: str = "sparse", metric: str = "cosine", key: str = "vec_id") -> DataFrame:
+    """Dense and sparse search in one: each takes its 2 * limit best, and the lists are fused. A sparse vector that shares no index
+    with the query is not found by it. With one of the two queries only, that list alone is fused."""
+    if dense is None and query is None:
+        raise ValueError("a dense or a sparse query is needed")
+    limit = min(limit if limit > 0 else 10, MAX_RESULTS)
+    found = []
+    if dense is not None:
+        found.append(scored(rows, dense, metric, vector).select(key, "score"))
+    if query is not None:
+        meets = F.arrays_overlap(F.col(sparse_vector)["indices"], F.array(*[F.lit(int(i)).cast("long") for i in query[0]]))
+        found.append(rows.filter(meets).select(key, sparse_dot(F.col(sparse_vector), *query).alias("score")))
+    return fuse(found[0], found[1] if len(found) > 1 else found[0].limit(0), limit, how, key)
+
+
+# ---- pages, several searches, and changes of a collection ----
+
+
+@dataclass
+class Found:
+    """A page of results and what is said of it; next_cursor is the key at which the next page begins."""
+
+    items: DataFrame
+    page: int = 0
+    pagesize: int = 10
+    total: int | None = None
+    pages: int | None = None
+    has_next: bool = False
+    has_previous: bool = False
+    next_page: int | None = None
+    previous_page: int | None = None
+    next_cursor: object = None
+
+
+def page_of(rows: DataFrame, orders: list, page: int = 1, pagesize: int = 10, total: bool = True) -> Found:
+    """A page of rows in a total order. Whether there is a next one comes from the true count, or without it from one row more."""
+    page, size = max(1, page), pagesize if pagesize > 0 else 10
+    items = rows.orderBy(*orders).offset((page - 1) * size).limit(size)
+    if total:
+        n = rows.count()
+        more, count = page * size < n, -(-n // size)
+    else:
+        n = count = None
+        more = rows.orderBy(*orders).offset(page * size).limit(1).count() > 0
+    return Found(items, page, size, n, count, more, page > 1, page + 1 if more else None, page - 1 if page > 1 else None)
+
+
+def cursor_page(rows: DataFrame, limit: int = 20, cursor=None, key: str = "id", most: int = 100) -> Found:
+    """Rows after a cursor (the last key of the page before), limit (20 by default, at most 100) of them."""
+    limit = min(limit if limit > 0 else 20, most)
+    df = rows if cursor is None else rows.filter(F.col(key) > F.lit(cursor))
+    ahead = [r[0] for r in df.select(key).orderBy(key).limit(limit + 1).collect()]
+    more = len(ahead) > limit
+    return Found(df.orderBy(key).limit(limit), pagesize=limit, has_next=more, has_previous=cursor is not None, next_cursor=ahead[limit - 1] if more else None)
+
+
+def scroll_page(rows: DataFrame, limit: int = 100, cursor=None, order: str | None = None, key: str = "vec_id") -> Found:
+    """A page of limit rows, by key or, on a first page only, by one field ("field" or "field:desc"); next_cursor is the row after it."""
+    limit = limit if limit > 0 else 100
+    name, _, way = (order or "").partition(":")
+    by = [F.desc(name) if way.lower() == "desc" else F.asc(name), key] if name and cursor is None else [key]
+    df = rows if cursor is None else rows.filter(F.col(key) >= F.lit(cursor))
+    ahead = [r[0] for r in df.select(key, *([name] if name and name != key else [])).orderBy(*by).limit(limit + 1).collect()]
+    more = len(ahead) > limit
+    return Found(df.orderBy(*by).limit(limit), pagesize=limit, has_next=more, has_previous=cursor is not None, next_cursor=ahead[limit] if more else None)
+
+
+def multi_search(searches: dict[str, DataFrame]) -> DataFrame:
+    """Named searches of one form as one table with the column search; Spark runs them side by side."""
+    out = None
+    for name, df in searches.items():
+        one = df.withColumn("search", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no search")
+    return out
+
+
+def upsert(rows: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The collection with new rows in place of those of the same key. Of several new rows of a key the greatest by the other
+    columns stays; a column that new rows lack is null in them."""
+    rest = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("__x")).select(key, *[F.col(f"__x.{c}").alias(c) for c in rest]) if rest else new.distinct()
+    return rows.join(one.select(key), key, "left_anti").select(*rows.columns).unionByName(one, allowMissingColumns=True)
+
+
+def delete(rows: DataFrame, ids: list | None = None, where: dict | None = None, key: str = "vec_id", dry_run: bool = False) -> DataFrame:
+    """The collection without these ids, or without what fulfils all equalities; a dry run counts what would go."""
+    if (ids is None) == (where is None):
+        raise ValueError("ids or where")
+    hit = F.coalesce(F.col(key).isin(list(ids)) if where is None else metadata_filter(where), F.lit(False))
+    return rows.filter(hit).agg(F.count("*").alias("n")) if dry_run else rows.filter(~hit)
+
+
+def update_metadata(rows: DataFrame, changes: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The collection with the columns of changes(key, ...) set where a key is there; keys that are not are left out."""
+    named = changes.select(F.col(key), F.struct(*[c for c in changes.columns if c != key]).alias("__new"))
+    named = named.groupBy(key).agg(F.max("__new").alias("__new"))
+    fields = [c for c in changes.columns if c != key]
+    return rows.join(named, key, "left").select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns])

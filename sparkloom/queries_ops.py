@@ -282,10 +282,11 @@ add("text_word_similarity", lambda s, d: view(s, d, "SELECT p_partkey, concat(p_
 add("html_to_markdown", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", X.html_to_markdown("html").alias("markdown")))
 add("diff_replace", lambda s, d: s.createDataFrame([(X.replace_blocks("a\nb\nc", "<<<<<<< SEARCH\nb\n=======\nB\n>>>>>>> REPLACE"),)], "t string"), "SELECT concat('a', chr(10), 'B', chr(10), 'c') AS t")
 add("chunk_text_lines", lambda s, d: docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", F.md5("t").alias("t")), "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, md5(l[i]) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
-_ASCII = "SELECT doc_id, regexp_replace(text, '[^ -~]', '') AS t FROM documents"
-add("chunk_fixed", lambda s, d: X.fixed_chunks(view(s, d, _ASCII), "doc_id", "t", 300, 20).select("doc_id", "index", "start", "stop", F.md5("text").alias("h")), "SELECT doc_id, CAST(i AS INTEGER) AS index, i * 280 AS start, least(i * 280 + 300, n) AS stop, md5(substr(t, i * 280 + 1, 300)) AS h FROM (SELECT doc_id, t, length(t) AS n, unnest(range(0, CAST(CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 300 THEN 1 ELSE ceil((length(t) - 20) / 280.0) END AS BIGINT))) AS i FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents))")
+_CUT = "^([89AB][0-9A-F])+|([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){0,2})$"
+_BYTES = "SELECT doc_id, encode(text) AS t, octet_length(encode(text)) AS n FROM documents"
+add("chunk_fixed", lambda s, d: X.fixed_chunks(docs(s, d), "doc_id", "text", 300, 20).select("doc_id", "index", "start", "stop", F.md5("text").alias("h")), f"SELECT doc_id, CAST(i AS INTEGER) AS index, i * 280 AS start, least(i * 280 + 300, n) AS stop, md5(decode(unhex(regexp_replace(hex(array_slice(t, i * 280 + 1, least(i * 280 + 300, n))), '{_CUT}', '', 'g')))) AS h FROM (SELECT doc_id, t, n, unnest(range(0, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 300 THEN 1 ELSE ceil((n - 20) / 280.0) END AS BIGINT))) AS i FROM ({_BYTES}))")
 add("chunk_lines", lambda s, d: docs(s, d).select("doc_id", (F.size(F.split("text", "\n"))).cast("long").alias("lines"), F.length("text").cast("long").alias("chars")), "SELECT doc_id, len(string_split(text, chr(10))) AS lines, length(text) AS chars FROM documents")
-add("chunk_hierarchy", lambda s, d: X.grouped_chunks(X.fixed_chunks(view(s, d, _ASCII), "doc_id", "t", 300), "doc_id", 3).select("doc_id", "parent", "start", "stop"), "SELECT doc_id, CAST(i // 3 AS INTEGER) AS parent, min(i * 300) AS start, max(least(i * 300 + 300, n)) AS stop FROM (SELECT doc_id, length(t) AS n, unnest(range(0, CAST(ceil(length(t) / 300.0) AS BIGINT))) AS i FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)) GROUP BY doc_id, i // 3")
+add("chunk_hierarchy", lambda s, d: X.grouped_chunks(X.fixed_chunks(docs(s, d), "doc_id", "text", 300), "doc_id", 3).select("doc_id", "parent", "start", "stop"), f"SELECT doc_id, CAST(i // 3 AS INTEGER) AS parent, min(i * 300) AS start, max(least(i * 300 + 300, n)) AS stop FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 300.0) AS BIGINT))) AS i FROM ({_BYTES})) GROUP BY doc_id, i // 3")
 
 
 def _aes(s, d):
