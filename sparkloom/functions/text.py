@@ -145,6 +145,136 @@ def html_to_markdown(column) -> Column:
     return _mapped(markdown, column)
 
 
+def make_patch(a: str, b: str, context: int = 3) -> str:
+    """The unified difference that makes b of a; empty where they are equal."""
+    import difflib
+
+    return "".join(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n" for line in difflib.unified_diff(_lines(a), _lines(b), "a", "b", n=context))
+
+
+def _lines(text: str) -> list[str]:
+    return re.findall(r"[^\n]*\n|[^\n]+$", text)
+
+
+def apply_patch(text: str, patch: str) -> tuple[str, list[bool]]:
+    """The text with the hunks of a unified difference, and which of them applied: each at its place or at the nearest one where
+    its old lines stand, else not at all."""
+    lines, shift, done = _lines(text), 0, []
+    for hunk in re.split(r"(?m)^(?=@@ )", patch)[1:]:
+        head, *body = hunk.splitlines(keepends=True)
+        old, new = [], []
+        for line in body:
+            if line.startswith("\\"):
+                for side in sides:
+                    side[-1] = side[-1].removesuffix("\n")
+                continue
+            sides = [side for side, marks in ((old, " -"), (new, " +")) if line[0] in marks]
+            for side in sides:
+                side.append(line[1:])
+        first = int(re.match(r"@@ -(\d+)", head)[1])
+        want = max(0, first - (1 if old else 0)) + shift
+        places = [i for i in range(len(lines) - len(old) + 1) if lines[i : i + len(old)] == old]
+        done.append(bool(places))
+        if places:
+            at = min(places, key=lambda i: abs(i - want))
+            lines[at : at + len(old)] = new
+            shift += len(new) - len(old)
+    return "".join(lines), done
+
+
+def xml_encode(data: dict) -> str:
+    """A flat map as elements of <xml>, a line each, in the order of the map."""
+    from xml.sax.saxutils import escape
+
+    return "<xml>\n" + "\n".join(f"    <{k}>{escape(str(v))}</{k}>" for k, v in data.items()) + "\n</xml>"
+
+
+def xml_decode(text: str) -> dict:
+    """A document as nested maps: repeated elements are lists, attributes have a minus before their names, text beside them is #text."""
+    import xml.etree.ElementTree as ET
+
+    if "<!DOCTYPE" in text.upper():
+        raise ValueError("document types are not read")
+
+    def value(e):
+        out: dict = {f"-{k}": v for k, v in e.attrib.items()}
+        for c in e:
+            v = value(c)
+            out[c.tag] = [*(out[c.tag] if isinstance(out[c.tag], list) else [out[c.tag]]), v] if c.tag in out else v
+        words = (e.text or "").strip()
+        if not out:
+            return words
+        return {**out, "#text": words} if words else out
+
+    root = ET.fromstring(text)
+    return {root.tag: value(root)}
+
+
+def schema_errors(value, schema, place: str = "$") -> list[str]:
+    """What a value breaks of a JSON schema: type, enum, const, bounds, lengths, pattern, items, properties, required,
+    additionalProperties, uniqueItems, allOf, anyOf, oneOf, not."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{place}: nothing is allowed"]
+    out, number = [], isinstance(value, (int, float)) and not isinstance(value, bool)
+    kinds = {"object": isinstance(value, dict), "array": isinstance(value, list), "string": isinstance(value, str), "number": number, "integer": number and float(value).is_integer(), "boolean": isinstance(value, bool), "null": value is None}
+    wanted = schema.get("type")
+    if wanted is not None and not any(kinds[k] for k in ([wanted] if isinstance(wanted, str) else wanted)):
+        return [f"{place}: not of type {wanted}"]
+
+    def check(ok, what):
+        if not ok:
+            out.append(f"{place}: {what}")
+
+    same = lambda a, b: json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+    if "enum" in schema:
+        check(any(same(value, v) for v in schema["enum"]), "not one of enum")
+    if "const" in schema:
+        check(same(value, schema["const"]), "not the constant")
+    if number:
+        for k, f in (("minimum", lambda a, b: a >= b), ("maximum", lambda a, b: a <= b), ("exclusiveMinimum", lambda a, b: a > b), ("exclusiveMaximum", lambda a, b: a < b), ("multipleOf", lambda a, b: float(a / b).is_integer())):
+            check(k not in schema or f(value, schema[k]), k)
+    for kind, low, high in ((str, "minLength", "maxLength"), (list, "minItems", "maxItems"), (dict, "minProperties", "maxProperties")):
+        if isinstance(value, kind):
+            check(schema.get(low, 0) <= len(value) <= schema.get(high, len(value)), f"{low} or {high}")
+    if isinstance(value, str) and "pattern" in schema:
+        check(re.search(schema["pattern"], value), "pattern")
+    if isinstance(value, list):
+        if schema.get("uniqueItems"):
+            check(len({json.dumps(v, sort_keys=True) for v in value}) == len(value), "uniqueItems")
+        for i, v in enumerate(value):
+            out += schema_errors(v, schema.get("items", True), f"{place}[{i}]")
+    if isinstance(value, dict):
+        own = schema.get("properties", {})
+        for k in schema.get("required", []):
+            check(k in value, f"{k} is required")
+        for k, v in value.items():
+            out += schema_errors(v, own.get(k, schema.get("additionalProperties", True)), f"{place}.{k}")
+    for s in schema.get("allOf", []):
+        out += schema_errors(value, s, place)
+    if "anyOf" in schema:
+        check(any(not schema_errors(value, s) for s in schema["anyOf"]), "anyOf")
+    if "oneOf" in schema:
+        check(sum(not schema_errors(value, s) for s in schema["oneOf"]) == 1, "oneOf")
+    if "not" in schema:
+        check(schema_errors(value, schema["not"]), "not")
+    return out
+
+
+def json_matches(column, schema: dict) -> Column:
+    """True where a text is JSON that a schema allows; null for null."""
+
+    def one(text: str) -> bool:
+        try:
+            return not schema_errors(json.loads(text), schema)
+        except ValueError:
+            return False
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else one(t)).astype("object")
+
+    return F.pandas_udf(run, "boolean")(column)
+
+
 def replace_blocks(text: str, patch: str) -> str:
     """SEARCH/REPLACE blocks in order, each at its first place; one that is missing is an error."""
     for a, b in re.findall(r"<{5,} SEARCH\n(.*?)\n?={5,}\n(.*?)\n?>{5,} REPLACE", patch, re.DOTALL):

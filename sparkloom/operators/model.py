@@ -211,6 +211,79 @@ class Models:
                 out.append(F.col(c))
         return both.select(*out)
 
+    def save(self, name, rows: DataFrame) -> DataFrame:
+        """Rows with a primary key that is there update that row's given columns, those with a new key or none are added.
+        With time stamps, an update sets updated_at and an insert created_at; what rows say of created_at, deleted_at is left out.
+        Of several rows of one key the greatest by the other columns counts."""
+        m = self.found[name]
+        df = self.catalog.scan(m.table)
+        if m.timestamps:
+            rows = rows.drop("created_at", "deleted_at", "updated_at")
+        key = m.primary if m.primary in rows.columns else None
+        keyed = rows.filter(F.col(key).isNotNull()) if key else rows.limit(0)
+        loose = rows.filter(F.col(key).isNull()) if key else rows
+        rest = [c for c in rows.columns if c != m.primary]
+        if key:
+            new = keyed.groupBy(key).agg(F.max(F.struct(F.lit(1).alias("__one"), *rest)).alias("__new"))
+            both = df.withColumn("__there", F.lit(True)).join(new, key, "full")
+            out = []
+            for c in df.columns:
+                old = F.col(c)
+                if c == key:
+                    out.append(old)
+                elif c in rest:
+                    out.append(F.when(F.col("__new").isNull(), old).otherwise(F.col(f"__new.{c}")).alias(c))
+                elif m.timestamps and c == "updated_at":
+                    out.append(F.when(F.col("__new").isNotNull() & F.col("__there").isNotNull(), F.current_timestamp().cast(df.schema[c].dataType)).otherwise(old).alias(c))
+                elif m.timestamps and c == "created_at":
+                    out.append(F.when(F.col("__there").isNull(), F.current_timestamp().cast(df.schema[c].dataType)).otherwise(old).alias(c))
+                else:
+                    out.append(old)
+            df = both.select(*out)
+        if m.timestamps and "created_at" in df.columns:
+            loose = loose.withColumn("created_at", F.current_timestamp().cast(df.schema["created_at"].dataType))
+        return df.unionByName(loose.select(*[c for c in loose.columns if c in df.columns]), allowMissingColumns=True)
+
+    def insert_checked(self, name, rows: DataFrame, rules: list, line: str) -> tuple[DataFrame, DataFrame]:
+        """(the table with the rows, a report): rows go in only where all are valid. The report has a row (line, messages) of each
+        row that breaks rules (column, method, arguments, message); line is the column that numbers the rows."""
+        from ..functions.text import violations
+
+        report = rows.select(F.col(line).alias("line"), violations(rules).alias("messages")).filter(F.size("messages") > 0)
+        none_bad = report.isEmpty()
+        return (self.insert(name, rows.drop(line)) if none_bad else self.catalog.scan(self.found[name].table)), report
+
+    def each_save(self, name, rows: DataFrame, line: str, each: dict | None = None, rules: list | None = None) -> tuple[DataFrame, DataFrame]:
+        """(the table afterwards, errors): every valid row is saved, one that breaks a rule is in errors(line, messages).
+        each sets columns of all rows; the value "$index" stands for the row's number, the column line."""
+        from ..functions.text import violations
+
+        for c, v in (each or {}).items():
+            rows = rows.withColumn(c, F.col(line) if v == "$index" else F.lit(v))
+        bad = F.size(violations(rules)) > 0 if rules else F.lit(False)
+        errors = rows.filter(bad).select(F.col(line).alias("line"), (violations(rules) if rules else F.array().cast("array<string>")).alias("messages"))
+        kept = rows.filter(~bad)
+        return self.save(name, kept if each and "$index" in each.values() and line in each else kept.drop(line)), errors
+
+    def each_save_after_delete(self, name, gone: list, rows: DataFrame, line: str, each: dict | None = None) -> tuple[DataFrame, DataFrame]:
+        """each_save on the table without the rows of these keys."""
+        m, before = self.found[name], self.catalog
+        left = before.scan(m.table).filter(~F.coalesce(F.col(m.primary).isin(gone), F.lit(False)))
+        from ..sources.catalog import Catalog
+
+        after = Models(Catalog(before.spark, before.folder).register(m.table, left), m)
+        return after.each_save(name, rows, line, each)
+
+    def nested(self, df: DataFrame, relations: list[str]) -> DataFrame:
+        """Columns rel_column of relations as one struct rel each; null where all of them are."""
+        out = []
+        for rel in relations:
+            own = [c for c in df.columns if c.startswith(f"{rel}_")]
+            some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in own])
+            out.append(F.when(some, F.struct(*[F.col(c).alias(c[len(rel) + 1 :]) for c in own])).alias(rel))
+        left = [c for c in df.columns if not any(c.startswith(f"{rel}_") for rel in relations)]
+        return df.select(*left, *out)
+
 
 def _condition(m: Model, column: str, w: dict, method: str) -> str:
     op = OPS.get(str(w.get("op", "eq")).lower(), "=")
@@ -237,16 +310,17 @@ class Scope:
     team: str | None = None
     creator: str | None = None
     editor: str | None = None
+    tenant: str | None = None
 
 
-TEAM, CREATOR, EDITOR = "__team_id", "__created_by", "__updated_by"
+TEAM, CREATOR, EDITOR, TENANT = "__team_id", "__created_by", "__updated_by", "__tenant_id"
 
 
 def scope_filter(kind: str, scope: Scope) -> Column:
     """kind: wheres (all that is set), team_only, creator_only, editor_only, creator_and_editor, creator_or_editor,
     team_or_creator, team_or_editor, any. What is not set admits nothing in an alternative; nothing set admits all."""
-    parts = {"team": (TEAM, scope.team), "creator": (CREATOR, scope.creator), "editor": (EDITOR, scope.editor)}
-    ask = {"wheres": ("team", "creator", "editor"), "team_only": ("team",), "creator_only": ("creator",), "editor_only": ("editor",), "creator_and_editor": ("creator", "editor"), "creator_or_editor": ("creator", "editor"), "team_or_creator": ("team", "creator"), "team_or_editor": ("team", "editor"), "any": ("team", "creator", "editor")}[kind]
+    parts = {"team": (TEAM, scope.team), "creator": (CREATOR, scope.creator), "editor": (EDITOR, scope.editor), "tenant": (TENANT, scope.tenant)}
+    ask = {"wheres": ("team", "creator", "editor", "tenant"), "team_only": ("team",), "creator_only": ("creator",), "editor_only": ("editor",), "creator_and_editor": ("creator", "editor"), "creator_or_editor": ("creator", "editor"), "team_or_creator": ("team", "creator"), "team_or_editor": ("team", "editor"), "any": ("team", "creator", "editor")}[kind]
     conditions = [F.col(c) == F.lit(v) for c, v in map(parts.get, ask) if v is not None]
     if not conditions:
         return F.lit(True)
@@ -254,7 +328,7 @@ def scope_filter(kind: str, scope: Scope) -> Column:
 
 
 def scope_stamp(rows: DataFrame, scope: Scope) -> DataFrame:
-    return rows.withColumns({c: F.lit(v) for c, v in ((TEAM, scope.team), (CREATOR, scope.creator), (EDITOR, scope.editor)) if v is not None})
+    return rows.withColumns({c: F.lit(v) for c, v in ((TEAM, scope.team), (CREATOR, scope.creator), (EDITOR, scope.editor), (TENANT, scope.tenant)) if v is not None})
 
 
 # ---- parameters from URLs ------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bind import bind
 from .compile import DEFAULT_LIMIT, Query
@@ -48,3 +49,14 @@ def run(query: Query, params: dict | None = None):
     if doc.get("page") is not None:
         return paginate(query, params)
     return first(query, params) if doc.get("first") else get(query, params)
+
+
+def decode(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
+    """JSON texts of select items as values of the given types; an empty text is null, one that is no JSON an error."""
+    out = {}
+    for name, schema in schemas.items():
+        text = F.when(F.trim(name) != "", F.col(name))
+        value = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+        bad = text.isNotNull() & F.try_parse_json(text).isNull()
+        out[name] = F.when(bad, F.raise_error(F.concat(F.lit(f"{name}: no JSON: "), text)).cast(schema)).otherwise(value)
+    return df.withColumns(out)

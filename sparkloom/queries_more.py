@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import text as X
 from .operators import graph as G
 from .operators import kv as KV
 from .operators import vector as V
-from .queries_ops import _ENT, _KV, _L, _LIVE, _W2, EDGES, NODES, _q, _scratch, edges, emb, kvt, lists, nodes, now, view
+from .operators.model import Scope, scope_filter, scope_stamp
+from .plans.compile import Query
+from .plans.run import decode
+from .queries_ops import _ENT, _KV, _L, _LIVE, CUSTOMER, EDGES, NODES, _q, _scratch, edges, emb, kvt, lists, models, nodes, now, view
+from .sources.catalog import Catalog
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,3 +135,34 @@ def _backup(s, d):
 
 add("graph_backup_restore", _backup, f"SELECT id AS a, name AS b, kind AS c FROM ({NODES}) UNION ALL SELECT * FROM ({EDGES})")
 add("graph_export_statements", lambda s, d: G.cypher(nodes(s, d).select("id", "label"), edges(s, d)), f"SELECT 0 AS place, concat('CREATE (n:`', label, '` {{id: ''', id, '''}})') AS statement FROM ({NODES}) UNION ALL SELECT 1, concat('MATCH (a {{id: ''', src, '''}}), (b {{id: ''', dst, '''}}) CREATE (a)-[:`', type, '`]->(b)') FROM ({EDGES})")
+
+# ---- models ----
+_ROWS = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS o_orderkey, 'Z' AS o_orderstatus, o_orderkey AS line FROM orders WHERE o_orderkey % 2 = 0"
+_TWO = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority"
+_SAVED = f"SELECT o.o_orderkey, o.o_custkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, o.o_orderpriority FROM orders o LEFT JOIN (SELECT * FROM ({_ROWS}) WHERE {{ok}}) n ON n.o_orderkey = o.o_orderkey UNION ALL SELECT NULL, NULL, 'Z', NULL FROM ({_ROWS}) WHERE o_orderkey IS NULL AND {{ok}}"
+add("model_save", lambda s, d: models(s, d).save("orders", view(s, d, _ROWS).drop("line")).selectExpr(*_TWO.split(", ")), _SAVED.format(ok="true"))
+_RULES = [("line", "max", (900,), "too great"), ("o_orderkey", "pattern", ("^[0-9]+$",), "no number")]
+add("model_each_save_errors", lambda s, d: models(s, d).each_save("orders", view(s, d, _ROWS), "line", {"o_orderstatus": "Z"}, _RULES)[1].select("line", F.array_join("messages", ";").alias("messages")), f"SELECT line, 'too great' AS messages FROM ({_ROWS}) WHERE line > 900")
+add("model_each_save_valid", lambda s, d: models(s, d).each_save("orders", view(s, d, _ROWS), "line", {"o_orderstatus": "Z"}, _RULES)[0].selectExpr(*_TWO.split(", ")), _SAVED.format(ok="line <= 900"))
+add("model_each_save_index", lambda s, d: models(s, d).each_save("nation", view(s, d, "SELECT n_nationkey AS line, n_nationkey + 20 AS n_nationkey, upper(n_name) AS n_name FROM nation"), "line", {"n_regionkey": "$index"})[0], "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey + 20, upper(n_name), n_nationkey FROM nation")
+add("model_each_save_after_delete", lambda s, d: models(s, d).each_save_after_delete("nation", [1, 2, 3], view(s, d, "SELECT n_nationkey AS line, n_nationkey, 'again' AS n_name FROM nation WHERE n_nationkey IN (3, 4)"), "line")[0], "SELECT n_nationkey, CASE WHEN n_nationkey IN (3, 4) THEN 'again' ELSE n_name END AS n_name, CASE WHEN n_nationkey <> 3 THEN n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey NOT IN (1, 2)")
+_BULK = "SELECT n_nationkey AS line, n_nationkey + 100 AS n_nationkey, n_name, n_regionkey FROM nation"
+add("model_insert_report", lambda s, d: models(s, d).insert_checked("nation", view(s, d, _BULK), [("n_regionkey", "max", (3,), "region"), ("n_name", "maxLength", (9,), "name")], "line")[1].select("line", F.array_join("messages", ";").alias("messages")), f"SELECT line, concat_ws(';', CASE WHEN n_regionkey > 3 THEN 'region' END, CASE WHEN length(n_name) > 9 THEN 'name' END) AS messages FROM ({_BULK}) WHERE n_regionkey > 3 OR length(n_name) > 9")
+add("model_insert_checked", lambda s, d: models(s, d).insert_checked("nation", view(s, d, _BULK), [("n_regionkey", "min", (0,), "region")], "line")[0], f"SELECT * FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM ({_BULK})")
+
+
+def _nested(s, d):
+    m = models(s, d)
+    df = m.query("customer", {"select": ["c_custkey"], "withs": {"nation": {"select": ["n_nationkey", "n_name"]}}})
+    return m.nested(df, ["nation"]).select("c_custkey", F.to_json("nation").alias("nation"))
+
+
+add("model_nested_relation", _nested, """SELECT c_custkey, CASE WHEN n_nationkey IS NOT NULL THEN concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '"}') END AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+_TENANT = f"SELECT *, concat('x', c_custkey % 2) AS __tenant_id FROM ({CUSTOMER})"
+add("scope_tenant", lambda s, d: view(s, d, _TENANT).filter(scope_filter("wheres", Scope(team="t1", tenant="x1"))).select("c_custkey"), f"SELECT c_custkey FROM ({_TENANT}) WHERE __team_id = 't1' AND __tenant_id = 'x1'")
+add("scope_append", lambda s, d: scope_stamp(view(s, d, "SELECT c_custkey FROM customer"), Scope("t", "c", "e", "n")), "SELECT c_custkey, 't' AS __team_id, 'c' AS __created_by, 'e' AS __updated_by, 'n' AS __tenant_id FROM customer")
+
+# ---- texts ----
+add("json_decoded_output", lambda s, d: decode(Query(Catalog(s, d), {"select": ["event_id", "props"], "from": "events"}).frame(), {"props": "map<string,bigint>"}).select("event_id", F.col("props").getItem("k").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 49}}}
+add("json_validate_schema", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.json_matches("props", _SCHEMA).alias("ok")), "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 0 AND 49, false) AS ok FROM events")
