@@ -40,12 +40,15 @@ def shortest_path(edges: DataFrame, a, b, most: int = 10, way: str = "both") ->
     kind = dict(edges.dtypes)["src"]
     front = spark.range(1).select(F.array(F.lit(a).cast(kind)).alias("path"), F.lit(a).cast(kind).alias("id"))
     seen = front.select("id")
+    saved = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()  # a round then starts from the one before, not from the first
     for _ in range(most + 1):
         if hit := front.filter(F.col("id") == F.lit(b)).select("path").limit(1).collect():
             return list(hit[0]["path"])
         step = front.join(e, front["id"] == e["src"]).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("id"))
         front = step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti").select("path", "id")
-        seen = seen.unionByName(front.select("id")).distinct()
+        seen = seen.unionByName(front.select("id"))  # what is in front is in none before
+        if saved:
+            front, seen = front.checkpoint(), seen.checkpoint()
     return None
 
 

@@ -319,7 +319,10 @@ def _scratch(s):
     import tempfile
     import uuid
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+    base = base or tempfile.gettempdir()
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 

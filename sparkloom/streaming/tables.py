@@ -8,32 +8,45 @@ from pyspark.sql import functions as F
 from ..operators import kv
 
 
-def upsert_kv(stream: DataFrame, path: str, checkpoint: str):
+#: Every so many batches one is written together with all before it.
+COMPACT = 16
+
+
+def upsert_kv(stream: DataFrame, path: str, checkpoint: str, compact: int = COMPACT):
     """A streaming query that keeps the latest row of each key of a stream with the KV columns.
 
-    Batch n is written as snapshot n beside the ones before (so a batch that is
-    run again writes the same place); current(path) is the last one.
+    Batch n is written as delta-n, its own latest rows only; every compact-th as full-n, with all before it. A batch that
+    is run again writes the same place. current(path) puts the last full one and the deltas after it together.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        before = snapshots(spark, path)
-        last = [n for n in before if n < epoch]
-        table = kv.put(spark.read.parquet(f"{path}/{last[-1]}"), batch) if last else kv.put(batch.limit(0), batch)
-        table.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        full = epoch % compact == compact - 1
+        before = current(spark, path, epoch) if full else None
+        table = kv.put(batch.limit(0), batch) if before is None else kv.put(before, batch)
+        table.write.mode("overwrite").parquet(f"{path}/{'full' if full else 'delta'}-{epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshots(spark, path: str) -> list[int]:
+def batches(spark, path: str) -> list[tuple[int, str]]:
+    """(number, kind) of the batches written, in order."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
-
-
-def current(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{snapshots(spark, path)[-1]}")
+    names = [s.getPath().getName().partition("-") for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(p) else []
+    return sorted((int(n), kind) for kind, _, n in names if kind in ("full", "delta") and n.isdigit())
+
+
+def current(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The table after the last batch, or after the last one before that of a number; None where there is none."""
+    found = [(n, kind) for n, kind in batches(spark, path) if before is None or n < before]
+    last = max((n for n, kind in found if kind == "full"), default=-1)
+    parts = [f"{path}/{kind}-{n}" for n, kind in found if n > last or (n == last and kind == "full")]
+    if not parts:
+        return None
+    rows = spark.read.parquet(*parts)
+    return rows if len(parts) == 1 else kv.put(rows.limit(0), rows)
 
 
 def window_counts(events: DataFrame, minutes: int = 60, late: str = "1 hour") -> DataFrame:

@@ -103,3 +103,42 @@ def test_errors(spark):
         G.delete_nodes(nodes, edges, F.col("id") == "a", detach=False)
     left = G.delete_nodes(nodes, edges, F.col("id") == "a")
     assert [r.id for r in left[0].collect()] == ["b"] and left[1].count() == 0
+
+
+def test_collections(spark, tmp_path):
+    from sparkloom.sources.collections import Collections
+
+    c = Collections(spark, f"{tmp_path}/all")
+    assert c.list() == []
+    c.create("one", spark.range(5), {"lang": "en", "n": 1})
+    c.create("two", spark.range(3))
+    assert c.list() == ["one", "two"] and c.list({"lang": "en"}) == ["one"] and c.list({"n": True}) == [] and c.list({"x": 1}) == []
+    with pytest.raises(ValueError, match="is there"):
+        c.create("one", spark.range(1))
+    with pytest.raises(ValueError, match="no name"):
+        c.exists("../x")
+    c.replace("one", c.rows("one").filter("id > 1"))
+    c.update_metadata("one", {"lang": "dé"})
+    assert c.describe("one") == {"name": "one", "metadata": {"lang": "dé", "n": 1}, "count": 3, "columns": {"id": "bigint"}}
+    c.backup("one", f"{tmp_path}/copy")
+    assert c.drop("one") and not c.drop("one") and not c.exists("one")
+    with pytest.raises(KeyError):
+        c.rows("one")
+    c.restore("one", f"{tmp_path}/copy")
+    assert c.rows("one").count() == 3
+
+
+def test_stream_over_several_batches(spark, tmp_path):
+    from sparkloom.streaming.tables import batches, current, upsert_kv
+
+    for i in range(5):
+        spark.sql(f"SELECT concat('k', id % {i + 2}) AS key, 'v{i}' AS value, cast(id + {i} * 100 as bigint) AS updated_at FROM range(10)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key string, value string, updated_at long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    upsert_kv(stream, f"{tmp_path}/kv", f"{tmp_path}/state", compact=3).awaitTermination()
+    assert [k for _, k in batches(spark, f"{tmp_path}/kv")] == ["delta", "delta", "full", "delta", "delta"]
+    got = {r.key: (r.value, r.updated_at) for r in current(spark, f"{tmp_path}/kv").collect()}
+    want = {}
+    for i in range(5):
+        for n in range(10):
+            want[f"k{n % (i + 2)}"] = (f"v{i}", n + i * 100)
+    assert got == want
