@@ -13,13 +13,13 @@ windows have equal anchors at equal places, one in about 14 positions.
 2.  The others' suffixes (with the bytes before them that their windows need)
     go to buckets by sampled splitters over their leading bytes. Equal anchors
     have equal leading bytes, so no match crosses a boundary between buckets.
-3.  A bucket sorts its suffixes by multikey quicksort over 8-byte symbols, which
-    brings equal anchors together and shows those that stand alone. The windows
-    around the others are grouped by hash at each distance from the anchor, and
-    rows of a group are compared byte for byte; neighbours in the order alone do
-    not decide, as a window begins before its anchor.
+3.  A bucket sorts its suffixes by multikey quicksort over 8-byte symbols, and
+    the bytes before them, read backwards, in the same way. The lengths that
+    sorted neighbours share decide what matches: windows are equal if they begin
+    as far before their anchors and share enough bytes on both sides of them.
 4.  Anchors of over HOT documents are dealt out by whole windows instead; each
-    task sends only its first document of every such window.
+    task sends only its first document of every such window, and a bucket sorts
+    the windows and compares neighbours.
 """
 
 from __future__ import annotations
@@ -292,48 +292,64 @@ def _groups(differ: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(differ)])
 
 
+def _shared(block: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row of an order (but the first) shares with the one before it."""
+    own = block[order]
+    differ = own[1:] != own[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), block.shape[1])
+
+
+def _ranks(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Equal numbers for rows whose first `least` bytes are equal, as the shared lengths of sorted neighbours tell."""
+    out = np.empty(len(order), np.int64)
+    out[order] = _groups(shared < least)
+    return out
+
+
+def _later(d: np.ndarray, rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Those of rows (by rising d) that agree in all keys with a row of a smaller d."""
+    order = np.lexsort([x[rows] for x in keys])  # stable: d still rises within a group
+    differ = np.zeros(max(len(rows) - 1, 0), bool)
+    for x in keys:
+        differ |= np.diff(x[rows][order]) != 0
+    rows, group = rows[order], _groups(differ)
+    return rows[d[rows] > d[rows][np.flatnonzero(np.concatenate([[True], differ]))][group]]
+
+
 def _suffixes(k, block, col, before, width):
-    """Rows come by rising d. Equal rows: all but the first document's go. The others' windows are compared place by place."""
-    suffix = _symbols(block[:, before:])
-    order = multikey_quicksort(suffix)
-    anchor = _groups((suffix[order][1:, : GRAM // 8] != suffix[order][:-1, : GRAM // 8]).any(axis=1))
-    alone = np.bincount(anchor)[anchor] == 1
-    order, anchor = order[~alone], anchor[~alone]
-    found = []
-    if not len(order):
-        return found
+    """Rows come by rising d. Windows that sorted neighbours show to be an earlier document's go.
+
+    A window that begins t bytes before an anchor is another's if they share
+    width - t bytes from the anchor on and t bytes before it. Both lengths are
+    read off two sorted orders, of the suffixes and of the bytes before them
+    backwards: rows whose neighbours all share so many bytes are one group.
+    """
+    order = multikey_quicksort(_symbols(block[:, before:]))
+    near = np.concatenate([[False], _shared(block[:, before:], order) >= GRAM, [False]])
+    near = near[1:] | near[:-1]
+    on = np.sort(order[near])  # anchors that stand alone end here
+    if not len(on):
+        return []
+    ahead = np.searchsorted(on, order[near])
+    k, block = k[on], block[on]
+    after, back = block[:, before:], np.ascontiguousarray(block[:, :before][:, ::-1])
+    behind = multikey_quicksort(_symbols(back))
+    shared_after, shared_back = _shared(after, ahead), _shared(back, behind)
     first, last, pos, d = (col[x][k] for x in ("first", "last", "pos", "d"))
-    # whole equal rows (with equal window ranges) first: for most copies this settles all windows
     left, right = pos - first, pos - last
-    print_ = K.mix(_hash(block) + (left.astype(np.int64) * 64 + right).astype(U))
-    same = order[np.lexsort((d[order], print_[order]))]
-    new = np.concatenate([[True], (print_[same][1:] != print_[same][:-1]) | (block[same][1:] != block[same][:-1]).any(axis=1)])
-    low = d[same][np.flatnonzero(new)][np.cumsum(new) - 1]
-    gone = same[d[same] > low]
-    found.append((k[gone], first[gone], last[gone] + 1))
-    rest = np.sort(same[d[same] == low])  # by rising d
+    # whole equal rows (with equal window ranges) first: for most copies this settles all windows
+    gone = _later(d, np.arange(len(k)), left, right, _ranks(behind, shared_back, before), _ranks(ahead, shared_after, width))
+    found = [(k[gone], first[gone], last[gone] + 1)]
+    rest = np.ones(len(k), bool)
+    rest[gone] = False
     for t in range(before + 1):
-        on = rest[(left[rest] >= t) & (right[rest] <= t)]
-        if len(on) < 2:
-            continue
-        win = block[on, before - t : before - t + width]
-        h = _hash(win)
-        o = np.argsort(h, kind="stable")
-        on, win, h = on[o], win[o], h[o]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (win[1:] != win[:-1]).any(axis=1)])
-        gone = on[d[on] > d[on][np.flatnonzero(new)][np.cumsum(new) - 1]]
-        found.append((k[gone], pos[gone] - t, pos[gone] - t + 1))
+        on = np.flatnonzero(rest & (left >= t) & (right <= t))
+        if len(on) > 1:
+            gone = _later(d, on, _ranks(behind, shared_back, t), _ranks(ahead, shared_after, width - t))
+            found.append((k[gone], pos[gone] - t, pos[gone] - t + 1))
     return found
 
 
-def _hash(block: np.ndarray) -> np.ndarray:
-    s = _symbols(block)
-    out = np.zeros(len(s), U)
-    for j in range(s.shape[1]):
-        out = K.mix(out + s[:, j])
-    return out
-
-
 # ---- the operator --------------------------------------------------------------------------------
 
 
