@@ -36,13 +36,16 @@ from .stage import keep
 
 U = np.uint64
 GRAM = 24
-#: Hash ranges in which anchors meet; each has at most 2**32 different hashes.
-PARTS = 256
+#: Anchors meet in so many hash ranges at least, and in one for each PART_BYTES of text (rounded up to a power of two). A range tells
+#: 2**32 hashes apart, so longer hashes meet as the text grows.
+PARTS, PART_BYTES = 256, 64 << 20
 #: An anchor in more documents than this is dealt out by windows.
 HOT = 20_000
 #: Anchors that a task holds before it sends them on.
 HELD = 1_000_000
 _SEGMENT = 1 << 20
+#: Marks hashes of anchors in over HOT documents.
+_HOT = U(1 << 63)
 
 
 def _words_at(data: np.ndarray, shift: int, count: int) -> np.ndarray:
@@ -50,7 +53,7 @@ def _words_at(data: np.ndarray, shift: int, count: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Row, hash (40 bits), place, first and last window start of each anchor; places count from the start of data."""
+    """Row, hash, place, first and last window start of each anchor; places count from the start of data."""
     out = []
     span = width - GRAM + 1
     for a, b in K.slices(ends, _SEGMENT):
@@ -80,7 +83,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
                 continue
             new = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (row[1:] != row[:-1])]))
             last = np.concatenate([new[1:], [len(m)]]) - 1
-            out.append((row[new], m[new] >> U(24), (m[new] & U(0xFFFFFF)).astype(np.int64) + lo, starts[new] + lo, starts[last] + lo))
+            at = (m[new] & U(0xFFFFFF)).astype(np.int64)
+            out.append((row[new], h[at], at + lo, starts[new] + lo, starts[last] + lo))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none.astype(U), none, none, none
@@ -90,7 +94,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
 # ---- 1. which anchors more than one document has -------------------------------------------------
 
 
-def _send(width: int):
+def _send(width: int, bits: int):
     def run(batches):
         held, count = [], 0
         for batch in batches:
@@ -99,7 +103,7 @@ def _send(width: int):
                 continue
             data, ends = K.buffers(batch.column("text"))
             row, h, *_ = anchors(data, ends, width)
-            held.append((h, batch.column("doc_id").to_numpy()[row], batch.column("r").to_numpy()[row]))
+            held.append((h >> U(32 - bits), batch.column("doc_id").to_numpy()[row], batch.column("r").to_numpy()[row]))
             count += len(h)
             if count >= HELD:
                 yield from _packed(held)
@@ -111,6 +115,7 @@ def _send(width: int):
 
 
 def _packed(held):
+    """Rows of anchors by range; held: hashes of 32 bits and the range's."""
     h, d, r = (np.concatenate(x) for x in zip(*held, strict=True))
     # of equal texts only the first one's anchors go on
     docs = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])]))
@@ -121,18 +126,19 @@ def _packed(held):
     size = np.diff(np.concatenate([docs, [len(d)]]))
     on = np.repeat(keep_doc[docs], size)
     h, d = h[on], d[on]
-    ids = K.distinct(d)
-    packed = K.distinct((h << U(24)) | np.searchsorted(ids, d).astype(U))
-    h, d = packed >> U(24), ids[(packed & U(0xFFFFFF)).astype(np.int64)]
-    cut = np.searchsorted(h, np.arange(PARTS + 1, dtype=U) << U(32))
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+    h, d = h[new], d[new]
+    used = K.distinct(h >> U(32))
+    cut = np.append(np.searchsorted(h, used << U(32)), len(h))
     rows = {"part": [], "hashes": [], "base": [], "bytes": [], "docs": []}
-    for p in range(PARTS):
-        if cut[p] < cut[p + 1]:
-            own = d[cut[p] : cut[p + 1]]
-            kind = next(x for x in ("u2", "u4", "i8") if x == "i8" or own.max() - own.min() < 1 << (8 * int(x[1])))
-            base = own.min() if kind != "i8" else 0
-            rows["part"].append(p), rows["base"].append(int(base)), rows["bytes"].append(int(kind[1]))
-            rows["hashes"].append((h[cut[p] : cut[p + 1]] & U(0xFFFFFFFF)).astype("u4").tobytes()), rows["docs"].append((own - base).astype(kind).tobytes())
+    for p, a, b in zip(used.tolist(), cut[:-1], cut[1:], strict=True):
+        own = d[a:b]
+        kind = next(x for x in ("u2", "u4", "i8") if x == "i8" or int(own.max()) - int(own.min()) < 1 << (8 * int(x[1])))
+        base = own.min() if kind != "i8" else 0
+        rows["part"].append(p), rows["base"].append(int(base)), rows["bytes"].append(int(kind[1]))
+        rows["hashes"].append((h[a:b] & U(0xFFFFFFFF)).astype("u4").tobytes()), rows["docs"].append((own - base).astype(kind).tobytes())
     yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("base", pa.int64()), ("bytes", pa.int32()), ("docs", pa.binary())]))
 
 
@@ -146,7 +152,7 @@ def _meet(group: pa.Table) -> pa.Table:
     size = np.diff(np.concatenate([at, [len(h)]]))
     many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
     on = np.repeat(many, size)
-    h, d = h[on] | (U(part) << U(32)) | (np.repeat(size > HOT, size)[on].astype(U) << U(40)), d[on]
+    h, d = h[on] | (U(part) << U(32)) | np.where(np.repeat(size > HOT, size)[on], _HOT, U(0)), d[on]
     order = np.argsort(d, kind="stable")
     h, d = h[order], d[order]
     at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
@@ -165,7 +171,7 @@ def _big(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(">u8").astype(U)
 
 
-def _deal(width: int, splitters: np.ndarray, buckets: int):
+def _deal(width: int, bits: int, splitters: np.ndarray, buckets: int):
     before = width - GRAM
 
     def run(batches):
@@ -173,14 +179,15 @@ def _deal(width: int, splitters: np.ndarray, buckets: int):
             data, ends = K.buffers(batch.column("text"))
             ids, rs = batch.column("doc_id").to_numpy(), batch.column("r").to_numpy()
             row, h, place, first, last = anchors(data, ends, width)
+            h >>= U(32 - bits)
             met, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for i in range(batch.num_rows):
                 own = np.concatenate([np.frombuffer(x, U) for x in batch.column("met")[i].as_py()])
                 mine = h[cut[i] : cut[i + 1]]
-                met[cut[i] : cut[i + 1]] = np.isin(mine, own & U((1 << 40) - 1))
-                if (own >> U(40)).any():
-                    hot[cut[i] : cut[i + 1]] = np.isin(mine, own[(own >> U(40)) > 0] & U((1 << 40) - 1))
+                met[cut[i] : cut[i + 1]] = np.isin(mine, own & ~_HOT)
+                if (own >= _HOT).any():
+                    hot[cut[i] : cut[i + 1]] = np.isin(mine, own[own >= _HOT] ^ _HOT)
             padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(width, np.uint8)])
             on = np.flatnonzero(met & ~hot)
             for at in range(0, len(on), 50_000):
@@ -417,13 +424,15 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     first = own.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copies = keep(own.join(first, "sha").where("doc_id > low").select("doc_id", "r").distinct(), "copies")
 
-    sent = known.mapInArrow(_send(width), "part int, hashes binary, base long, bytes int, docs binary")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (max(PARTS, -(-size // PART_BYTES)) - 1).bit_length()  # of a hash range; at most 31
+    sent = known.mapInArrow(_send(width, bits), "part int, hashes binary, base long, bytes int, docs binary")
     met = sent.groupBy("part").applyInArrow(_meet, "doc_id long, met binary")
     met = keep(met.groupBy("doc_id").agg(F.collect_list("met").alias("met")), "met")
     skip = copies.groupBy("doc_id").agg(F.collect_set("r").alias("skip"))
     alive = known.join(met.join(skip, "doc_id", "left"), "doc_id").where("skip is null or not array_contains(skip, r)").select("doc_id", "text", "r", "met")
     splitters = _splitters(known, width, buckets)
-    rows = alive.mapInArrow(_deal(width, splitters, buckets), ROWS)
+    rows = alive.mapInArrow(_deal(width, bits, splitters, buckets), ROWS)
     gone = rows.groupBy("bucket").applyInArrow(_bucket(width), "doc_id long, r long, gone binary")
     gone = gone.select("doc_id", "r", "gone").unionByName(copies.withColumn("gone", F.lit(None).cast("binary")))  # null: all of it
     marks = gone.groupBy("doc_id").agg(F.collect_list(F.struct("r", "gone")).alias("marks"))

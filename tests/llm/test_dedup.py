@@ -1,5 +1,7 @@
 """Near duplicates, line and suffix dedup against brute force."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -70,6 +72,25 @@ def test_suffixes(docs, rows, monkeypatch, hot):
     assert sum(r.gone for r in got) > 1000
 
 
+@pytest.mark.parametrize("parts", [256, 4096])
+def test_suffixes_of_few_letters(spark, monkeypatch, parts):
+    """Texts of two letters cut from two strings with changed bytes: long runs, many equal leads, windows on both sides of an anchor."""
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(["a", "b"], 400)), "ab" * 150 + "a" * 200]
+    texts = []
+    for _ in range(60):
+        x = list(base[int(rng.integers(2))])
+        for i in rng.integers(0, len(x), rng.integers(0, 6)):
+            x[i] = "c"
+        a = int(rng.integers(0, 200))
+        texts.append("".join(x[a : a + int(rng.integers(40, 260))]))
+    rows = list(enumerate(texts))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "spans", "kept").collect()
+    got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got]
+    assert sorted(got) == sorted(suffix_dedup.brute_force(rows))
+
+
 def test_suffixes_odd_rows(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     text = "é" * 30
