@@ -11,8 +11,9 @@ windows have equal anchors at equal places, one in about 14 positions.
 1.  Anchors meet as compact columns of hashes, cut by hash ranges; those of a
     single document can have no match and end here.
 2.  The others' suffixes (with the bytes before them that their windows need)
-    go to buckets by sampled splitters over their leading bytes. Equal anchors
-    have equal leading bytes, so no match crosses a boundary between buckets.
+    go to buckets by sampled splitters over the anchor's 24 bytes. Equal anchors
+    are in one bucket, so no match crosses a boundary, and what cannot be split
+    is one anchor's rows: one for each of at most HOT documents.
 3.  A bucket sorts its suffixes by multikey quicksort over 8-byte symbols, and
     the bytes before them, read backwards, in the same way. The lengths that
     sorted neighbours share decide what matches: windows are equal if they begin
@@ -102,12 +103,14 @@ def _send(width: int, bits: int):
             if not batch.num_rows:
                 continue
             data, ends = K.buffers(batch.column("text"))
-            row, h, *_ = anchors(data, ends, width)
-            held.append((h >> U(32 - bits), batch.column("doc_id").to_numpy()[row], batch.column("r").to_numpy()[row]))
-            count += len(h)
-            if count >= HELD:
-                yield from _packed(held)
-                held, count = [], 0
+            ids, rs = batch.column("doc_id").to_numpy(), batch.column("r").to_numpy()
+            for a, b in K.slices(ends):
+                row, h, *_ = anchors(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], width)
+                held.append((h >> U(32 - bits), ids[a:b][row], rs[a:b][row]))
+                count += len(h)
+                if count >= HELD:
+                    yield from _packed(held)
+                    held, count = [], 0
         if count:
             yield from _packed(held)
 
@@ -171,6 +174,24 @@ def _big(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(">u8").astype(U)
 
 
+def _leads(block: np.ndarray) -> np.ndarray:
+    """The anchors' own bytes, in an order in which equal ones are equal (it does not tell final zeros, which only balance suffers)."""
+    return np.ascontiguousarray(block[:, :GRAM]).view(f"S{GRAM}").ravel()
+
+
+def _own_anchors(batch: pa.RecordBatch, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors met those of other documents, and which of them are in over HOT documents."""
+    met, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    for i in range(batch.num_rows):
+        own = np.concatenate([np.frombuffer(x, U) for x in batch.column("met")[i].as_py()])
+        mine = h[cut[i] : cut[i + 1]]
+        met[cut[i] : cut[i + 1]] = np.isin(mine, own & ~_HOT)
+        if (own >= _HOT).any():
+            hot[cut[i] : cut[i + 1]] = np.isin(mine, own[own >= _HOT] ^ _HOT)
+    return met & ~hot, met & hot
+
+
 def _deal(width: int, bits: int, splitters: np.ndarray, buckets: int):
     before = width - GRAM
 
@@ -180,23 +201,15 @@ def _deal(width: int, bits: int, splitters: np.ndarray, buckets: int):
             ids, rs = batch.column("doc_id").to_numpy(), batch.column("r").to_numpy()
             row, h, place, first, last = anchors(data, ends, width)
             h >>= U(32 - bits)
-            met, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            for i in range(batch.num_rows):
-                own = np.concatenate([np.frombuffer(x, U) for x in batch.column("met")[i].as_py()])
-                mine = h[cut[i] : cut[i + 1]]
-                met[cut[i] : cut[i + 1]] = np.isin(mine, own & ~_HOT)
-                if (own >= _HOT).any():
-                    hot[cut[i] : cut[i + 1]] = np.isin(mine, own[own >= _HOT] ^ _HOT)
+            met, hot = _own_anchors(batch, h, row)
             padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(width, np.uint8)])
-            on = np.flatnonzero(met & ~hot)
+            on = np.flatnonzero(met)
             for at in range(0, len(on), 50_000):
                 k = on[at : at + 50_000]
                 view = np.lib.stride_tricks.sliding_window_view(padded, before + width)
                 block = view[place[k]]  # `before` bytes, then `width` from the anchor on
-                lead = _big(block[:, before : before + 8]).ravel()
-                yield _rows(np.searchsorted(splitters, lead, side="right"), 0, ids[row[k]], rs[row[k]], place[k] - ends[row[k]], first[k] - ends[row[k]], last[k] - ends[row[k]], block)
-            on = np.flatnonzero(met & hot)
+                yield _rows(np.searchsorted(splitters, _leads(block[:, before:]), side="right"), 0, ids[row[k]], rs[row[k]], place[k] - ends[row[k]], first[k] - ends[row[k]], last[k] - ends[row[k]], block)
+            on = np.flatnonzero(hot)
             if len(on):
                 count = last[on] - first[on] + 1
                 start = np.repeat(first[on], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -387,20 +400,30 @@ def _cut(width: int):
     return run
 
 
-def _splitters(docs: DataFrame, width: int, buckets: int, sample: int = 2000) -> np.ndarray:
-    """Quantiles of the leading 8 bytes of the anchors of `sample` documents; they only balance the buckets."""
+_ALIVE = "skip is null or not array_contains(skip, r)"
+
+
+def _dealt(met: DataFrame, copies: DataFrame) -> DataFrame:
+    """Anchors by document, with the texts of it that are whole copies and need none dealt."""
+    return met.join(copies.groupBy("doc_id").agg(F.collect_set("r").alias("skip")), "doc_id", "left")
+
+
+def _splitters(known: DataFrame, met: DataFrame, copies: DataFrame, width: int, bits: int, buckets: int, sample: int = 2000) -> np.ndarray:
+    """Quantiles of the dealt anchors' own bytes in `sample` documents, at most 128 a document; they only balance the buckets."""
 
     def leads(batches):
         for batch in batches:
             data, ends = K.buffers(batch.column("text"))
-            place = anchors(data, ends, width)[2]
-            place = place[:: max(1, len(place) // (64 * batch.num_rows))]
-            x = _big(np.lib.stride_tricks.sliding_window_view(data, 8)[place]).ravel() if len(place) else np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["x"])
-
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
-    got = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(leads, "x long").collect()  # at most 64 a document
-    x = np.sort(np.array([r[0] for r in got], np.int64).view(U))
+            row, h, place, *_ = anchors(data, ends, width)
+            place = place[_own_anchors(batch, h >> U(32 - bits), row)[0]]
+            if len(place):
+                place = place[:: max(1, len(place) // (64 * batch.num_rows))]
+                yield pa.RecordBatch.from_arrays([pa.array([_leads(np.lib.stride_tricks.sliding_window_view(data, GRAM)[place]).tobytes()])], names=["x"])
+
+    ids = F.broadcast(met.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample))  # each table is cut to these rows before it moves
+    some = known.join(ids, "doc_id").join(_dealt(met.join(ids, "doc_id"), copies.join(ids, "doc_id")), "doc_id").where(_ALIVE)
+    got = some.select("text", "met").mapInArrow(leads, "x binary").collect()
+    x = np.sort(np.frombuffer(b"".join(r[0] for r in got), f"S{GRAM}"))
     return K.distinct(x[(np.arange(1, buckets) * len(x)) // buckets]) if len(x) else x
 
 
@@ -429,9 +452,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     sent = known.mapInArrow(_send(width, bits), "part int, hashes binary, base long, bytes int, docs binary")
     met = sent.groupBy("part").applyInArrow(_meet, "doc_id long, met binary")
     met = keep(met.groupBy("doc_id").agg(F.collect_list("met").alias("met")), "met")
-    skip = copies.groupBy("doc_id").agg(F.collect_set("r").alias("skip"))
-    alive = known.join(met.join(skip, "doc_id", "left"), "doc_id").where("skip is null or not array_contains(skip, r)").select("doc_id", "text", "r", "met")
-    splitters = _splitters(known, width, buckets)
+    alive = known.join(_dealt(met, copies), "doc_id").where(_ALIVE).select("doc_id", "text", "r", "met")
+    splitters = _splitters(known, met, copies, width, bits, buckets)
     rows = alive.mapInArrow(_deal(width, bits, splitters, buckets), ROWS)
     gone = rows.groupBy("bucket").applyInArrow(_bucket(width), "doc_id long, r long, gone binary")
     gone = gone.select("doc_id", "r", "gone").unionByName(copies.withColumn("gone", F.lit(None).cast("binary")))  # null: all of it
