@@ -13,7 +13,8 @@ windows have equal anchors at equal places, one in about 14 positions.
 2.  The others' suffixes (with the bytes before them that their windows need)
     go to buckets by sampled splitters over the anchor's 24 bytes. Equal anchors
     are in one bucket, so no match crosses a boundary, and what cannot be split
-    is one anchor's rows: one for each of at most HOT documents.
+    is one anchor's rows, of at most HOT documents. Where a text has a period,
+    an anchor recurs with the same bytes around it; such a stretch is one row.
 3.  A bucket sorts its suffixes by multikey quicksort over 8-byte symbols, and
     the bytes before them, read backwards, in the same way. The lengths that
     sorted neighbours share decide what matches: windows are equal if they begin
@@ -165,8 +166,9 @@ def _meet(group: pa.Table) -> pa.Table:
 
 # ---- 2. suffixes to buckets ----------------------------------------------------------------------
 
-ROWS = "bucket int, kind int, d long, r long, pos int, first int, last int, bytes binary"
-NAMES = ["bucket", "kind", "d", "r", "pos", "first", "last", "bytes"]
+ROWS = "bucket int, kind int, d long, r long, pos int, windows long, again long, bytes binary"
+#: windows holds first and last, again holds step and count, 32 bits each: a row is no wider for them.
+NAMES = ["bucket", "kind", "d", "r", "pos", "windows", "again", "bytes"]
 
 
 def _big(x: np.ndarray) -> np.ndarray:
@@ -192,6 +194,21 @@ def _own_anchors(batch: pa.RecordBatch, h: np.ndarray, row: np.ndarray) -> tuple
     return met & ~hot, met & hot
 
 
+def _stretches(row, place, left, right, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each run of equal neighbours in one text at equal distances, that distance and how many they are.
+
+    Text with a period has the same anchor with the same bytes around it once a period: what holds for one holds for all.
+    """
+    like = np.concatenate([[False], (row[1:] == row[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1])])
+    on = np.flatnonzero(like)
+    like[on] = (block[on] == block[on - 1]).all(axis=1)
+    gap = np.diff(place, prepend=0)
+    turn = np.concatenate([[False], like[:-1] & (gap[1:] != gap[:-1])])
+    one = np.flatnonzero(~like | turn)
+    count = np.diff(np.append(one, len(row)))
+    return one, np.where(count > 1, gap[np.minimum(one + 1, len(row) - 1)], 0), count
+
+
 def _deal(width: int, bits: int, splitters: np.ndarray, buckets: int):
     before = width - GRAM
 
@@ -208,7 +225,9 @@ def _deal(width: int, bits: int, splitters: np.ndarray, buckets: int):
                 k = on[at : at + 50_000]
                 view = np.lib.stride_tricks.sliding_window_view(padded, before + width)
                 block = view[place[k]]  # `before` bytes, then `width` from the anchor on
-                yield _rows(np.searchsorted(splitters, _leads(block[:, before:]), side="right"), 0, ids[row[k]], rs[row[k]], place[k] - ends[row[k]], first[k] - ends[row[k]], last[k] - ends[row[k]], block)
+                one, step, count = _stretches(row[k], place[k], place[k] - first[k], place[k] - last[k], block)
+                k, block = k[one], block[one]
+                yield _rows(np.searchsorted(splitters, _leads(block[:, before:]), side="right"), 0, ids[row[k]], rs[row[k]], place[k] - ends[row[k]], first[k] - ends[row[k]], last[k] - ends[row[k]], block, step, count)
             on = np.flatnonzero(hot)
             if len(on):
                 count = last[on] - first[on] + 1
@@ -234,10 +253,12 @@ def _deal(width: int, bits: int, splitters: np.ndarray, buckets: int):
     return run
 
 
-def _rows(bucket, kind, d, r, pos, first, last, block) -> pa.RecordBatch:
+def _rows(bucket, kind, d, r, pos, first, last, block, step=None, count=None) -> pa.RecordBatch:
     n = len(d)
+    step, count = np.zeros(n) if step is None else step, np.ones(n) if count is None else count
     data = pa.nulls(n, pa.binary()) if block is None else pa.Array.from_buffers(pa.binary(block.shape[1]), n, [None, pa.py_buffer(np.ascontiguousarray(block))]).cast(pa.binary())
-    ints = [pa.array(np.asarray(x, np.int32)) for x in (bucket, np.full(n, kind))] + [pa.array(np.asarray(x, np.int64)) for x in (d, r)] + [pa.array(np.asarray(x, np.int32)) for x in (pos, first, last)]
+    windows, again = ((np.asarray(x, np.int64) << 32) | np.asarray(y, np.int64) for x, y in ((first, last), (step, count)))
+    ints = [pa.array(np.asarray(x, kind_)) for x, kind_ in ((bucket, np.int32), (np.full(n, kind), np.int32), (d, np.int64), (r, np.int64), (pos, np.int32), (windows, np.int64), (again, np.int64))]
     return pa.RecordBatch.from_arrays([*ints, data], names=NAMES)
 
 
@@ -282,6 +303,7 @@ def _bucket(width: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         col = {x: group.column(x).to_numpy() for x in NAMES[1:-1]}
+        col |= {x: col[y] >> 32 for x, y in (("first", "windows"), ("step", "again"))} | {x: col[y] & 0xFFFFFFFF for x, y in (("last", "windows"), ("count", "again"))}
         found = []
         plain = np.flatnonzero(col["kind"] == 2)
         found.append((plain, col["first"][plain], col["last"][plain] + 1))
@@ -294,6 +316,10 @@ def _bucket(width: int):
             block = data.reshape(len(k), size)
             found += _suffixes(k, block, col, before, width) if kind == 0 else _windows(k, block, col)
         k, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+        count = col["count"][k]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        k, start, stop = (np.repeat(x, count) for x in (k, start, stop))
+        start, stop = start + nth * col["step"][k], stop + nth * col["step"][k]
         return runs(col["d"][k], col["r"][k], start, stop)
 
     return run

@@ -85,6 +85,7 @@ def test_suffixes_of_few_letters(spark, monkeypatch, parts):
             x[i] = "c"
         a = int(rng.integers(0, 200))
         texts.append("".join(x[a : a + int(rng.integers(40, 260))]))
+    texts += ["x" * int(rng.integers(0, 9)) + "he. Is on" * int(rng.integers(5, 60)) + "y" * int(rng.integers(0, 60)) for _ in range(20)]
     rows = list(enumerate(texts))
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "spans", "kept").collect()
     got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got]
@@ -99,6 +100,18 @@ def test_suffixes_odd_rows(spark, empty):
     assert got == sorted([(None, 60), (2, 0), (2, 0), (1, 60), (5, 0), (6, 5)], key=str)
 
 
+def test_stretches():
+    text = np.frombuffer(b"start " + b"he. Is on" * 40 + b" mid " + b"he. Is on" * 30 + b" end", np.uint8)
+    place = np.array([6 + 9 * i for i in range(40)] + [371 + 9 * i for i in range(30)])
+    padded = np.concatenate([np.zeros(26, np.uint8), text, np.zeros(50, np.uint8)])
+    block = np.lib.stride_tricks.sliding_window_view(padded, 76)[place]
+    same = np.full(len(place), 4)
+    one, step, count = suffix_dedup._stretches(np.zeros(len(place), int), place, same, same, block)
+    assert len(one) < 25 and count.max() > 20
+    assert np.concatenate([place[a] + s * np.arange(n) for a, s, n in zip(one, step, count)]).tolist() == place.tolist()
+    assert all((block[a : a + n] == block[a]).all() for a, n in zip(one, count))
+
+
 def test_multikey_quicksort():
     x = np.random.default_rng(0).integers(0, 4, (5000, 3)).astype(np.uint64)
     got = x[suffix_dedup.multikey_quicksort(x, small=16)]
