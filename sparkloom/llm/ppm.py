@@ -61,6 +61,18 @@ def symbols(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return packed[coded], ends + np.arange(rows + 1)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + (_ZSTD.compress(K.planes(x), asbytes=True) if len(x) else b"")
+
+
+def unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return K.values(_ZSTD.decompress(data[8:], n * np.dtype(kind).itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
+
+
 # ---- counting ------------------------------------------------------------------------------------
 
 
@@ -77,19 +89,23 @@ class _Sum:
             self.merge()
 
     def merge(self):
-        if self.parts:
-            self.parts = [K.tally(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))]
+        if len(self.parts) > 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts = []
+            self.parts = [K.tally(keys, counts)]
             self.size = len(self.parts[0][0])
+            del keys, counts
+            K.release()
 
     def take(self, kind: int, bits: int):
-        """A row for each part: its keys in order as differences, and their counts, both with bytes of equal weight together."""
+        """A row for each part: its keys in order as differences, and their counts, both squeezed: Spark sorts and sends a sixth of the bytes."""
         self.merge()
         for k, c in self.parts:
             order, cut = split(k >> U(_BITS) & _TWO if kind == GRAMS else k, bits)
             k, c = k[order], c[order]
             used = np.flatnonzero(np.diff(cut)).tolist()
-            keys = [K.planes(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
-            counts = [K.planes(c[cut[p] : cut[p + 1]].astype(np.int64)) for p in used]
+            keys = [squeeze(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
+            counts = [squeeze(c[cut[p] : cut[p + 1]].astype(np.int64)) for p in used]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(np.array(used, np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["kind", "part", "keys", "counts"])
         self.parts, self.size = [], 0
 
@@ -107,11 +123,12 @@ def split(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange((1 << bits) + 1))
 
 
+@K.releasing
 def _unpack(batches):
     """A row for each key of packed counts."""
     for batch in batches:
         for kind, keys, counts in zip(*(batch.column(c) for c in ("kind", "keys", "counts")), strict=True):
-            k, n = np.cumsum(K.values(keys.as_py(), "u8"), dtype=U), K.values(counts.as_py(), "i8")
+            k, n = np.cumsum(unsqueeze(keys.as_py(), "u8"), dtype=U), unsqueeze(counts.as_py(), "i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind.as_py(), np.int32)), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
 
 
@@ -139,7 +156,7 @@ def _count(bits: int):
         ends_.parts = [(np.zeros(1, U), np.array([docs]))]
         yield from ends_.take(DOCS, 0)
 
-    return run
+    return K.releasing(run)
 
 
 # ---- the model -----------------------------------------------------------------------------------
@@ -210,23 +227,12 @@ def part_model(key: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarr
 
 SCORED = "rid long, doc_id long, held_out boolean, kind int, h long, n long, n_tokens long, known long, base double, score double"
 CHUNKS = "chunk long, rid array<long>, doc_id array<long>, held_out array<boolean>, ends binary, text binary"
-_ZSTD = pa.Codec("zstd", compression_level=1)
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + (_ZSTD.compress(K.planes(x), asbytes=True) if len(x) else b"")
-
-
-def unsqueeze(data: bytes, kind: str) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return K.values(_ZSTD.decompress(data[8:], n * np.dtype(kind).itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
-
-
 def texts_of(ends: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's bytes and row offsets."""
     return unsqueeze(text, "u1"), unsqueeze(ends, "i8")
 
 
+@K.releasing
 def _pack(batches):
     """Rows of CHUNKS; a chunk is named by its first row."""
     for batch in batches:
@@ -262,7 +268,7 @@ def _ask(bits: int):
                 keys = [squeeze(np.diff(k[cut[p] : cut[p + 1]], prepend=U(0))) for p in used]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(used, np.int32)), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()), pa.array(keys, pa.binary())], names=["part", "chunk", "keys"])
 
-    return run
+    return K.releasing(run)
 
 
 def _answer(shared):
@@ -275,7 +281,7 @@ def _answer(shared):
                 if part != now:
                     now, held, model = part, _Sum(), None
                 if counts.is_valid:
-                    held.add(np.cumsum(K.values(keys.as_py(), "u8"), dtype=U), K.values(counts.as_py(), "i8"))
+                    held.add(np.cumsum(unsqueeze(keys.as_py(), "u8"), dtype=U), unsqueeze(counts.as_py(), "i8"))
                     if held.size > 2 * len(held.parts[0][0]) + _ASKED:
                         held.merge()
                     continue
@@ -287,7 +293,7 @@ def _answer(shared):
                 kinds = np.diff(kinds, prepend=U(0))
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([chunk.as_py()], pa.int64()), pa.array([squeeze(kinds)], pa.binary()), pa.array([squeeze(which.astype(np.uint32))], pa.binary())], names=["part", "chunk", "kinds", "which"])
 
-    return run
+    return K.releasing(run)
 
 
 def _score(shared, bits: int):

@@ -9,9 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import decontaminate, html_text, langid, mih, mixing, ppm, token_counts
+from sparkloom.llm import textkit as K
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -404,3 +406,31 @@ def test_raking_query_against_loops(spark, monkeypatch):
     assert max(want.values()) < 1
     for d in docs:
         assert got[d].probability == pytest.approx(want[d], abs=1e-6)
+
+
+def test_partial_counts_are_small_and_memory_goes_back():
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(500)]
+    rows = [r for b in ppm._count(7)([pa.RecordBatch.from_pydict({"text": texts})]) for r in b.to_pylist() if r["kind"] == ppm.GRAMS]
+    grams = Counter()
+    for r in rows:
+        keys, counts = np.cumsum(ppm.unsqueeze(r["keys"], "u8"), dtype=np.uint64), ppm.unsqueeze(r["counts"], "i8")
+        grams.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+    want = Counter(ppm.symbols(*K.buffers(pa.array(texts)))[0].tolist())
+    assert grams == want
+    assert sum(len(r["keys"]) + len(r["counts"]) for r in rows) < 6 * len(want)
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon"))
+
+    def run(batches):
+        some = [np.ones(12_000) for _ in range(1500)]  # under the size that malloc maps
+        yield len(some)
+        some = some[-1:]  # the last one keeps the rest from being cut off the heap's end
+        last.extend(some)
+
+    last, before = [], held()
+    list(K.releasing(run)([]))
+    assert held() - before < 70_000
