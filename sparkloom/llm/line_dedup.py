@@ -6,7 +6,8 @@ earlier line, judged on the input (earlier: smaller doc_id, then line number).
 A word is known by 64 bits of hash, a set by 128.
 
 1.  A pass counts words in hash counters for the order, and prints all sets.
-    Lines with equal sets are settled by their prints.
+    Lines with equal sets are settled by their prints: within a slice at once,
+    the rest by ranges of prints, which get one line of a set from each slice.
 2.  A second pass makes each line's prefix (its rarest n - ceil(t * n) + 1
     tokens) and sends it as compact columns by token ranges, whose number grows
     with the words counted; of equal sets a task sends the first line only.
@@ -49,10 +50,9 @@ def lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Row, number within the row and first byte of each line (a row of n line feeds has n + 1)."""
     feed = np.flatnonzero(data == 10)
     row = np.searchsorted(ends, feed, side="right") - 1
-    at = np.concatenate([ends[:-1], feed + 1])
-    row = np.concatenate([np.arange(len(ends) - 1), row])
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
+    # by row, then by place: a slice is far under 2**40 bytes and 2**23 rows
+    both = np.sort(np.concatenate([np.arange(len(ends) - 1), row]) << 40 | np.concatenate([ends[:-1], feed + 1]))
+    row, at = both >> 40, both & ((1 << 40) - 1)
     return row, np.arange(len(row)) - np.searchsorted(row, row), at
 
 
@@ -75,12 +75,28 @@ def _prints(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return first, K.mix(np.add.reduceat(K.mix(h ^ U(0x5851F42D4C957F2D)), start) + size.astype(U))
 
 
-FIRST = "part int, at binary, n binary, doc_id long, line int, print long, print2 long"
-_FIRST = pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("print", pa.int64()), ("print2", pa.int64())])
+FIRST = "part int, at binary, n binary, doc_id long, line int, print long, print2 long, copy boolean"
+_FIRST = pa.schema([("part", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("print", pa.int64()), ("print2", pa.int64()), ("copy", pa.bool_())])
+
+
+def _copies(doc: np.ndarray, line: np.ndarray, prints: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which lines have the prints of an earlier one of these."""
+    order = np.lexsort((line, doc, *prints))
+    doc, line, x, y = (v[order] for v in (doc, line, *prints))
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(order)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.zeros(len(order), bool)
+    out[order] = (doc != doc[first]) | (line != line[first])
+    return out
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    on = _copies(*(group.column(c).to_numpy() for c in ("doc_id", "line")), tuple(group.column(c).to_numpy() for c in ("print", "print2")))
+    return group.select(["doc_id", "line"]).filter(pa.array(on))
 
 
 def _first_pass(batches):
-    """Prints of all lines with words, and last the counts of words."""
+    """Prints of all lines with words, with those that are copies within a slice marked, and last the counts of words."""
     total = np.zeros(1 << COUNTER_BITS, np.int64)
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -95,10 +111,11 @@ def _first_pass(batches):
             start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             prints = _prints(h, start, np.diff(np.append(start, len(line))))
             on, none = line[start], [None] * len(start)
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(ids[a + row[on]].astype(np.int64)), pa.array(number[on].astype(np.int32)), *[pa.array(p.view(np.int64)) for p in prints]], schema=_FIRST)
+            doc, number = ids[a + row[on]].astype(np.int64), number[on].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(doc), pa.array(number), *[pa.array(p.view(np.int64)) for p in prints], pa.array(_copies(doc, number, prints))], schema=_FIRST)
     for part, x in enumerate(np.split(total, 64)):
         if x.any():
-            yield pa.RecordBatch.from_pydict({"part": [part], **{k: [v] for k, v in _sparse(x).items()}, "doc_id": [None], "line": [None], "print": [None], "print2": [None]}, schema=_FIRST)
+            yield pa.RecordBatch.from_pydict({"part": [part], **{k: [v] for k, v in _sparse(x).items()}, "doc_id": [None], "line": [None], "print": [None], "print2": [None], "copy": [None]}, schema=_FIRST)
 
 
 def _sparse(x: np.ndarray) -> dict[str, bytes]:
@@ -171,8 +188,7 @@ def _send(shared, percent: int, bits: int, again=None):
     """again: broadcast filters of the tokens that take part in a further round and of the sets that ask in it."""
 
     def wanted(h):
-        key = K.mix(h)
-        return holds(again.value[0], _token_hash(key >> U(64 - bits), key >> U(32 - bits) & U(0xFFFFFFFF)))
+        return holds(again.value[0], K.mix(h))
 
     def run(batches):
         levels, held, count = shared.value, [], 0
@@ -208,8 +224,9 @@ def _send(shared, percent: int, bits: int, again=None):
     return run
 
 
-def _token_hash(part: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return K.mix((part.astype(U) << U(32)) | token.astype(U))
+def _token_hash(held: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits of the hash of a token that is written as (range, token)."""
+    return held.view(U) << U(32 - bits)
 
 
 def _print_hash(print_: np.ndarray) -> np.ndarray:
@@ -219,9 +236,24 @@ def _print_hash(print_: np.ndarray) -> np.ndarray:
 def _firsts(key: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
     """Of rows with the same token and set those of the earliest line."""
     same = K.mix(key.astype(U) + K.mix(c["prints"].astype(U))) ^ K.mix(c["even"] + K.mix(c["odd"] + K.mix(c["sizes"].astype(U))))
-    order = np.lexsort((c["lines"], c["docs"], same))
+    order = np.argsort(same)
     same = same[order]
-    return order[np.concatenate([[True], same[1:] != same[:-1]])] if len(order) else order
+    at = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(order) else order
+    count = np.diff(np.append(at, len(order)))
+    # only rows that are not alone need the order of their lines
+    some = np.repeat(count > 1, count)
+    k = order[some]
+    order[some] = k[np.lexsort((c["lines"][k], c["docs"][k], np.repeat(np.arange(len(at)), count)[some]))]
+    return order[at]
+
+
+def _in_order(token: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Positions by token (32 bits), then by line; one sort of one number, where that has room for them."""
+    low = int(doc.min()) if len(doc) else 0
+    bits = int(line.max()).bit_length() if len(line) else 0
+    if len(doc) and (int(doc.max()) - low).bit_length() + bits > 32:
+        return np.lexsort((line, doc, token))
+    return np.argsort(token.astype(U) << U(32) | (doc - low).astype(U) << U(bits) | line.astype(U))
 
 
 def _packed(held, bits: int) -> pa.RecordBatch:
@@ -231,11 +263,11 @@ def _packed(held, bits: int) -> pa.RecordBatch:
     key = key[on]
     part = (key >> U(64 - bits)).astype(np.int64)
     c = {"tokens": key >> U(32 - bits) & U(0xFFFFFFFF)} | {n: x[on] for n, x in c.items()}
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
     part = part[order]
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     stop = np.append(at[1:], len(part))
-    cols = [c[n][order].astype(t) for n, t in _TYPES.items()]
+    cols = [c[n].astype(t)[order] for n, t in _TYPES.items()]
     arrays = [pa.array(part[at].astype(np.int32))] + [pa.array([K.planes(x[a:b]) for a, b in zip(at, stop, strict=True)], pa.binary()) for x in cols]
     return pa.RecordBatch.from_arrays(arrays, names=["part", *_TYPES])
 
@@ -253,12 +285,16 @@ def _meet(percent: int, most: int):
         part = group.column("part")[0].as_py()
         c = {n: np.concatenate([K.values(x.as_py(), t) for x in group.column(n)]) for n, t in _TYPES.items()}
         on = _firsts(c["tokens"], c)
-        on = on[np.lexsort((c["lines"][on], c["docs"][on], c["tokens"][on]))]
+        on = on[_in_order(c["tokens"][on], c["docs"][on], c["lines"][on])]
         token = c["tokens"][on]
         edge = np.concatenate([[True], token[1:] != token[:-1]])
         on = on[~(edge & np.append(edge[1:], True))]  # tokens of one set meet nothing
         c = {n: x[on] for n, x in c.items()}
         token, size, place = c["tokens"], c["sizes"].astype(np.int64), c["places"].astype(np.int64)
+        after = (size - place).astype(np.int32)  # tokens from the shared one on
+        size32 = size.astype(np.int32)
+        widest = int(size.max(initial=0)) * 2 + 2
+        needs = -(-percent * np.arange(widest) // (100 + percent)).astype(np.int32)  # tokens in common, by the sizes' sum
         edge = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
         bucket = np.cumsum(edge) - 1
         first = np.flatnonzero(edge)[bucket]
@@ -266,11 +302,11 @@ def _meet(percent: int, most: int):
 
         def apart(i, j):
             """Where i and j can match: which of the pairs, how far apart they are at least and may be at most."""
-            both = size[i] + size[j]
-            need = -(-percent * both // (100 + percent))
-            far, limit = place[i] + place[j], both - 2 * need
-            on = np.flatnonzero((far <= limit) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])))
-            i, j, far, limit = i[on], j[on], far[on], limit[on]
+            # with so many tokens left in both, sizes and places fit too
+            both = size32[i] + size32[j]
+            on = np.flatnonzero(np.minimum(after[i], after[j]) >= needs[both])
+            i, j, both = i[on], j[on], both[on].astype(np.int64)
+            far, limit = place[i] + place[j], both - 2 * needs[both].astype(np.int64)
             far = far + np.bitwise_count(c["even"][i] ^ c["even"][j]) + np.bitwise_count(c["odd"][i] ^ c["odd"][j])
             good = far <= limit
             return on[good], far[good], limit[good]
@@ -293,9 +329,9 @@ def _meet(percent: int, most: int):
         # the others ask all earlier lines of fitting size
         ask = np.flatnonzero(asks & (near == 1 << 30))
         if len(ask):
-            by_size = np.lexsort((size, bucket))
-            widest = int(size.max()) * 2 + 2
-            key = bucket[by_size] * widest + size[by_size]
+            key = bucket * widest + size
+            by_size = np.argsort(key)
+            key = key[by_size]
             # only its first tokens can be a set's first common one with a larger set
             wide = place[ask] <= size[ask] - -(-2 * percent * size[ask] // (100 + percent))
             lo = np.searchsorted(key, bucket[ask] * widest + (percent * size[ask] + 99) // 100)
@@ -398,16 +434,15 @@ def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     levels = share(levels.ravel())
     bits = int(np.clip((words // PART_WORDS).bit_length(), *PART_BITS))
 
-    own = first.where("print is not null").select("doc_id", "line", "print", "print2")
-    low = own.groupBy("print", "print2").agg(F.min(F.struct("doc_id", "line")).alias("low"), F.count("*").alias("n"))
-    many = keep(low.where("n > 1").select("print", "print2", "low"), "copies")
-    copies = own.join(many, ["print", "print2"]).where("struct(doc_id, line) <> low").select("doc_id", "line")
+    own = first.where("print is not null")
+    met = own.where("not copy").withColumn("part", F.shiftrightunsigned("print", 64 - bits).cast("int"))
+    copies = met.select("part", "doc_id", "line", "print", "print2").groupBy("part").applyInArrow(_settle, "doc_id long, line int")
+    copies = copies.unionByName(own.where("copy").select("doc_id", "line"))
 
     out, again, most = copies, None, 1
     while True:
         sent = known.mapInArrow(_send(levels, percent, bits, again), BLOB_SCHEMA)
         raw = keep(sent.groupBy("part").applyInArrow(_meet(percent, most), PAIRS), "pairs")
-        pairs = raw.groupBy("doc_id", "line", "doc2", "line2").agg(F.min("apart").alias("apart"))
         ends = raw.select("doc_id", "line").unionByName(raw.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line")))
         wanted = share(bit_filter(ends, lambda b: _place(b.column("doc_id").to_numpy(), b.column("line").to_numpy())))
         cut = keep(known.mapInArrow(_fetch(wanted), "doc_id long, line int, text binary"), "cut")
@@ -417,14 +452,14 @@ def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
             sides = sides.join(cut.select(F.col("doc_id").alias("doc2"), F.col("line").alias("line2"), F.col("text").alias("text2")), ["doc2", "line2"])
             return keep(sides.select("doc_id", "line", "text", "text2").mapInArrow(_verify(percent), "doc_id long, line int").distinct(), "matches")
 
-        best = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc2", "line2")).alias("p"))
+        best = raw.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc2", "line2")).alias("p"))
         match = verified(best.select("doc_id", "line", "p.doc2", "p.line2"))
-        match = match.unionByName(verified(pairs.join(match, ["doc_id", "line"], "left_anti")))
+        match = match.unionByName(verified(raw.select("doc_id", "line", "doc2", "line2").join(match, ["doc_id", "line"], "left_anti").distinct()))
         out = out.unionByName(match)
         rest = keep(raw.where("held is not null").join(match, ["doc_id", "line"], "left_anti").select("print", F.explode("held").alias("token")), "rest")
         if rest.isEmpty():
             return out.distinct()
-        tokens = bit_filter(rest, lambda b: _token_hash(b.column("token").to_numpy() >> 32, b.column("token").to_numpy() & 0xFFFFFFFF))
+        tokens = bit_filter(rest, lambda b: _token_hash(b.column("token").to_numpy(), bits))
         again, most = share((tokens, bit_filter(rest, lambda b: _print_hash(b.column("print").to_numpy())))), most * STEP
 
 

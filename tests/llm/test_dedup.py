@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import jaccard_join, line_dedup, suffix_dedup
@@ -156,3 +157,35 @@ def test_lines_of_near_copies(spark, monkeypatch, pivots, step):
     rows = [(d, "\n".join(t for e, t in texts if e == d)) for d in dict.fromkeys(d for d, _ in texts)]
     got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == line_dedup.brute_force(rows) and 20 < len(got) < 240
+
+
+def test_copies_are_settled_in_slices_and_ranges():
+    texts = ["a b\nb A\nx", "x\n\na b", "y z\nz y z"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 3, 3], "text": texts})
+    rows = [r for b in line_dedup._first_pass([batch]) for r in b.to_pylist() if r["print"] is not None]
+    # of each set only a slice's earliest line is left to settle; rows that share an id and a number are one line
+    assert sorted((r["doc_id"], r["line"]) for r in rows if r["copy"]) == [(3, 1), (7, 0), (7, 1), (7, 2)]
+    rest = pa.Table.from_pylist([{"part": 0} | r for r in rows])
+    assert sorted(map(tuple, (r.values() for r in line_dedup._settle(rest).to_pylist()))) == [(3, 1), (7, 0), (7, 1), (7, 2)]
+    assert line_dedup._settle(rest.slice(0, 0)).num_rows == 0
+
+
+@pytest.mark.parametrize("far", [1, 1 << 40])
+def test_order_of_tokens_and_lines(far):
+    rng = np.random.default_rng(2)
+    token, doc, line = rng.integers(0, 1 << 32, 3000) >> 28 << 28, (rng.integers(0, 50, 3000) - 20) * far, rng.integers(0, 9, 3000)
+    token, line = token.astype("u4"), line.astype("i4")
+    order, want = line_dedup._in_order(token, doc, line), np.lexsort((line, doc, token))
+    for x in (token, doc, line):
+        assert (x[order] == x[want]).all()
+    empty = np.zeros(0, np.int64)
+    assert not len(line_dedup._in_order(empty.astype("u4"), empty, empty.astype("i4")))
+
+
+def test_near_sets_are_told_from_the_tokens_after_the_shared_one():
+    """With enough of these in both sets, sizes and places fit: what one comparison now decides."""
+    for percent in (60, 75, 100):
+        for a, b, p, q in ((a, b, p, q) for a in range(1, 14) for b in range(1, 14) for p in range(a) for q in range(b)):
+            need = -(-percent * (a + b) // (100 + percent))
+            long = p + q <= a + b - 2 * need and min(a - p, b - q) >= need and 100 * min(a, b) >= percent * max(a, b)
+            assert long == (min(a - p, b - q) >= need)
