@@ -20,7 +20,8 @@ A word is known by 64 bits of hash, a set by 128.
     So a group of near copies makes as many rows as it has lines.
 4.  Pairs are verified on the words themselves. Lines without a match whose ranges
     hold more partners go another round, with STEP times as many each, until none
-    is held back. Two bit filters of fixed size pick what takes part in it.
+    is held back. Two bit filters of fixed size pick what takes part in it; its
+    lines are written out once, and what follows reads these only.
 """
 
 from __future__ import annotations
@@ -184,12 +185,26 @@ _TYPES = {"tokens": "u4", "docs": "i8", "lines": "i4", "sizes": "i4", "places":
 BLOB_SCHEMA = "part int, " + ", ".join(f"{n} binary" for n in _TYPES)
 
 
+def _numbers(batch: pa.RecordBatch, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The lines' numbers: where rows are lines, they have them."""
+    return batch.column("line").to_numpy()[row] if "line" in batch.schema.names else number
+
+
+def _wanted(again):
+    return lambda h: holds(again.value[0], K.mix(h))
+
+
+def _prefixes(L: Lines, doc: np.ndarray, percent: int) -> np.ndarray:
+    """Elements of the lines' prefixes, but of equal sets in a slice only the first line's."""
+    order = np.lexsort((L.number, doc, L.print))
+    first = np.zeros(len(order), bool)
+    first[order] = np.concatenate([[True], L.print[order][1:] != L.print[order][:-1]])
+    return np.flatnonzero(first[L.line] & (L.level > _ONCE) & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line]))
+
+
 def _send(shared, percent: int, bits: int, again=None):
     """again: broadcast filters of the tokens that take part in a further round and of the sets that ask in it."""
 
-    def wanted(h):
-        return holds(again.value[0], K.mix(h))
-
     def run(batches):
         levels, held, count = shared.value, [], 0
         for batch in batches:
@@ -197,19 +212,14 @@ def _send(shared, percent: int, bits: int, again=None):
             ids = batch.column("doc_id").to_numpy()
             data, ends = K.buffers(batch.column("text"))
             for a, b in K.slices(ends, _LINE_SLICE):
-                L = Lines(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], levels, wanted if again else None)
+                L = Lines(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], levels, again and _wanted(again))
                 if not len(L.token):
                     continue
-                doc = ids[a + L.row]
-                # of equal sets in this slice only the first line goes on
-                order = np.lexsort((L.number, doc, L.print))
-                first = np.zeros(len(order), bool)
-                first[order] = np.concatenate([[True], L.print[order][1:] != L.print[order][:-1]])
-                on = first[L.line] & (L.level > _ONCE) & (L.place < (L.size - (percent * L.size + 99) // 100 + 1)[L.line])
-                k = np.flatnonzero(on)
+                doc, L.number = ids[a + L.row], _numbers(batch, a + L.row, L.number)
+                k = _prefixes(L, doc, percent)
                 key = K.mix(L.token[k])
                 if again:
-                    good = wanted(L.token[k])
+                    good = holds(again.value[0], key)
                     k, key = k[good], key[good]
                 n = L.line[k]
                 asks = holds(again.value[1], _print_hash(L.print[n] >> U(32))) if again else np.ones(len(k), bool)
@@ -399,8 +409,21 @@ def _verify(percent: int):
     return run
 
 
+LINES = "doc_id long, line int, text binary"
+
+
+def _rows_of_lines(data: np.ndarray, row: np.ndarray, at: np.ndarray, on: np.ndarray, ids: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """The lines at positions `on`, without their line feeds, as rows of LINES."""
+    stop = np.append(at[1:] - (row[1:] == row[:-1]), len(data))[on]
+    size = stop - at[on]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    own = data[np.arange(offsets[-1]) + np.repeat(at[on] - offsets[:-1], size)]
+    text = pa.Array.from_buffers(pa.large_binary(), len(on), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)])
+    return pa.RecordBatch.from_arrays([pa.array(ids[row[on]]), pa.array(number[on].astype(np.int32)), text.cast(pa.binary())], names=["doc_id", "line", "text"])
+
+
 def _fetch(wanted):
-    """The lines (without their numbers' neighbours) that the filter holds."""
+    """The lines that the filter holds."""
 
     def run(batches):
         for batch in batches:
@@ -408,13 +431,34 @@ def _fetch(wanted):
             ids = batch.column("doc_id").to_numpy()
             data, ends = K.buffers(batch.column("text"))
             for a, b in K.slices(ends, _LINE_SLICE):
-                own = np.ascontiguousarray(data[ends[a] : ends[b]])
+                own = data[ends[a] : ends[b]]
                 row, number, at = lines(own, ends[a : b + 1] - ends[a])
+                number = _numbers(batch, a + row, number)
                 on = np.flatnonzero(holds(wanted.value, _place(ids[a + row], number)))
                 if len(on):
-                    offsets = np.append(at, len(own)).astype(np.int64)
-                    every = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + row[on]]), pa.array(number[on].astype(np.int32)), every.take(pa.array(on)).cast(pa.binary())], names=["doc_id", "line", "text"])
+                    yield _rows_of_lines(own, row, at, on, ids[a:b], number)
+
+    return run
+
+
+def _partakers(shared, percent: int, again):
+    """The lines with a token in their prefix that takes part in a further round."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            ids = batch.column("doc_id").to_numpy()
+            data, ends = K.buffers(batch.column("text"))
+            for a, b in K.slices(ends, _LINE_SLICE):
+                own = data[ends[a] : ends[b]]
+                L = Lines(own, ends[a : b + 1] - ends[a], shared.value, _wanted(again))
+                if not len(L.token):
+                    continue
+                L.number = _numbers(batch, a + L.row, L.number)
+                k = _prefixes(L, ids[a + L.row], percent)
+                on = K.distinct(L.line[k[_wanted(again)(L.token[k])]])
+                if len(on):
+                    yield _rows_of_lines(own, L.row, L.at, on, ids[a:b], L.number)
 
     return run
 
@@ -439,13 +483,13 @@ def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     copies = met.select("part", "doc_id", "line", "print", "print2").groupBy("part").applyInArrow(_settle, "doc_id long, line int")
     copies = copies.unionByName(own.where("copy").select("doc_id", "line"))
 
-    out, again, most = copies, None, 1
+    out, again, most, part = copies, None, 1, known
     while True:
-        sent = known.mapInArrow(_send(levels, percent, bits, again), BLOB_SCHEMA)
+        sent = part.mapInArrow(_send(levels, percent, bits, again), BLOB_SCHEMA)
         raw = keep(sent.groupBy("part").applyInArrow(_meet(percent, most), PAIRS), "pairs")
         ends = raw.select("doc_id", "line").unionByName(raw.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line")))
         wanted = share(bit_filter(ends, lambda b: _place(b.column("doc_id").to_numpy(), b.column("line").to_numpy())))
-        cut = keep(known.mapInArrow(_fetch(wanted), "doc_id long, line int, text binary"), "cut")
+        cut = keep(part.mapInArrow(_fetch(wanted), LINES), "cut")
 
         def verified(some: DataFrame, cut: DataFrame = cut) -> DataFrame:
             sides = some.select("doc_id", "line", "doc2", "line2").join(cut, ["doc_id", "line"])
@@ -461,6 +505,7 @@ def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
             return out.distinct()
         tokens = bit_filter(rest, lambda b: _token_hash(b.column("token").to_numpy(), bits))
         again, most = share((tokens, bit_filter(rest, lambda b: _print_hash(b.column("print").to_numpy())))), most * STEP
+        part = keep(part.mapInArrow(_partakers(levels, percent, again), LINES), "part")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:

@@ -189,3 +189,34 @@ def test_near_sets_are_told_from_the_tokens_after_the_shared_one():
             need = -(-percent * (a + b) // (100 + percent))
             long = p + q <= a + b - 2 * need and min(a - p, b - q) >= need and 100 * min(a, b) >= percent * max(a, b)
             assert long == (min(a - p, b - q) >= need)
+
+
+def test_further_rounds_read_only_the_lines_that_take_part(spark, monkeypatch):
+    kept, keep = {}, line_dedup.keep
+
+    def watched(df, name="t"):
+        kept.setdefault(name, []).append(keep(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(line_dedup, "keep", watched)
+    monkeypatch.setattr(line_dedup, "PIVOTS", 0)
+    monkeypatch.setattr(line_dedup, "STEP", 2)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words, k, replace=False) for k in (4, 12, 20)]
+
+    def near():
+        own = base[rng.integers(3)].copy()
+        for _ in range(rng.integers(1 + len(own) // 3)):
+            own[rng.integers(len(own))] = rng.choice(words)
+        return " ".join(own)
+
+    rows = [(d, "\n".join(near() for _ in range(3)) + f"\nalone {d}x {d % 7}y") for d in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(df).collect()}
+    assert got == line_dedup.brute_force(rows)
+    assert kept["part"]
+    first = {(r.doc_id, r.line): bytes(r.text).decode() for r in kept["part"][0].collect()}
+    texts = dict(rows)
+    assert first and all(texts[d].split("\n")[k] == t for (d, k), t in first.items())
+    assert not any(k == 3 for _, k in first)
