@@ -57,6 +57,11 @@ def lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, np.arange(len(row)) - np.searchsorted(row, row), at
 
 
+def _lines_of(at: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The line of each word: rows without bytes put several lines at one place, of which the last has the words."""
+    return np.repeat(np.arange(len(at)), np.diff(np.append(np.searchsorted(s, at), len(s))))
+
+
 def _sets(line: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each line's distinct words in the order of (level, hash): line, hash, level."""
     packed = (line.astype(U) << U(44)) | (level.astype(U) << U(36)) | (h >> U(28))
@@ -108,7 +113,7 @@ def _first_pass(batches):
             if not len(h):
                 continue
             np.add.at(total, (h >> U(64 - COUNTER_BITS)).astype(np.int64), 1)
-            line, h, _ = _sets(np.searchsorted(at, s, side="right") - 1, h, np.zeros(len(h), np.uint8))
+            line, h, _ = _sets(_lines_of(at, s), h, np.zeros(len(h), np.uint8))
             start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             prints = _prints(h, start, np.diff(np.append(start, len(line))))
             on, none = line[start], [None] * len(start)
@@ -148,12 +153,13 @@ class Lines:
         """wanted(hashes): lines without such a word are left empty."""
         self.row, self.number, self.at = lines(data, ends)
         s, _, h, _ = K.words(data, ends)
-        # rows without bytes put several lines at one place: the last of them has the words
-        line = np.searchsorted(self.at, s, side="right") - 1
         if wanted:
-            some = np.zeros(len(self.row), bool)
-            some[line[wanted(h)]] = True
-            line, h = line[some[line]], h[some[line]]
+            some = K.distinct(np.searchsorted(self.at, s[wanted(h)], side="right") - 1)
+            cut = np.append(np.searchsorted(s, self.at), len(s))
+            size = cut[some + 1] - cut[some]
+            line, h = np.repeat(some, size), h[np.arange(size.sum()) + np.repeat(cut[some] - np.cumsum(size) + size, size)]
+        else:
+            line = _lines_of(self.at, s)
         self.line, self.token, self.level = _sets(line, h, levels[(h >> U(64 - COUNTER_BITS)).astype(np.int64)])
         count = len(self.row)
         self.size = np.bincount(self.line, minlength=count)
@@ -168,7 +174,7 @@ class Lines:
             bit, low = U(1) << ((m >> U(57)) & U(63)), m & U(1) == 0
             last = (start + self.size - 1)[self.line]
             even = np.bitwise_xor.accumulate(np.where(low, bit, U(0)))
-            odd = np.bitwise_xor.accumulate(np.where(low, U(0), bit))
+            odd = np.bitwise_xor.accumulate(bit) ^ even
             self.even, self.odd = even ^ even[last], odd ^ odd[last]
 
 
@@ -354,7 +360,7 @@ def _meet(percent: int, most: int):
                 to = max(at + 1, int(np.searchsorted(total, base + _PAIR_STEP, side="right")))
                 n = count[at:to]
                 i = np.repeat(ask[at:to], n)
-                j = by_size[np.repeat(lo[at:to], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+                j = by_size[np.repeat(lo[at:to] + n - np.cumsum(n), n) + np.arange(len(i))]
                 on = j < i
                 i, j = i[on], j[on]
                 on, far, _ = apart(i, j)
@@ -522,7 +528,8 @@ def dedup_lines(docs: DataFrame, percent: int = 75, n_lines: str = "n_lines", n_
     every = F.split(F.col("text").cast("string"), "\n")
     kept = F.filter(every, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    counts = {n_lines: F.coalesce(F.size(every), F.lit(0)), n_removed: F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0))}
+    feeds = F.octet_length(F.col("text").cast("string")) - F.octet_length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit("")))
+    counts = {n_lines: F.coalesce(feeds + 1, F.lit(0)), n_removed: F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0))}
     return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counts], *[n.cast("long").alias(c) for c, n in counts.items()])
 
 
