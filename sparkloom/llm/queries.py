@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, langid, line_dedup, mih, mixing, ppm, suffix_dedup, token_counts
+from . import align, decontaminate, html_text, jaccard_join, langid, line_dedup, mih, mixing, ppm, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_spaced_seeds": decontaminate.op8_spaced_seeds,
     "op9_raking": mixing.op9_raking,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_token_align": align.op11_token_align,
 }
 
 ORACLE_SQL: dict[str, str] = {}
