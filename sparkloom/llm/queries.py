@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontaminate, html_text, jaccard_join, langid, line_dedup, mih, mixing, ppm, suffix_dedup, token_counts
+from . import align, decontaminate, html_text, jaccard_join, langid, line_dedup, mih, mixing, negatives, ppm, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_raking": mixing.op9_raking,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_token_align": align.op11_token_align,
+    "op12_quality_votes": quality.op12_quality_votes,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": negatives.SQL}
