@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from itertools import chain
 from pathlib import Path
@@ -60,6 +61,7 @@ class Aligner:
     """Both tokenizers and a cache of chunks: their numbers of tokens, groups and links, their groups as text and their pairs."""
 
     def __init__(self, a: bytes, b: bytes, cut: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -95,10 +97,23 @@ class Aligner:
     def clear(self) -> None:
         self.number.clear()
         self.groups: list[bytes] = []
+        self.used = np.zeros(0, np.int64)
         # tokens of A and B, groups, links, and whether the bytes agree
         self.facts = np.zeros((0, 5), np.int64)
         self.first, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """Keeps the half of the cache that was used most."""
+        if len(self.number) <= CACHE:
+            return
+        kept = np.sort(np.argpartition(-self.used, CACHE // 2)[: CACHE // 2])
+        names, many = list(self.number), np.diff(self.first)[kept]
+        at = np.repeat(self.first[:-1][kept], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.number = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        self.facts, self.used, self.pairs, self.times = self.facts[kept], self.used[kept] // 2, self.pairs[at], self.times[at]
+        self.first = np.concatenate([[0], np.cumsum(many)])
+
     def encode(self, chunks: list[bytes]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of both for each chunk, and whether the bytes of both are the chunk's; a chunk is the added space and a text, or a part of that."""
         texts, fine = [], []
@@ -109,7 +124,7 @@ class Aligner:
             except UnicodeDecodeError:
                 texts.append("")
                 fine.append(False)
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         asked, extra = [], []
         for t in texts:
             if t.startswith("\n"):
@@ -125,7 +140,14 @@ class Aligner:
                 asked.append(t[1:])
                 extra.append(0)
         b = [ids[n:] for ids, n in zip(self.b.encode(asked, num_threads=1), extra, strict=True)]
-        fine = [ok and b"".join(map(self.bytes_a.__getitem__, x)) == c and b"".join(map(self.bytes_b.__getitem__, y)) == c for ok, c, x, y in zip(fine, chunks, a, b, strict=True)]
+        for ids, own in ((a, self.bytes_a), (b, self.bytes_b)):
+            said = list(map(own.__getitem__, chain.from_iterable(ids)))
+            if b"".join(said) == b"".join(chunks) and all(map(len, ids)):
+                # all bytes agree; a token may still go over a chunk's end where a chunk before it differs
+                size = np.add.reduceat(np.fromiter(map(len, said), np.int64, len(said)), np.cumsum([0, *map(len, ids[:-1])])) if said else np.zeros(0, np.int64)
+                if (size == np.fromiter(map(len, chunks), np.int64, len(chunks))).all():
+                    continue
+            fine = [ok and b"".join(map(own.__getitem__, x)) == c for ok, c, x in zip(fine, chunks, ids, strict=True)]
         return a, b, fine
 
     def learn(self, chunks: list[bytes]) -> None:
@@ -224,9 +246,9 @@ class Aligner:
         text = np.insert(data, ends[:-1][full], 32)
         row_start = ends[:-1][full] + np.arange(len(full))
         starts = self.chunks(text, row_start)
-        if len(self.number) > CACHE:
-            self.clear()
+        self.forget()
         ids = self.known(text, starts)
+        self.used = np.bincount(ids, minlength=len(self.groups)) + np.pad(self.used, (0, len(self.groups) - len(self.used)))
         first = np.searchsorted(starts, row_start)
         own = self.facts[ids]
         fine = np.minimum.reduceat(own[:, 4], first) == 1
