@@ -2,13 +2,14 @@
 
 Texts are handled as UTF-8 bytes. A word is a maximal run of bytes other than
 space and 0x09-0x0D, after lower-casing A-Z; these are ASCII, so cutting bytes
-cuts characters nowhere. Word hashes are polynomials modulo 2**64 with a final
-mix; equal words always have equal hashes.
+cuts characters nowhere. Equal words always have equal hashes; those of up to eight
+bytes have hashes of their own, longer ones share one by chance only (2**-64 a pair).
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -23,30 +24,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: What a byte counts for in a word's sum.
-_VALUE = LOWER.astype(U) + U(1)
-
-_pow = np.ones(1, dtype=U)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the base modulo 2**64."""
-    global _pow
-    while len(_pow) < n:
-        step = U(pow(_BASE, len(_pow), 1 << 64))
-        _pow = np.concatenate([_pow, _pow * step])
-    return _pow[:n]
-
-
-_inv = np.ones(1, dtype=U)
-
-
-def _inverses(n: int) -> np.ndarray:
-    """The first n powers of the base's inverse modulo 2**64."""
-    global _inv
-    while len(_inv) < n:
-        _inv = np.concatenate([_inv, _inv * U(pow(pow(_BASE, -1, 1 << 64), len(_inv), 1 << 64))])
-    return _inv[:n]
+#: Bytes of a lane, by how many of them are a word's: what is kept, and the spaces that fill the rest (no word holds one).
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+_FILL = U(0x2020202020202020) & ~_KEEP
+#: Words of more lanes than this are hashed one by one.
+_LANES = 32
+_START = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,21 +82,47 @@ def slices(ends: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the words at s to e, of bytes after lower-casing A-Z.
+
+    A word is taken in lanes of eight bytes, each mixed by a bijection into what was before,
+    so words of up to eight bytes have different hashes, and longer ones meet by chance alone
+    (unlike a polynomial's, whose collisions can be written down). Very long words have
+    BLAKE2 digests.
+    """
+    low = np.full(len(data) + 16, 32, np.uint8)
+    np.take(LOWER, data, out=low[: len(data)], mode="clip")
+    eight = np.ndarray((len(data) + 9,), "<u8", low, strides=(1,))
+    size = e - s
+    left = np.minimum(size, 8)
+    h = mix(_START ^ ((eight[s] & _KEEP[left]) | _FILL[left]))
+    at = np.flatnonzero(size > 8)
+    for lane in range(1, _LANES):
+        if not len(at):
+            break
+        left = np.minimum(size[at] - 8 * lane, 8)
+        h[at] = mix((h[at] + _START) ^ ((eight[s[at] + 8 * lane] & _KEEP[left]) | _FILL[left]))
+        at = at[size[at] > 8 * (lane + 1)]
+    for i in at:
+        h[i] = int.from_bytes(hashlib.blake2b(low[s[i] : e[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def words(data: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words, and each row's range of them (rows + 1).
+    """Starts, ends and hashes of all words, and each row's range of them (rows + 1); 0x20 must be among the spaces.
 
-    A word's sum is the difference of running sums of byte * base**place, moved
-    back by the inverse power of its start; words that go on in the next piece
-    are joined, so a word's hash does not depend on where it stands.
+    Texts are gone through in pieces; a word that goes on in the next piece is joined.
     """
     starts, stops, sums = [], [], []
     first = np.zeros(len(data) + 1, bool)
     first[ends[:-1]] = True
-    up, down = powers(_PIECE), _inverses(_PIECE)
     letter = ~space
-    most = min(_PIECE, len(data))
-    value, total = np.empty(most, U), np.zeros(most + 1, U)
-    open_word = False
+    open_at = -1  # the start of a word that has not ended
+
+    def close(s, e):
+        lo, hi = int(s[0]), int(e[-1])
+        starts.append(s), stops.append(e), sums.append(_hashes(data[lo:hi], s - lo, e - lo))
+
     for at in range(0, len(data), _PIECE):
         piece = data[at : at + _PIECE]
         n = len(piece)
@@ -123,28 +132,26 @@ def words(data: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tupl
         begin[1:] &= ~inside[:-1] | edge[1:n]
         stop = inside.copy()
         stop[:-1] &= ~inside[1:] | edge[1:n]
-        joined = open_word and inside[0] and not edge[0]
-        s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        open_word = bool(inside[-1])
-        if not len(s):
-            continue
-        np.take(_VALUE, piece, out=value[:n], mode="clip")
-        value[:n] *= up[:n]
-        np.cumsum(value[:n], out=total[1 : n + 1])
-        h = (total[e] - total[s]) * down[s]
-        s, e = s + at, e + at
-        if joined:
-            size = int(stops[-1][-1] - starts[-1][-1])
-            sums[-1][-1:] += U(pow(_BASE, size, 1 << 64)) * h[:1]
-            stops[-1][-1] = e[0]
-            s, e, h = s[1:], e[1:], h[1:]
+        if open_at >= 0:
+            if inside[0] and not edge[0]:
+                begin[0] = False
+            else:
+                close(np.array([open_at]), np.array([at]))
+                open_at = -1
+        stop[-1] = False
+        s, e = np.flatnonzero(begin) + at, np.flatnonzero(stop) + at + 1
+        if open_at >= 0 and len(e):
+            s, open_at = np.concatenate([[open_at], s]), -1
+        if len(s) > len(e):
+            open_at, s = int(s[-1]), s[:-1]
         if len(s):
-            starts.append(s), stops.append(e), sums.append(h)
+            close(s, e)
+    if open_at >= 0:
+        close(np.array([open_at]), np.array([len(data)]))
     if not starts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(U), np.zeros(len(ends), np.int64)
     s, e, h = np.concatenate(starts), np.concatenate(stops), np.concatenate(sums)
-    h = mix(h + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
     return s, e, h, np.searchsorted(s, ends)
 
 
