@@ -295,7 +295,7 @@ def html_to_text(source: str | None) -> str | None:
 
 def _run(batches):
     for batch in batches:
-        got = [html_to_text(x.as_py()) for x in batch.column("html")]
+        got = [html_to_text(None if x is None else x.decode("utf-8", "replace")) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(got, pa.string())], names=["page_id", "text"])
 
 
@@ -305,10 +305,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     A null page has a null text, an empty or wholly hidden one an empty text.
     Broken markup is read as far as it goes; a tag that never ends makes the rest
     text. Pages may be of any length and depth (see NEST for tables in tables).
-    Repeated rows are each extracted; other columns are ignored. An empty table
+    Bytes that are no UTF-8 are read as U+FFFD. Repeated rows are each extracted; other columns are ignored. An empty table
     gives an empty result.
     """
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_run, "page_id long, text string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("binary").alias("html")).mapInArrow(_run, "page_id long, text string")
 
 
 def op2_html_text(spark, sf_dir: str) -> DataFrame:

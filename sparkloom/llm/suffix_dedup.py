@@ -405,7 +405,7 @@ def _cut(width: int):
             texts, rs, marks = (batch.column(x) for x in ("text", "r", "marks"))
             n, spans, kept = [], [], []
             for i in range(batch.num_rows):
-                text, r = (texts[i].as_py() or "").encode(), rs[i].as_py()
+                text, r = texts[i].as_py() or b"", rs[i].as_py()
                 own = [x["gone"] for x in marks[i].as_py() or [] if x["r"] == r]
                 found = []
                 if None in own:
@@ -486,8 +486,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     marks = gone.groupBy("doc_id").agg(F.collect_list(F.struct("r", "gone")).alias("marks"))
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     # both joins deal the texts out by doc_id: Spark shuffles them once and reuses the exchange
-    out = known.join(marks, "doc_id", "left").select("doc_id", "text", "r", "marks").mapInArrow(_cut(width), schema)
-    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(0).cast("long").alias("r"), F.array().cast("array<struct<r: long, gone: binary>>").alias("marks")).mapInArrow(_cut(width), schema)
+    out = known.join(marks, "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "r", "marks").mapInArrow(_cut(width), schema)
+    rest = docs.where("doc_id is null").select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("r"), F.array().cast("array<struct<r: long, gone: binary>>").alias("marks")).mapInArrow(_cut(width), schema)
     return out.unionByName(rest)
 
 

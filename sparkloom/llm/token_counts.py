@@ -94,7 +94,7 @@ def _run(shared):
     def run(batches):
         counter = Counter(shared.value)
         for batch in batches:
-            got = [counter.count(t.as_py()) for t in batch.column("text")]
+            got = [counter.count(None if t is None else t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for _, c in got], pa.int64()), pa.array([s for s, _ in got], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     return run
@@ -105,13 +105,14 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = N
 
     vocabulary: (piece, score) with any finite scores; by default that of VOCABULARY.
     With whole-number scores all sums and ties are exact. Null and empty texts have
-    no tokens. Repeated rows are each counted; other columns are ignored.
+    no tokens, an empty table no rows. Bytes that are no UTF-8 are read as U+FFFD.
+    Repeated rows are each counted; other columns are ignored.
     """
     vocabulary = pieces() if vocabulary is None else vocabulary
     if len(vocabulary) > 2_000_000:
         raise ValueError("a vocabulary of over 2,000,000 pieces is not broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_run(shared), "doc_id long, n_tokens long, score double")
 
 
