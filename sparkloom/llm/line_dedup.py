@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .stage import bit_filter, holds, keep
+from .stage import bit_filter, fresh, holds, keep
 
 U = np.uint64
 COUNTER_BITS = 22
@@ -523,13 +523,14 @@ def dedup_lines(docs: DataFrame, percent: int = 75, n_lines: str = "n_lines", n_
     Other columns pass through, but one that has the name of a count (which can
     be chosen) gives way to it. An empty table gives an empty result.
     """
-    gone = repeated_lines(docs, percent).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    out = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
+    own_id, own_gone = fresh(docs, "__id"), fresh(docs, "__gone")
+    gone = repeated_lines(docs, percent).groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line").alias(own_gone))
+    out = docs.join(gone, docs["doc_id"] == gone[own_id], "left")
     every = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(every, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(every, lambda x, i: ~F.array_contains(F.col(own_gone), i))
+    text = F.when(F.col(own_gone).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
     feeds = F.octet_length(F.col("text").cast("string")) - F.octet_length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit("")))
-    counts = {n_lines: F.coalesce(feeds + 1, F.lit(0)), n_removed: F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0))}
+    counts = {n_lines: F.coalesce(feeds + 1, F.lit(0)), n_removed: F.greatest(F.coalesce(F.size(own_gone), F.lit(0)), F.lit(0))}
     return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counts], *[n.cast("long").alias(c) for c, n in counts.items()])
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import keep
+from .stage import fresh, keep
 
 #: Up to so many cells are raked on the driver (a few numbers each); more are raked as a distributed table.
 DRIVER_CELLS = 500_000
@@ -233,8 +233,13 @@ def calibrated(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | N
 
 def mixed(docs: DataFrame, share: float = 0.5, targets: dict[str, dict] | None = None, seed: int = 7) -> DataFrame:
     """The drawn rows of docs, with weight: how many documents each stands for (1 / probability); it replaces a column of that name."""
-    out = calibrated(docs, share, targets, seed).where("__take")
-    return out.select(*[c for c in docs.columns if c != "weight"], (1 / F.col("__p")).alias("weight"))
+    # columns with the names that are used inside are set aside
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in ("__tokens", "__s", "__l", "__t", "__p", "__take"):
+            aside[c] = fresh(docs, f"kept{c}")
+    out = calibrated(docs.withColumnsRenamed(aside), share, targets, seed).where("__take")
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns if c != "weight"], (1 / F.col("__p")).alias("weight"))
 
 
 def op9_raking(spark, sf_dir: str) -> DataFrame:

@@ -58,6 +58,14 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bit_filter(df: DataFrame, hashes) -> np.ndarray:
     """2**FILTER_BITS bits, of which those of hashes(batch) of all rows are set; so much reaches the driver."""
 
