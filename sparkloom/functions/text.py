@@ -284,28 +284,63 @@ def replace_blocks(text: str, patch: str) -> str:
     return text
 
 
+#: Bytes of the pieces that a text is cut into, and these again, before windows are: cutting copies the whole of what it cuts from.
+LEVELS = (8 << 20, 256 << 10, 8 << 10)
+
+
+def _cutter(by: int, length: int):
+    """The piece with a number, of pieces that begin so many bytes apart."""
+    return lambda i: F.struct(i.alias("i"), F.col("__w").substr(i * by + 1, F.lit(length)).alias("w"))
+
+
 def _windows(df: DataFrame, column: str, size: int, overlap: int) -> DataFrame:
-    """A row of each window of bytes of a text, with the columns of df but the text, __b (all bytes), __n, index, start, stop."""
+    """A row of each window of bytes of a text, with the columns of df but the text, __w (its bytes), index, start, stop.
+
+    A text is cut into pieces of whole windows, these into smaller ones, and so on to the windows, each time as
+    an array that is exploded. So no row of a window carries its text, and time grows with the text's length.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be under size")
-    n, step = F.octet_length(F.col(column)), size - overlap
-    count = F.when(n <= size, F.when(n > 0, 1).otherwise(0)).otherwise(F.ceil((n - overlap) / F.lit(step)).cast("int"))
+    step = size - overlap
     rest = [c for c in df.columns if c != column]
-    at = df.select(*rest, F.encode(F.col(column), "UTF-8").alias("__b"), n.alias("__n"), F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("index"))
-    return at.withColumn("start", (F.col("index") * step).cast("long")).withColumn("stop", F.least(F.col("start") + size, F.col("__n").cast("long")))
+    n = F.octet_length(F.col(column))
+    count = F.when(n <= size, F.when(n > 0, 1)).otherwise(F.ceil((n - overlap) / F.lit(step)).cast("int"))
+    at = df.select(*rest, F.encode(F.col(column), "UTF-8").alias("__w"), n.cast("long").alias("__n"), F.lit(0).alias("__from"), count.alias("__to")).where("__to > 0")
+    for many in sorted({max(1, b // step) for b in LEVELS} | {1}, reverse=True):
+        last = ((F.col("__to") - F.col("__from") - 1) / many).cast("int")
+        at = at.select(*rest, "__n", "__from", "__to", F.explode(F.transform(F.sequence(F.lit(0), last), _cutter(many * step, (many - 1) * step + size))).alias("__x"))
+        first = F.col("__from") + F.col("__x.i") * many
+        at = at.select(*rest, "__n", F.col("__x.w").alias("__w"), first.alias("__from"), F.least(F.col("__to"), first + many).alias("__to"))
+    start = F.col("__from").cast("long") * step
+    return at.select(*rest, F.col("__from").alias("index"), "__w", start.alias("start"), F.least(start + size, F.col("__n")).alias("stop"))
 
 
 #: Hex of what a window holds of characters cut at its edges: bytes that go on with a character before it, and one begun at its end.
-_CUT = "^([89AB][0-9A-F])+|([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){0,2})$"
+_HEAD, _TAIL = "^([89AB][0-9A-F])+", "([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){0,2})$"
+_HEAD_BYTES = f"(CASE WHEN substring(__w, 1, 1) < X'80' THEN 0 ELSE length(regexp_extract(hex(substring(__w, 1, 3)), '{_HEAD}', 0)) div 2 END)"
+_TAIL_BYTES = f"(CASE WHEN substring(__w, -1, 1) < X'80' THEN 0 ELSE length(regexp_extract(hex(substring(__w, greatest(octet_length(__w) - 2, 1))), '{_TAIL}', 0)) div 2 END)"
 
 
-def _piece(start: str, size: str) -> Column:
-    return F.expr(f"decode(unhex(regexp_replace(hex(substring(__b, cast({start} as int) + 1, cast({size} as int))), '{_CUT}', '')), 'UTF-8')")
+def _piece() -> Column:
+    return F.expr(f"decode(substring(__w, cast({_HEAD_BYTES} + 1 as int), cast(octet_length(__w) - {_HEAD_BYTES} - {_TAIL_BYTES} as int)), 'UTF-8')")
+
+
+def _feeds(data: str) -> Column:
+    """Line feeds of bytes; no other character's bytes hold theirs."""
+    return F.expr(f"cast(octet_length({data}) - octet_length(replace(cast({data} as string), '\n', '')) as long)")
 
 
 def fixed_chunks(df: DataFrame, key: str, column: str, size: int, overlap: int = 0) -> DataFrame:
     """(key, index, start, stop, text): windows of bytes of the whole text; characters cut at the edges go from text. Null and empty texts have none."""
-    return _windows(df.select(key, column), column, size, overlap).select(key, "index", "start", "stop", _piece("start", "stop - start").alias("text"))
+    return _windows(df.select(key, column), column, size, overlap).select(key, "index", "start", "stop", _piece().alias("text"))
+
+
+def line_chunks(df: DataFrame, key: str, column: str, size: int, overlap: int = 0) -> DataFrame:
+    """(key, index, start, stop, start_line, end_line): the lines (from 1) that each window of bytes begins and ends on. Rows that share a key and a text count once."""
+    cut = _windows(df.select(key, column, F.xxhash64(column).alias("__h")).distinct(), column, size, overlap)
+    before = Window.partitionBy(key, "__h").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    line = F.lit(1) + F.coalesce(F.sum(_feeds(f"substring(__w, 1, {size - overlap})")).over(before), F.lit(0))
+    return cut.select(key, "index", "start", "stop", line.alias("start_line"), (line + _feeds("__w")).alias("end_line"))
 
 
 def chunk_options(kind: str) -> dict:
@@ -325,13 +360,13 @@ def chunk_tree(df: DataFrame, key: str, column: str, size: int = 300, overlap: i
     out = None
     for d, width in enumerate(sizes, 1):
         step = width - overlap
-        cut = _windows(level, "text", width, overlap)
+        cut = _windows(level.withColumn("__h", F.xxhash64("text")), "text", width, overlap)
         # line feeds of each window's own step, summed over the windows before it
-        feeds = F.expr(f"length(regexp_replace(hex(substring(__b, cast(start as int) + 1, {step})), '(0A)|(..)', '$1')) div 2")
-        before = Window.partitionBy(key, "path", F.xxhash64("__b")).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+        feeds = _feeds(f"substring(__w, 1, {step})")
+        before = Window.partitionBy(key, "path", "__h").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
         cut = cut.withColumn("line", F.col("line") + F.coalesce(F.sum(feeds).over(before), F.lit(0)))
-        cut = cut.withColumn("text", _piece("start", "stop - start")).withColumn("__lines", F.expr("length(regexp_replace(hex(substring(__b, cast(start as int) + 1, cast(stop - start as int))), '(0A)|(..)', '$1')) div 2"))
-        head = F.expr("length(regexp_extract(hex(substring(__b, cast(start as int) + 1, 3)), '^([89AB][0-9A-F])*', 0)) div 2")
+        cut = cut.withColumn("text", _piece()).withColumn("__lines", _feeds("__w"))
+        head = F.expr(_HEAD_BYTES)
         name = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.col("index").cast("string"))
         leaf = F.lit(True) if d == depth else F.octet_length("text") <= sizes[d]
         made = cut.select(

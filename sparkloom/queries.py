@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dsl, queries_more, queries_ops
+from . import queries_ddl, queries_dsl, queries_more, queries_ops
 
-QUERIES = queries_dsl.QUERIES | queries_ops.QUERIES | queries_more.QUERIES
-ORACLE_SQL = queries_dsl.ORACLE_SQL | queries_ops.ORACLE_SQL | queries_more.ORACLE_SQL
+QUERIES = queries_dsl.QUERIES | queries_ops.QUERIES | queries_more.QUERIES | queries_ddl.QUERIES
+ORACLE_SQL = queries_dsl.ORACLE_SQL | queries_ops.ORACLE_SQL | queries_more.ORACLE_SQL | queries_ddl.ORACLE_SQL

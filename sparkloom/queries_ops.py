@@ -285,7 +285,9 @@ add("chunk_text_lines", lambda s, d: docs(s, d).select("doc_id", F.posexplode(F.
 _CUT = "^([89AB][0-9A-F])+|([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){0,2})$"
 _BYTES = "SELECT doc_id, encode(text) AS t, octet_length(encode(text)) AS n FROM documents"
 add("chunk_fixed", lambda s, d: X.fixed_chunks(docs(s, d), "doc_id", "text", 300, 20).select("doc_id", "index", "start", "stop", F.md5("text").alias("h")), f"SELECT doc_id, CAST(i AS INTEGER) AS index, i * 280 AS start, least(i * 280 + 300, n) AS stop, md5(decode(unhex(regexp_replace(hex(array_slice(t, i * 280 + 1, least(i * 280 + 300, n))), '{_CUT}', '', 'g')))) AS h FROM (SELECT doc_id, t, n, unnest(range(0, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 300 THEN 1 ELSE ceil((n - 20) / 280.0) END AS BIGINT))) AS i FROM ({_BYTES}))")
-add("chunk_lines", lambda s, d: docs(s, d).select("doc_id", (F.size(F.split("text", "\n"))).cast("long").alias("lines"), F.length("text").cast("long").alias("chars")), "SELECT doc_id, len(string_split(text, chr(10))) AS lines, length(text) AS chars FROM documents")
+_AT = "SELECT doc_id, t, n, unnest(range(0, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 300 THEN 1 ELSE ceil((n - 20) / 280.0) END AS BIGINT))) AS i"
+_FEEDS = "SELECT doc_id, sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS at FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS last FROM documents) QUALIFY k < last"
+add("chunk_lines", lambda s, d: X.line_chunks(docs(s, d), "doc_id", "text", 300, 20), f"SELECT c.doc_id, CAST(c.i AS INTEGER) AS index, c.i * 280 AS start, least(c.i * 280 + 300, c.n) AS stop, 1 + count(*) FILTER (WHERE f.at < c.i * 280) AS start_line, 1 + count(*) FILTER (WHERE f.at < least(c.i * 280 + 300, c.n)) AS end_line FROM ({_AT} FROM ({_BYTES})) c LEFT JOIN ({_FEEDS}) f USING (doc_id) GROUP BY c.doc_id, c.i, c.n")
 add("chunk_hierarchy", lambda s, d: X.grouped_chunks(X.fixed_chunks(docs(s, d), "doc_id", "text", 300), "doc_id", 3).select("doc_id", "parent", "start", "stop"), f"SELECT doc_id, CAST(i // 3 AS INTEGER) AS parent, min(i * 300) AS start, max(least(i * 300 + 300, n)) AS stop FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 300.0) AS BIGINT))) AS i FROM ({_BYTES})) GROUP BY doc_id, i // 3")
 
 
@@ -348,22 +350,6 @@ def _snapshot(s, d):
 
 
 add("model_snapshot", _snapshot, "SELECT * FROM region")
-OLD = {"columns": [{"name": "id", "type": "id"}, {"name": "a", "type": "string", "length": 10}, {"name": "b", "type": "integer"}]}
-NEW = {"columns": [{"name": "id", "type": "id"}, {"name": "a", "type": "string", "length": 20}, {"name": "c", "type": "date"}], "indexes": [{"name": "i", "columns": ["a"]}]}
-
-
-def _diff(s, d):
-    from .sources.schema import diff
-
-    return s.createDataFrame(diff(OLD, NEW), "action string, kind string, name string")
-
-
-add("schema_diff", _diff, "SELECT * FROM (VALUES ('add', 'column', 'c'), ('del', 'column', 'b'), ('alt', 'column', 'a'), ('add', 'index', 'i')) t(action, kind, name)")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-add("schema_tables", lambda s, d: s.createDataFrame([(t,) for t in TABLES if s.read.parquet(f"{d}/{t}.parquet").columns], "name string"), "SELECT unnest(['" + "','".join(TABLES) + "']) AS name")
-add("schema_get", lambda s, d: s.createDataFrame([(c, t) for c, t in s.read.parquet(f"{d}/nation.parquet").dtypes], "name string, type string"), "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(name, type)")
-
-
 def _stream(s, d):
     from .streaming.tables import current, upsert_kv
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 #: Declared types and Spark's.
@@ -53,17 +52,3 @@ def diff(old: dict, new: dict) -> list[tuple[str, str, str]]:
     a, b = ({i["name"]: i for i in m.get("indexes") or []} for m in (old, new))
     out += [("add", "index", n) for n in b if n not in a] + [("del", "index", n) for n in a if n not in b] + [("alt", "index", n) for n in a.keys() & b.keys() if a[n] != b[n]]
     return sorted(out)
-
-
-def apply_diff(spark: SparkSession, table: str, new: dict, changes: list[tuple[str, str, str]]) -> None:
-    """Columns of a table by ALTER TABLE; indexes are metadata only."""
-    by_name = {c["name"]: c for c in columns_of(new)}
-    for action, kind, name in changes:
-        if kind != "column":
-            continue
-        if action == "add":
-            spark.sql(f"ALTER TABLE {table} ADD COLUMNS (`{name}` {spark_type(by_name[name])})")
-        elif action == "del":
-            spark.sql(f"ALTER TABLE {table} DROP COLUMN `{name}`")
-        else:
-            spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{name}` TYPE {spark_type(by_name[name])}")
