@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from .jobs import cancel_until_done, tagged
+
 
 class Processes:
     def __init__(self):
@@ -43,11 +46,15 @@ class Processes:
         handler, first = found
         if timeout is None:
             return handler(*first, *args)
-        pool = ThreadPoolExecutor(1)
+        pool, tag = ThreadPoolExecutor(1), f"process-{uuid.uuid4().hex}"
+        call = pool.submit(tagged, tag, None, handler, *first, *args)
         try:
-            return pool.submit(handler, *first, *args).result(timeout)
+            return call.result(timeout)
+        except TimeoutError:
+            cancel_until_done(tag, call)  # a handler that is late is not waited for, its Spark jobs end
+            raise
         finally:
-            pool.shutdown(wait=False, cancel_futures=True)  # a handler that is late is not waited for
+            pool.shutdown(wait=False, cancel_futures=True)
 
 
 def model_processes(models) -> dict[str, Callable]:

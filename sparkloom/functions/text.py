@@ -80,26 +80,66 @@ def json_strip_comments(column) -> Column:
     return _mapped(strip_comments, column)
 
 
+_TOKEN = re.compile(r'''\s+|//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|[{}\[\],:]|[^\s{}\[\],:"']+''', re.DOTALL)
+_WORDS = {"true": "true", "false": "false", "null": "null", "None": "null", "True": "true", "False": "false", "undefined": "null"}
+
+
 def repair_json(text: str):
-    """A value from JSON with comments, single quotes, bare keys, trailing commas or open brackets."""
-    t = strip_comments(text).strip()
-    for fix in (lambda x: x, lambda x: re.sub(r",\s*([}\]])", r"\1", x), lambda x: re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', x), lambda x: x.replace("'", '"'), lambda x: x + "".join({"{": "}", "[": "]"}[c] for c in _open(x)[::-1])):
-        t = fix(t)
-        try:
-            return json.loads(t)
-        except ValueError:
+    """A value from JSON with comments, single quotes, bare keys and words, missing or trailing commas, or brackets left open or closed by the wrong kind."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        pass
+    out, open_ = [], []
+    for token in _TOKEN.findall(text):
+        if token.isspace() or token.startswith(("//", "/*")):
             continue
-    raise ValueError("cannot be repaired")
-
+        if token in "}]":
+            while out and out[-1] == ",":
+                out.pop()
+            if out and out[-1] == ":":
+                out.append("null")
+            # a bracket of the other kind closes what stands open within its own
+            if token in open_:
+                while open_[-1] != token:
+                    out.append(open_.pop())
+                out.append(open_.pop())
+            continue
+        if token == "," and (not out or out[-1] in ",{[:"):
+            continue
+        if token not in ",:" and out and out[-1] not in ",{[:":
+            out.append(",")
+        if token in "{[":
+            open_.append("}" if token == "{" else "]")
+        elif token[0] in "\"'":
+            body = token[1:-1] if len(token) > 1 and token[-1] == token[0] else token[1:]
+            token = json.dumps(json.loads('"' + re.sub(r'(\\.)|(")', lambda m: m[1].replace("\\'", "'") if m[1] else '\\"', body).replace("\n", "\\n").replace("\t", "\\t") + '"'))
+        elif token not in ",:":
+            try:
+                json.loads(token)
+            except ValueError:
+                token = _WORDS.get(token) or json.dumps(token)
+        out.append(token)
+    while out and out[-1] == ",":
+        out.pop()
+    if out and out[-1] == ":":
+        out.append("null")
+    try:
+        return json.loads("".join(out + open_[::-1]))
+    except ValueError:
+        raise ValueError("cannot be repaired") from None
+
+
+def json_repair(column) -> Column:
+    """Repaired JSON as text; null where it cannot be."""
+
+    def fix(text: str):
+        try:
+            return json.dumps(repair_json(text), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
 
-def _open(text: str) -> list[str]:
-    out = []
-    for c in re.sub(r'"(?:\\.|[^"\\])*"', "", text):
-        if c in "{[":
-            out.append(c)
-        elif c in "}]" and out:
-            out.pop()
-    return out
+    return _mapped(fix, column)
 
 
 BLOCK = r"(?s)```(\w*)[ \t]*\n?(.*?)\n?```"

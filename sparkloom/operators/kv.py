@@ -34,10 +34,29 @@ def put(kv: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max(F.struct("updated_at", *rest)).alias("x")).select(*[F.col("key") if c == "key" else F.col(f"x.{c}").alias(c) for c in kv.columns])
 
 
-def incr(kv, key, by: int = 1):
-    """A value that is no number counts as 0; the time to live is dropped."""
+def incr(kv, key, by: int = 1, now=None):
+    """The entry of key counted on; a missing or (by now) expired one begins at 0, as does a value that is no number. The time to live is dropped."""
     on = F.col("key") == key
-    return kv.withColumn("expired_at", F.when(~on, F.col("expired_at"))).withColumn("value", F.when(on, (F.coalesce(F.expr("try_cast(value AS bigint)"), F.lit(0)) + by).cast("string")).otherwise(F.col("value")))
+    number = F.expr("try_cast(value AS bigint)")
+    alive = on if now is None else on & (F.col("expired_at").isNull() | (F.col("expired_at") > now))
+    made = {"key": F.lit(key), "value": (F.coalesce(F.max(F.when(alive, number)), F.lit(0)) + by).cast("string"), "expired_at": F.lit(None)}
+    # one row, whether the key is there or not
+    one = kv.where(on).agg(*[made.get(c, F.max(c)).cast(t).alias(c) for c, t in kv.dtypes])
+    return kv.where(~on).unionByName(one)
+
+
+def push_key(kv: DataFrame, key: str, *items) -> DataFrame:
+    """The lists (key, v) with items behind those of key; a missing key is made."""
+    kind, name = dict(kv.dtypes)["v"], F.lit(key).cast(dict(kv.dtypes)["key"])
+    on = F.col("key") == name
+    one = kv.where(on).agg(*[name.alias("key") if c == "key" else F.concat(F.coalesce(F.first("v", ignorenulls=True), F.array().cast(kind)), F.array(*map(F.lit, items)).cast(kind)).alias("v") if c == "v" else F.first(c).alias(c) for c in kv.columns])
+    return kv.where(~on).unionByName(one)
+
+
+def pop_key(kv: DataFrame, key: str, last: bool = True) -> DataFrame:
+    """The lists (key, v) without the last or first item of key; an emptied list goes with its key."""
+    on = F.col("key") == key
+    return kv.withColumn("v", F.when(on, pop(F.col("v"), last)).otherwise(F.col("v"))).where(~on | F.col("v").isNotNull())
 
 
 def push(value: Column, *items) -> Column:

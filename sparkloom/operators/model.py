@@ -274,14 +274,24 @@ class Models:
         after = Models(Catalog(before.spark, before.folder).register(m.table, left), m)
         return after.each_save(name, rows, line, each)
 
-    def nested(self, df: DataFrame, relations: list[str]) -> DataFrame:
-        """Columns rel_column of relations as one struct rel each; null where all of them are."""
-        out = []
+    def nested(self, df: DataFrame, relations: list[str], name: str | None = None) -> DataFrame:
+        """Columns rel_column of relations as one struct rel each; null where all of them are.
+
+        name: the model whose own columns stay, also such as begin with a relation's name.
+        The longest relation that a column's name begins with has it.
+        """
+        out, stay = [], set(self.catalog.scan(self.found[name].table).columns) if name else set()
+
+        def owner(c: str) -> str | None:
+            return max((r for r in relations if c.startswith(f"{r}_") and c not in stay), key=len, default=None)
+
         for rel in relations:
-            own = [c for c in df.columns if c.startswith(f"{rel}_")]
+            own = [c for c in df.columns if owner(c) == rel]
+            if not own:
+                continue
             some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in own])
             out.append(F.when(some, F.struct(*[F.col(c).alias(c[len(rel) + 1 :]) for c in own])).alias(rel))
-        left = [c for c in df.columns if not any(c.startswith(f"{rel}_") for rel in relations)]
+        left = [c for c in df.columns if owner(c) is None]
         return df.select(*left, *out)
 
 

@@ -166,3 +166,54 @@ add("scope_append", lambda s, d: scope_stamp(view(s, d, "SELECT c_custkey FROM c
 add("json_decoded_output", lambda s, d: decode(Query(Catalog(s, d), {"select": ["event_id", "props"], "from": "events"}).frame(), {"props": "map<string,bigint>"}).select("event_id", F.col("props").getItem("k").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 _SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 49}}}
 add("json_validate_schema", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.json_matches("props", _SCHEMA).alias("ok")), "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 0 AND 49, false) AS ok FROM events")
+
+
+# ---- entries that are missing, expired or emptied; own columns like a relation's; JSON that is broken ----
+_ROW = "SELECT 'none:0' AS key, '5' AS value, CAST(NULL AS TIMESTAMP) AS expired_at"
+add("kv_incr_missing", lambda s, d: KV.incr(kvt(s, d), "none:0", 5, now()).select("key", "value", "expired_at"), f"SELECT key, value, expired_at FROM {_KV} UNION ALL {_ROW}")
+
+
+def _incr_expired(s, d):
+    table = kvt(s, d).withColumn("value", F.col("updated_at").cast("string")).withColumn("expired_at", F.when(F.col("key") == "view:2", F.lit("2000-01-01").cast("timestamp_ntz")).otherwise(F.col("expired_at")))
+    return KV.incr(table, "view:2", 7, now()).select("key", "value", "expired_at")
+
+
+add("kv_incr_expired", _incr_expired, f"SELECT key, CASE WHEN key = 'view:2' THEN '7' ELSE value END AS value, CASE WHEN key <> 'view:2' THEN expired_at END AS expired_at FROM {_NUM}")
+
+
+def _list(df):
+    return df.select("key", F.array_join(F.col("v").cast("array<string>"), ",").alias("v"))
+
+
+add("kv_push_missing", lambda s, d: _list(KV.push_key(KV.push_key(lists(s, d), -1, 8, 9), -1, 7)), f"SELECT key, array_to_string(v, ',') AS v FROM {_L} UNION ALL SELECT -1, '8,9,7'")
+
+
+def _emptied(s, d):
+    df = KV.push_key(lists(s, d), -1, 1)
+    return _list(KV.pop_key(KV.pop_key(KV.push_key(df, -2, 1, 2), -1), -2, last=False))
+
+
+add("kv_pop_emptied", _emptied, f"SELECT key, array_to_string(v, ',') AS v FROM {_L} UNION ALL SELECT -2, '2'")
+
+
+def _nested_own(s, d):
+    """The model's own column nation_key begins with the relation's name and stays."""
+    m = models(s, d)
+    own = m.catalog.scan("customer").withColumn("nation_key", F.col("c_nationkey") * 10)
+    m.catalog.register("customer", own)
+    m.found["customer"].columns["nation_key"] = "string"
+    df = m.query("customer", {"select": ["c_custkey", "nation_key"], "withs": {"nation": {"select": ["n_name"]}}})
+    return m.nested(df, ["nation"], "customer").select("c_custkey", "nation_key", F.to_json("nation").alias("nation"))
+
+
+add("model_nested_own_column", _nested_own, """SELECT c_custkey, c_nationkey * 10 AS nation_key, CASE WHEN n_name IS NOT NULL THEN concat('{"n_name":"', n_name, '"}') END AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+
+
+def _repaired(s, d):
+    """Events' properties in single quotes, with a trailing comma, without their last bracket, behind a comment."""
+    broken = F.expr("concat('/* ', event_id, ' */ ', replace(substr(props, 1, length(props) - 1), '\"', ''''), ', last: [1, {b: ''it\\\\''s''],')")
+    fixed = X.json_repair(broken)
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object(fixed, "$.k").cast("long").alias("k"), F.get_json_object(fixed, "$.last[1].b").alias("b"))
+
+
+add("json_repair", _repaired, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'it''s' AS b FROM events")
