@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from .functions import encoding
 from .functions import text as X
 from .operators import graph as G
 from .operators import kv as KV
@@ -11,7 +15,7 @@ from .operators import vector as V
 from .operators.model import Scope, scope_filter, scope_stamp
 from .plans.compile import Query
 from .plans.run import decode
-from .queries_ops import _ENT, _KV, _L, _LIVE, CUSTOMER, EDGES, NODES, _q, _scratch, edges, emb, kvt, lists, models, nodes, now, view
+from .queries_ops import _ENT, _KV, _L, _LIVE, CUSTOMER, EDGES, NODES, _q, _scratch, docs, edges, emb, kvt, lists, models, nodes, now, view
 from .sources.catalog import Catalog
 
 QUERIES: dict = {}
@@ -217,3 +221,27 @@ def _repaired(s, d):
 
 
 add("json_repair", _repaired, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'it''s' AS b FROM events")
+
+
+def _encoded(s, d):
+    """Every document in one of eight encodings (in UTF-8 where its own lacks a letter), some compressed, and read again from the bytes alone."""
+    names = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "iso-8859-1", "windows-1252", "utf-32")
+
+    @F.pandas_udf("binary")
+    def written(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(i, t):
+            if t is None:
+                return None
+            try:
+                data = t.encode(names[i % 8])
+            except UnicodeEncodeError:
+                data = t.encode()
+            return gzip.compress(data) if i % 3 == 0 else data
+
+        return pd.Series([one(int(i), t) for i, t in zip(ids, texts, strict=True)], dtype=object)
+
+    read = docs(s, d).select("doc_id", encoding.to_text(written("doc_id", "text")).alias("x"))
+    return read.select("doc_id", F.md5("x.text").alias("h"), F.col("x.gzipped").alias("gzipped"))
+
+
+add("text_encodings", _encoded, "SELECT doc_id, md5(text) AS h, CASE WHEN text IS NOT NULL THEN doc_id % 3 = 0 END AS gzipped FROM documents")
