@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_ddl, queries_dsl, queries_knowledge, queries_more, queries_ops
+from . import queries_ddl, queries_dsl, queries_knowledge, queries_more, queries_ops, queries_streams
 
-QUERIES = queries_dsl.QUERIES | queries_ops.QUERIES | queries_more.QUERIES | queries_ddl.QUERIES | queries_knowledge.QUERIES
-ORACLE_SQL = queries_dsl.ORACLE_SQL | queries_ops.ORACLE_SQL | queries_more.ORACLE_SQL | queries_ddl.ORACLE_SQL | queries_knowledge.ORACLE_SQL
+QUERIES = queries_dsl.QUERIES | queries_ops.QUERIES | queries_more.QUERIES | queries_ddl.QUERIES | queries_knowledge.QUERIES | queries_streams.QUERIES
+ORACLE_SQL = queries_dsl.ORACLE_SQL | queries_ops.ORACLE_SQL | queries_more.ORACLE_SQL | queries_ddl.ORACLE_SQL | queries_knowledge.ORACLE_SQL | queries_streams.ORACLE_SQL

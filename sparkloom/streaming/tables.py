@@ -25,6 +25,8 @@ def upsert_kv(stream: DataFrame, path: str, checkpoint: str, compact: int = COMP
         before = current(spark, path, epoch) if full else None
         table = kv.put(batch.limit(0), batch) if before is None else kv.put(before, batch)
         table.write.mode("overwrite").parquet(f"{path}/{'full' if full else 'delta'}-{epoch}")
+        if full:
+            sweep(spark, path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,6 +40,20 @@ def batches(spark, path: str) -> list[tuple[int, str]]:
     return sorted((int(n), kind) for kind, _, n in names if kind in ("full", "delta") and n.isdigit())
 
 
+def sweep(spark, path: str) -> None:
+    """Deletes batches before the last full one but one. What is between the last two stays: a rerun of the last batch
+    begins with it, and so may readers that have listed it already."""
+    found = batches(spark, path)
+    fulls = [n for n, kind in found if kind == "full"]
+    if len(fulls) < 2:
+        return
+    jvm = spark.sparkContext._jvm
+    for n, kind in found:
+        if n < fulls[-2]:
+            p = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}-{n}")
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def current(spark, path: str, before: int | None = None) -> DataFrame | None:
     """The table after the last batch, or after the last one before that of a number; None where there is none."""
     found = [(n, kind) for n, kind in batches(spark, path) if before is None or n < before]
