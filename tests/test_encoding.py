@@ -39,3 +39,12 @@ def test_columns_and_files(spark, tmp_path):
     assert [got[f"{i:02d}"].text for i in range(10)] == [TEXTS[t] for t, _ in CASES[:10]]
     rows = spark.createDataFrame([(1, None), (2, bytearray())], "id int, b binary").select("id", E.to_text("b").alias("x")).select("id", "x.*").collect()
     assert [tuple(r) for r in sorted(rows)] == [(1, None, None, None), (2, "", "utf-8", False)]
+
+
+@pytest.mark.parametrize("text", ["Of a thing, n èê, and more of it.", "SCHÄIE! DER ÄSC", "Äau Äau Äau", "Le Le éèau éèau un éen", "a text of letters without accents, but for öö, in it", "ÉÈ and then others"])
+def test_few_accents_stay_western(text):
+    for name in ("iso-8859-1", "windows-1252"):
+        assert E.convert(text.encode(name))[0] == text
+    # long words of another alphabet stay what they are, among Latin ones too
+    for other, name in (("Он сказал: print(x) и привет", "windows-1251"), ("x = 1  # значение по умолчанию", "windows-1251"), ("今天OK吗，我们用Python写程序", "gbk")):
+        assert E.convert(other.encode(name))[0] == other
