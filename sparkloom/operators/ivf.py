@@ -35,6 +35,10 @@ LISTS = 4096
 CENTRES = 64 << 20
 TARGET = 0.95
 CHUNK, QUERIES = 8192, 1024
+#: Queries that are measured against all centres at once, bytes of the copies of their vectors that are sent at once.
+ASKED_AT_ONCE, PAIRS = 256, 4 << 20
+#: Queries whose products with a piece of rows are held at once.
+ROUGH = 64
 ROWS_A_FILE = 1 << 20
 METRICS = ("cosine", "dot", "euclidean")
 
@@ -151,6 +155,23 @@ def _measure(drawn: DataFrame, centres: np.ndarray, metric: str, key: str, k: in
     return int(at[min(len(at) - 1, math.ceil(TARGET * len(at)) - 1)]) + 1
 
 
+def _spread(batches, ids: np.ndarray, centres: np.ndarray, radius: np.ndarray, metric: str, probes: int, beyond: bool, pairs: int):
+    """Queries and the cells that each asks, at most `pairs` rows at once, as a query's vector is copied once a cell."""
+    for whole in batches:
+        for b in (whole.slice(i, ASKED_AT_ONCE) for i in range(0, whole.num_rows if len(ids) else 0, ASKED_AT_ONCE)):
+            p = _matrix(b.column("__p"), centres.shape[1])
+            order = np.argsort(-_near(p, centres, metric), axis=1, kind="stable")
+            hit = np.zeros(order.shape, bool)
+            np.put_along_axis(hit, order[:, :probes], True, axis=1)
+            if beyond:
+                floor = np.array([-np.inf if x is None else x for x in b.column("__least").to_pylist()])
+                hit = ~hit & (_bounds(p, centres, radius, metric) >= floor[:, None])
+            row, cell = np.nonzero(hit)
+            for i in range(0, len(row), pairs):
+                at = pa.array(row[i : i + pairs])
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("query").take(at), pa.array(ids[cell[i : i + pairs]].astype(np.int32))], ["query_id", "query", "__cell"])
+
+
 class Index:
     """An index that build has written."""
 
@@ -190,22 +211,10 @@ class Index:
         metric, dim = self.metric, self.dim
         full = self.sizes > 0
         ids, centres, radius = np.flatnonzero(full), self.centres[full], self.radius[full]
-        kind = dict(queries.dtypes)["query_id"]
+        kind, pairs = dict(queries.dtypes)["query_id"], max(1, PAIRS // (8 * max(dim, 1)))
 
         def cells(batches):
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                p = _matrix(b.column("__p"), dim)
-                order = np.argsort(-_near(p, centres, metric), axis=1, kind="stable")
-                hit = np.zeros(order.shape, bool)
-                np.put_along_axis(hit, order[:, :probes], True, axis=1)
-                if beyond:
-                    floor = np.array([-np.inf if x is None else x for x in b.column("__least").to_pylist()])
-                    hit = ~hit & (_bounds(p, centres, radius, metric) >= floor[:, None])
-                row, cell = np.nonzero(hit)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("query").take(at), pa.array(ids[cell].astype(np.int32))], ["query_id", "query", "__cell"])
+            return _spread(batches, ids, centres, radius, metric, probes, beyond, pairs)
 
         good = queries.where(_usable("query", dim)).select("query_id", F.col("query").cast("array<double>").alias("query"), _placed(F.col("query"), metric).alias("__p"), *(["__least"] if beyond else []))
         return good.mapInArrow(cells, f"query_id {kind}, query array<double>, __cell int")
@@ -232,7 +241,7 @@ class Index:
                 rank = np.empty(len(vs), np.int64)
                 rank[np.asarray(pa.compute.sort_indices(kk))] = np.arange(len(vs))
                 length = np.sqrt((vs * vs).sum(1))
-                for i, (q, rough) in enumerate(zip(qs, _rough(qs, vs, length, metric), strict=True)):
+                for i, (q, rough) in enumerate(zip(qs, (r for at in range(0, len(qs), ROUGH) for r in _rough(qs[at : at + ROUGH], vs, length, metric)), strict=True)):
                     # the block's products choose who may be among the k best; scores are then summed alike for all
                     slack = 1e-9 * (1.0 + np.abs(rough).max())
                     may = np.arange(len(vs)) if len(vs) <= k else np.flatnonzero(rough >= np.partition(rough, len(vs) - k)[len(vs) - k] - slack)

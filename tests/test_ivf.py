@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,14 @@ def test_empty_small_and_wrong(spark, tmp_path):
         ivf.build(one, f"{tmp_path}/x", metric="manhattan")
     with pytest.raises(ValueError):
         ivf.build(one.withColumn("__cell", F.lit(1)), f"{tmp_path}/x")
+
+
+def test_copies_of_queries_are_sent_in_bounded_pieces():
+    n, cells = 2000, 300
+    x = np.random.default_rng(1).normal(size=(n, D))
+    vectors = pa.array(x.tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), vectors, vectors, pa.array([None] * n, pa.float64())], ["query_id", "query", "__p", "__least"])
+    centres = x[:cells]
+    got = list(ivf._spread([batch], np.arange(cells), centres, np.ones(cells), "euclidean", 10, True, 5000))
+    assert sum(b.num_rows for b in got) == n * (cells - 10) and max(b.num_rows for b in got) <= 5000
+    assert len({(q, c) for b in got for q, c in zip(b.column("query_id").to_pylist(), b.column("__cell").to_pylist(), strict=True)}) == n * (cells - 10)
