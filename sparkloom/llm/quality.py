@@ -110,7 +110,8 @@ def _directions(sample: DataFrame, rarity: np.ndarray, seed: int = 0) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
 
         z = np.zeros(q.shape)
-        for row in sample.select("text").mapInArrow(run, "z binary").collect():
+        # the files of the sample may be many more than TASKS
+        for row in sample.select("text").coalesce(TASKS).mapInArrow(run, "z binary").collect():
             z += np.frombuffer(row.z).reshape(q.shape)
         shared.unpersist()
         q, r = np.linalg.qr(z)

@@ -88,3 +88,12 @@ def test_nothing(spark, empty):
     assert quality.quality(empty, voters).collect() == []
     df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9), (None, None, 9)], "doc_id long, text string, score int")
     assert [r.score for r in quality.quality(df, voters).collect()] == [0.5, 0.5, 0.5]
+
+
+def test_few_matrices_reach_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"some text {i}",) for i in range(80)], "text string").select(quality.F.col("text").cast("binary").alias("text"))
+    got, read = [], np.frombuffer
+    monkeypatch.setattr(quality.np, "frombuffer", lambda x, *a: got.append(len(x)) or read(x, *a))
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    quality._directions(rows.repartition(40), np.ones(1 << quality.BITS, np.float32))
+    assert 0 < sum(n == 8 * (quality.DIM + quality.EXTRA) << quality.BITS for n in got) <= quality.TASKS
