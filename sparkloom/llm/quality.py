@@ -5,7 +5,7 @@ their number and by how rare they are in all documents (latent semantic analysis
 trigrams: it sees words, repetition, capitals and strange marks, in any language).
 The latent space is that of the largest singular directions of the labelled texts,
 found by subspace iteration: each round is one job that adds up what every task's
-texts make of the current directions.
+texts make of the current directions, in bands of bins that are added up by Spark.
 
 The labelled texts' unit vectors are broadcast. Every document's vector is multiplied
 with all of them, in blocks, which gives exact cosines; the NEIGHBOURS nearest (and
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ VOTERS, NEIGHBOURS, POWER, GOOD = 16_384, 30, 8, 0.7
 PRIOR = 1e-3
 #: Rows of a block of features, rows and voters of a block of products, bytes that are counted at once.
 ROWS, BLOCK, VOTER_BLOCK, PIECE = 64, 256, 4_096, 1 << 20
-#: Tasks that learn, each of which sends one matrix of 2**BITS x (DIM + EXTRA) to the driver.
-TASKS = 8
+#: Tasks that learn, each of which makes one matrix of 2**BITS x (DIM + EXTRA); bands of its rows, whose sums alone reach the driver.
+TASKS, BANDS = 8, 32
 
 
 def trigrams(text: np.ndarray) -> np.ndarray:
@@ -107,12 +108,20 @@ def _directions(sample: DataFrame, rarity: np.ndarray, seed: int = 0) -> np.ndar
             for batch in batches:
                 for _, x in _features(batch.column("text"), weight):
                     total += x.T @ (x @ turn)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
+            task = TaskContext.get().partitionId()
+            for band, part in enumerate(np.split(total, BANDS)):
+                yield pa.RecordBatch.from_arrays([pa.array([band]), pa.array([task]), pa.array([part.tobytes()], pa.binary())], names=["band", "task", "z"])
+
+        def added(group):
+            # in the order of the tasks, whatever the shuffle's
+            parts = [group.column("z")[i].as_buffer() for i in np.argsort(group.column("task").to_numpy())]
+            z = sum(np.frombuffer(x) for x in parts)
+            return pa.table({"band": group.column("band")[:1], "z": pa.array([z.tobytes()], pa.binary())})
 
-        z = np.zeros(q.shape)
         # the files of the sample may be many more than TASKS
-        for row in sample.select("text").coalesce(TASKS).mapInArrow(run, "z binary").collect():
-            z += np.frombuffer(row.z).reshape(q.shape)
+        parts = sample.select("text").coalesce(TASKS).mapInArrow(run, "band long, task long, z binary")
+        got = parts.groupBy("band").applyInArrow(added, "band long, z binary").toArrow().sort_by("band")
+        z = np.frombuffer(b"".join(got.column("z").to_pylist())).reshape(q.shape) if len(got) else np.zeros(q.shape)
         shared.unpersist()
         q, r = np.linalg.qr(z)
     # z is the features' square times the last directions: its left singular vectors are those of the features

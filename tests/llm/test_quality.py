@@ -97,3 +97,27 @@ def test_few_matrices_reach_the_driver(spark, monkeypatch):
     monkeypatch.setattr(quality, "ROUNDS", 1)
     quality._directions(rows.repartition(40), np.ones(1 << quality.BITS, np.float32))
     assert 0 < sum(n == 8 * (quality.DIM + quality.EXTRA) << quality.BITS for n in got) <= quality.TASKS
+
+
+def test_matrices_are_added_up_by_tasks(spark, monkeypatch):
+    """One matrix reaches the driver in a round, not one of each task, and it is the sum of all."""
+    texts = [f"some text {i}".encode() for i in range(80)]
+    rows = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary").repartition(40)
+    sent, kind = [], type(rows)
+
+    def counted(name, size):
+        def run(self, f=getattr(kind, name)):
+            sent.append(size(got := f(self)))
+            return got
+
+        monkeypatch.setattr(kind, name, run)
+
+    counted("toArrow", lambda t: t.nbytes)
+    counted("collect", lambda rows: sum(len(r.z) for r in rows))
+    monkeypatch.setattr(quality, "ROUNDS", 2)
+    turn = quality._directions(rows, np.ones(1 << quality.BITS, np.float32))
+    assert len(sent) == 2 and max(sent) < 1.1 * (8 * (quality.DIM + quality.EXTRA) << quality.BITS)
+    x = np.log(np.stack([quality.trigrams(np.frombuffer(t, np.uint8)) for t in texts]) + 1.0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.linalg.svd(x, compute_uv=False)[: quality.DIM]
+    assert ((x @ turn) ** 2).sum() > 0.98 * (best**2).sum()
