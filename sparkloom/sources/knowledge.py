@@ -117,7 +117,8 @@ class Knowledge:
 
         plan(tables) is a generator of (table, "add" or the key's column, rows); it gets back
         (path, rows as written), and may give such a path again in place of rows. A table of
-        None is a step between, of no record. Removals of a change come before its additions.
+        None is a step between, of no record. Removals of a change come before its additions;
+        "clear" removes all that was there, without rows.
         """
         op = op or uuid.uuid4().hex
         if not re.fullmatch(r"[A-Za-z0-9_-]+", op):
@@ -134,12 +135,15 @@ class Knowledge:
         if not fs.exists(self._path(*note)):
             self._write({"base": head["version"]}, *note)
         steps, back, n = plan({t: self._rows(t, c) for t, c in head["tables"].items()}), None, 0
-        gone, new = ({t: [] for t in TABLES} for _ in "ab")
+        gone, new, was = {t: [] for t in TABLES}, {t: [] for t in TABLES}, dict(head["tables"])
         while True:
             try:
                 table, how, rows = steps.send(back)
             except StopIteration:
                 break
+            if how == "clear":
+                was[table], back = [], None
+                continue
             kind = TABLES[table] if how == "add" else "k string" if table else ", ".join(f"{c} {t}" for c, t in rows.dtypes)
             at = rows if isinstance(rows, str) else f"{table or '_steps'}/{op}/{n}"
             if not isinstance(rows, str) and not fs.exists(self._path(at, "_SUCCESS")):
@@ -147,7 +151,7 @@ class Knowledge:
             if table:
                 (new if how == "add" else gone)[table].append({"add": at} if how == "add" else {"del": at, "on": how})
             back, n = (at, self.spark.read.schema(kind).parquet(f"{self.root}/{at}")), n + 1
-        tables = {t: [*c, *gone[t], *new[t]] for t, c in head["tables"].items()}
+        tables = {t: [*c, *gone[t], *new[t]] for t, c in was.items()}
         self._write({"version": head["version"] + 1, "op": op, "ops": [*head["ops"][-999:], op], "tables": tables}, "_log", f"{head['version'] + 1:012d}.json")
         fs.delete(self._path(*note), False)
         fs.delete(self._path("_steps", op), True)
@@ -215,12 +219,13 @@ class Knowledge:
         yield "mentions", "segment_id", at
         if values:
             yield "store", "segment_id", at
-        keyed = gone.select(F.col("k").alias("segment_id"))
-        touched = tables["mentions"].join(keyed, "segment_id", "left_semi").select("kind", "ref").distinct()
-        rest = tables["mentions"].join(keyed, "segment_id", "left_anti").select("kind", "ref")
+        keyed = gone.select(F.col("k").alias("segment_id"), F.lit(True).alias("gone"))
+        # lost is what all mentions of are gone: one join and one grouping of the mentions
+        all_gone = F.min(F.col("gone").isNotNull()).alias("gone")
+        lost = tables["mentions"].join(keyed, "segment_id", "left").groupBy("kind", "ref").agg(all_gone).where("gone").select("kind", "ref")
         if mentioned is not None:
-            rest = rest.unionByName(mentioned.select("kind", "ref"))
-        _, lost = yield None, "lost", touched.join(rest, ["kind", "ref"], "left_anti")
+            lost = lost.join(mentioned.select("kind", "ref"), ["kind", "ref"], "left_anti")
+        _, lost = yield None, "lost", lost
         _, nodes = yield "nodes", "id", lost.where("kind = 'node'").select(F.col("ref").alias("k"))
         # relations go with their ends
         edges = lost.where("kind = 'edge'").select(F.col("ref").alias("k"))
@@ -342,11 +347,10 @@ class Knowledge:
         rows = {t: self.spark.read.schema(TABLES[t]).parquet(f"{path}/{t}") for t in TABLES}
         if bad := [t for t in TABLES if rows[t].count() != manifest["tables"][t]]:
             raise ValueError(f"the backup lacks rows of {', '.join(bad)}")
-        keys = {"documents": "doc_id", "segments": "id", "nodes": "id", "edges": "id", "mentions": "segment_id", "store": "segment_id"}
 
         def plan(tables):
             for t in TABLES:
-                yield t, keys[t], tables[t].select(F.col(keys[t]).alias("k")).distinct()
+                yield t, "clear", None
                 yield t, "add", rows[t]
 
         return self._change(op, plan)

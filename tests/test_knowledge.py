@@ -153,3 +153,29 @@ def test_backup_and_restore(base, spark, tmp_path):
     with pytest.raises(ValueError):
         new.restore(f"{tmp_path}/saved")
     assert state(new) == FULL
+
+
+def test_restore_keeps_nothing_of_before_to_be_read(base, spark, tmp_path):
+    """What a backup replaces leaves the record: no removals that each later read would join."""
+    base.backup(f"{tmp_path}/saved")
+    base.remove_documents(docs(spark, "1"))
+    base.restore(f"{tmp_path}/saved")
+    assert all(len(c) == 1 and "add" in c[0] for c in base.record()["tables"].values())
+    assert state(base) == FULL and state(base, 1) == FULL
+
+
+def test_removal_reads_mentions_once(base, spark):
+    """What is lost is found by one join and one grouping of the mentions."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, parquet = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *a, **b):
+        plans[path] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        return parquet(self, path, *a, **b)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", seen)
+        base.remove_segments(spark.createDataFrame([("1:1",)], "id string"), op="gone")
+    [lost] = [p for at, p in plans.items() if "/_steps/gone/" in at]
+    assert lost.count("Join") == 1, lost
