@@ -434,3 +434,17 @@ def test_partial_counts_are_small_and_memory_goes_back():
     last, before = [], held()
     list(K.releasing(run)([]))
     assert held() - before < 70_000
+
+
+def test_known_language_judges_and_labels_every_row(spark):
+    say = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chien et le chat", "fr")]
+    # only documents that op1_langid holds out have a lang
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0][:18]
+    rows = [(i, *say[k % 3], "kept") for k, i in enumerate(held)]
+    rows += [(held[0], None, "en", "gone"), (500, None, None, "gone"), (501, "the dog", None, "kept"), (501, "--", None, "gone"), (None, None, "en", "gone"), (None, "12", None, "gone"), (None, "die katze", None, "kept"), (None, "le chat", "fr", "kept")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = langid.known_language(df)
+    assert got.columns == [*df.columns, "lang_pred_", "score"]
+    found = got.collect()
+    assert sorted(map(str, (tuple(r)[:4] for r in found))) == sorted(str(r) for r in rows if r[3] == "kept")
+    assert all(r.lang_pred_ == next(lang for text, lang in say if set(r.text.split()) <= set(text.split())) and 0 <= r.score <= 1 for r in found)
